@@ -32,16 +32,17 @@ def _step(key: str, kind: str, k: int, value: Column, modulus: Column) -> Column
     return F.pmod(F.conv(F.substr(digest, F.lit(1), F.lit(14)), 16, 10).cast("long"), modulus)
 
 
+def _round(a: Column, b: Column, key: str, kind: str, k: int, sign: int):
+    if k % 2 == 0:
+        return lambda p: F.struct(F.pmod(p["l"] + sign * _step(key, kind, k, p["r"], a), a).alias("l"), p["r"].alias("r"))
+    return lambda p: F.struct(p["l"].alias("l"), F.pmod(p["r"] + sign * _step(key, kind, k, p["l"], b), b).alias("r"))
+
+
 def feistel(value: Column, a: Column, b: Column, key: str, kind: str, back: bool = False) -> Column:
     """A keyed permutation of 0 .. a * b - 1: rounds add a hash of one half to the other, modulo its own size. back: its inverse."""
     pair = F.struct(F.floor(value / b).cast("long").alias("l"), F.pmod(value, b).cast("long").alias("r"))
     for k in reversed(range(ROUNDS)) if back else range(ROUNDS):
-        sign = -1 if back else 1
-        if k % 2 == 0:
-            body = lambda p, k=k: F.struct(F.pmod(p["l"] + sign * _step(key, kind, k, p["r"], a), a).alias("l"), p["r"].alias("r"))
-        else:
-            body = lambda p, k=k: F.struct(p["l"].alias("l"), F.pmod(p["r"] + sign * _step(key, kind, k, p["l"], b), b).alias("r"))
-        pair = _let(pair, body)
+        pair = _let(pair, _round(a, b, key, kind, k, -1 if back else 1))
     return _let(pair, lambda p: p["l"] * b + p["r"])
 
 
@@ -100,10 +101,17 @@ def _date(text: Column, key: str, back: bool) -> Column:
 
 
 def _phone(text: Column, key: str, back: bool) -> Column:
-    """The last seven digits but the first, which stays in 2-9, are permuted; country and area codes stay."""
+    """North American numbers move among all with area and exchange codes from 200 on, others in their last six digits; country codes stay."""
     d = _digits(text)
-    head = F.substr(d, F.lit(1), F.length(d) - 6)
-    return into_format(text, F.concat(head, permuted_digits(F.substr(d, F.length(d) - 5, F.lit(6)), key, "phone", back)))
+    n = F.length(d)
+    half = F.lit(80_000).cast("long")
+    part = lambda at, size: F.substr(d, at, F.lit(size)).cast("long")
+    value = ((part(n - 9, 3) - 200) * 800 + part(n - 6, 3) - 200) * 10_000 + part(n - 3, 4)
+    spelled = lambda v: F.concat((F.floor(v / 8_000_000) + 200).cast("string"), (F.pmod(F.floor(v / 10_000), F.lit(800)) + 200).cast("string"), F.lpad(F.pmod(v, F.lit(10_000)).cast("string"), 4, "0"))
+    whole = F.concat(F.substr(d, F.lit(1), n - 10), _let(feistel(value, half, half, key, "phone", back), spelled))
+    rest = F.concat(F.substr(d, F.lit(1), n - 6), permuted_digits(F.substr(d, n - 5, F.lit(6)), key, "phone", back))
+    american = ((n == 10) | ((n == 11) & d.startswith("1"))) & F.substr(d, n - 9, F.lit(1)).between("2", "9") & F.substr(d, n - 6, F.lit(1)).between("2", "9")
+    return into_format(text, F.when(american, whole).otherwise(rest))
 
 
 def _ip(text: Column, key: str, back: bool) -> Column:
