@@ -34,16 +34,21 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def splitter(pattern: str):
-    """text -> pre-tokens of the pattern. re says \\p{L} and \\p{N} for all but a few characters and is the faster engine; texts with those go to regex."""
-    full = regex.compile(pattern)
-    fast_pattern = pattern.replace(r"[^\s\p{L}\p{N}]+", r"(?:[^\s\w]|_)+").replace(r"\p{L}", r"[^\W\d_]").replace(r"\p{N}", r"\d")
-    if r"\p" in fast_pattern:
-        return full.findall
-    odd = [c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Nl", "No") or "\x1c" <= c <= "\x1f" or (c.isalnum() != (unicodedata.category(c)[0] in "LN"))]
-    odd = re.compile("[" + "".join(map(re.escape, odd)) + "]")
-    fast = re.compile(fast_pattern).findall
-    return lambda text: full.findall(text) if odd.search(text) else fast(text)
+def odd_characters() -> str:
+    """A class of the characters on which the fast and the full form of a pattern might differ: numbers that are no digits, separators, letters unknown to str."""
+    category = unicodedata.category
+    odd = [c for c in map(chr, range(sys.maxunicode + 1)) if category(c) in ("Nl", "No") or "\x1c" <= c <= "\x1f" or c.isalnum() != (category(c)[0] in "LN")]
+    return "[" + "".join(map(re.escape, odd)) + "]"
+
+
+def splitter(pattern: str, odd: str):
+    """text -> pre-tokens of the pattern. re can say \\p{L} and \\p{N} for all but the odd characters and is the faster engine; texts with those go to regex."""
+    full = regex.compile(pattern).findall
+    plain = pattern.replace(r"[^\s\p{L}\p{N}]+", r"(?:[^\s\w]|_)+").replace(r"\p{L}", r"[^\W\d_]").replace(r"\p{N}", r"\d")
+    if r"\p" in plain:
+        return full
+    fast, has_odd = re.compile(plain).findall, re.compile(odd).search
+    return lambda text: full(text) if has_odd(text) else fast(text)
 
 
 def _packed(*arrays: np.ndarray, tail: bytes = b"") -> bytes:
@@ -73,11 +78,11 @@ def _rows(kind, chunk, part, doc_id, data):
     return pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.int32()), pa.array([chunk] * n, pa.int64()), pa.array(part, pa.int32()), pa.array(doc_id, pa.int64()), pa.array(data, pa.binary())], names=_NAMES)
 
 
-def _split_texts(pattern: str):
+def _split_texts(pattern: str, odd: str):
     """Explodes texts: rows of kind 1 hold a text's words by position, as codes; rows of kind 0 a chunk's distinct words of one bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = splitter(pattern)
+        split = splitter(pattern, odd)
         codes, chars, chunk, place = _Codes(), 0, TaskContext.get().partitionId() << 24, 0
 
         def words():
@@ -202,7 +207,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     spark = docs.sparkSession
     ranks = spark.sparkContext.broadcast(load_ranks(ranks_path))
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = durable(slim.mapInArrow(_split_texts(pattern), _ROW))
+    rows = durable(slim.mapInArrow(_split_texts(pattern, odd_characters()), _ROW))
     words = rows.where("kind = 0").repartition("part").sortWithinPartitions("part").mapInArrow(_encode_words(pattern, ranks), _ROW)
     met = words.unionByName(rows.where("kind = 1")).repartition("chunk").sortWithinPartitions("chunk", "kind", "part")
     return met.mapInArrow(_reassemble(ranks), "doc_id long, ids array<int>, decoded binary")
