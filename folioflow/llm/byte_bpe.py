@@ -3,9 +3,6 @@
 from __future__ import annotations
 
 import base64
-import re
-import sys
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,15 +15,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import durable, texts
+from folioflow.llm.common import texts
 
 #: Bounds of a chunk: characters of text, and distinct words. A longer text is a chunk of its own.
 CHUNK_CHARS, CHUNK_WORDS = 48_000_000, 1_500_000
-#: Parts of the vocabulary that are encoded apart, and texts of one returned batch.
-BUCKETS, BATCH_TEXTS = 64, 256
+#: Parts of the vocabulary that are encoded apart; texts, and characters after which no more follow, of one row of positions.
+BUCKETS, GROUP_TEXTS, GROUP_CHARS = 64, 256, 2_000_000
 
-_ROW = "kind int, chunk long, part int, doc_id long, data binary"
-_NAMES = ["kind", "chunk", "part", "doc_id", "data"]
+_ROW = "kind int, chunk long, part int, doc_ids array<long>, data binary"
+_NAMES = ["kind", "chunk", "part", "doc_ids", "data"]
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -34,23 +31,6 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def odd_characters() -> str:
-    """A class of the characters on which the fast and the full form of a pattern might differ: numbers that are no digits, separators, letters unknown to str."""
-    category = unicodedata.category
-    odd = [c for c in map(chr, range(sys.maxunicode + 1)) if category(c) in ("Nl", "No") or "\x1c" <= c <= "\x1f" or c.isalnum() != (category(c)[0] in "LN")]
-    return "[" + "".join(map(re.escape, odd)) + "]"
-
-
-def splitter(pattern: str, odd: str):
-    """text -> pre-tokens of the pattern. re can say \\p{L} and \\p{N} for all but the odd characters and is the faster engine; texts with those go to regex."""
-    full = regex.compile(pattern).findall
-    plain = pattern.replace(r"[^\s\p{L}\p{N}]+", r"(?:[^\s\w]|_)+").replace(r"\p{L}", r"[^\W\d_]").replace(r"\p{N}", r"\d")
-    if r"\p" in plain:
-        return full
-    fast, has_odd = re.compile(plain).findall, re.compile(odd).search
-    return lambda text: full(text) if has_odd(text) else fast(text)
-
-
 def _packed(*arrays: np.ndarray, tail: bytes = b"") -> bytes:
     head = np.array([len(arrays), *(len(a) for a in arrays)], np.uint32).tobytes()
     return zstandard.compress(head + b"".join(np.ascontiguousarray(a, np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes() for a in arrays) + tail, 3)
@@ -73,46 +53,68 @@ class _Codes(dict):
         return n
 
 
-def _rows(kind, chunk, part, doc_id, data):
+def _rows(kind: int, chunk: int, part: list[int], doc_ids: list, data: list[bytes]) -> pa.RecordBatch:
     n = len(data)
-    return pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.int32()), pa.array([chunk] * n, pa.int64()), pa.array(part, pa.int32()), pa.array(doc_id, pa.int64()), pa.array(data, pa.binary())], names=_NAMES)
+    return pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.int32()), pa.array([chunk] * n, pa.int64()), pa.array(part, pa.int32()), pa.array(doc_ids, pa.list_(pa.int64())), pa.array(data, pa.binary())], names=_NAMES)
+
+
+def _letters(text: str) -> bytes:
+    return text.encode("utf-8", "surrogatepass")
+
 
+def _words_of(codes: _Codes, chunk: int) -> pa.RecordBatch:
+    """A row for each bucket with the chunk's distinct words of it: steps between their codes, lengths, letters."""
+    known = list(map(_letters, codes))
+    bucket = np.fromiter((xxhash.xxh32_intdigest(w) % BUCKETS for w in known), np.int64, len(known))
+    parts, data = [], []
+    for b in np.unique(bucket).tolist():
+        own = np.flatnonzero(bucket == b)
+        mine = [known[k] for k in own.tolist()]
+        parts.append(b)
+        data.append(_packed(np.diff(own, prepend=0), np.array(list(map(len, mine))), tail=b"".join(mine)))
+    return _rows(0, chunk, parts, [None] * len(parts), data)
 
-def _split_texts(pattern: str, odd: str):
-    """Explodes texts: rows of kind 1 hold a text's words by position, as codes; rows of kind 0 a chunk's distinct words of one bucket."""
+
+def _split_texts(pattern: str, positions: bool):
+    """Explodes texts chunk by chunk. positions: rows of kind 1, each with some texts' words in order, as codes; else rows of kind 0 with the distinct words.
+
+    Codes number a chunk's words as they first occur, so both forms agree as long as a task gets the same rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = splitter(pattern, odd)
-        codes, chars, chunk, place = _Codes(), 0, TaskContext.get().partitionId() << 24, 0
-
-        def words():
-            known = [w.encode("utf-8", "surrogatepass") for w in codes]
-            bucket = np.fromiter((xxhash.xxh32_intdigest(w) % BUCKETS for w in known), np.int64, len(known))
-            parts, data = [], []
-            for b in np.unique(bucket).tolist():
-                own = np.flatnonzero(bucket == b)
-                mine = [known[k] for k in own.tolist()]
-                parts.append(b)
-                data.append(_packed(np.diff(own, prepend=0), np.array(list(map(len, mine))), tail=b"".join(mine)))
-            return _rows(0, chunk, parts, [None] * len(parts), data)
+        split = regex.compile(pattern).findall
+        codes, chars, chunk, part = _Codes(), 0, TaskContext.get().partitionId() << 24, 0
+        ids, found, check, size = [], [], xxhash.xxh3_64(), 0
+
+        def group():
+            lengths = np.fromiter(map(len, found), np.uint32, len(found))
+            return _rows(1, chunk, [part], [ids], [_packed(np.concatenate(found) if found else np.empty(0, np.uint32), lengths, tail=check.digest())])
 
         for batch in batches:
-            ids, parts, data, out = batch.column(0).to_pylist(), [], [], []
-            first = 0
-            for k, text in enumerate(texts(batch)):
+            for doc_id, text in zip(batch.column(0).to_pylist(), texts(batch), strict=True):
                 text = text or ""
-                if codes and (chars + len(text) > CHUNK_CHARS or len(codes) > CHUNK_WORDS):
-                    out.append(_rows(1, chunk, parts, ids[first:k], data))
-                    out.append(words())
-                    codes, chars, chunk, place, parts, data, first = _Codes(), 0, chunk + 1, 0, [], [], k
-                found = split(text)
-                data.append(_packed(np.fromiter(map(codes.__getitem__, found), np.uint32, len(found))))
-                parts.append(place)
-                place += 1
+                full = codes and (chars + len(text) > CHUNK_CHARS or len(codes) > CHUNK_WORDS)
+                if ids and (full or len(ids) >= GROUP_TEXTS or size + len(text) > GROUP_CHARS):
+                    yield group()
+                    ids, found, check, size, part = [], [], xxhash.xxh3_64(), 0, part + 1
+                if full:
+                    if not positions:
+                        yield _words_of(codes, chunk)
+                    codes, chars, chunk = _Codes(), 0, chunk + 1
+                words = split(text)
                 chars += len(text)
-            out.append(_rows(1, chunk, parts, ids[first:], data))
-            yield from out
-        yield words()
+                if positions:
+                    ids.append(doc_id)
+                    found.append(np.fromiter(map(codes.__getitem__, words), np.uint32, len(words)))
+                    check.update(_letters(text))
+                    size += len(text)
+                else:
+                    for w in dict.fromkeys(words):
+                        codes[w]
+        if ids:
+            yield group()
+        if codes and not positions:
+            yield _words_of(codes, chunk)
 
     return run
 
@@ -142,52 +144,48 @@ def _encode_words(pattern: str, ranks):
     return run
 
 
+def _spelled(parts: list[list[np.ndarray]], token: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """Of a chunk: all ids, then for each code where its own start, how many they are, and the bytes that they decode to."""
+    none = np.empty(0, np.int64)
+    codes = np.concatenate([none, *(np.cumsum(step) for step, _, _ in parts)])
+    lengths = np.concatenate([none, *(n for _, n, _ in parts)])
+    ids = np.concatenate([none, *(i for _, _, i in parts)]).astype(np.int32)
+    by, starts = np.argsort(codes), np.cumsum(lengths) - lengths
+    lengths, starts = lengths[by], starts[by]
+    listed = [token[i] for i in ids.tolist()]
+    return ids, starts, lengths, [b"".join(listed[s : s + n]) for s, n in zip(starts.tolist(), lengths.tolist(), strict=True)]
+
+
 def _reassemble(ranks):
     """Texts' token ids by position, and the bytes that the token table gives back for them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = {i: b for b, i in ranks.value.items()}
-        chunk, parts, flat = None, [], None
-
-        def finished():
-            codes = np.concatenate([np.cumsum(s) for (s, _, _) in parts]) if parts else np.empty(0, np.int64)
-            lengths = np.concatenate([n for (_, n, _) in parts]).astype(np.int64) if parts else np.empty(0, np.int64)
-            ids = np.concatenate([i for (_, _, i) in parts]) if parts else np.empty(0, np.uint32)
-            starts = np.cumsum(lengths) - lengths
-            if len(codes) and not (np.bincount(codes.astype(np.int64), minlength=len(codes)) == 1).all():
-                raise RuntimeError("a chunk's words are not complete")
-            by = np.argsort(codes)
-            lengths, starts = lengths[by], starts[by]
-            listed = [token[i] for i in ids.tolist()]
-            return ids.astype(np.int32), starts, lengths, [b"".join(listed[s : s + n]) for s, n in zip(starts.tolist(), lengths.tolist(), strict=True)]
-
+        chunk, parts, words = None, [], None
         for batch in batches:
-            ready, lists, decoded = [], [], []
-            for kind, c, doc_id, blob in zip(*(batch.column(k).to_pylist() for k in (0, 1, 3, 4)), strict=True):
+            for kind, c, doc_ids, blob in zip(*(batch.column(k).to_pylist() for k in (0, 1, 3, 4)), strict=True):
                 if c != chunk:
-                    chunk, parts, flat = c, [], None
-                arrays, _ = _unpacked(blob)
+                    chunk, parts, words = c, [], None
+                arrays, tail = _unpacked(blob)
                 if kind == 0:
                     parts.append(arrays)
                     continue
-                if flat is None:
-                    flat, parts = finished(), []
-                ids, starts, lengths, spelled = flat
-                seq = arrays[0].astype(np.int64)
+                if words is None:
+                    words, parts = _spelled(parts, token), []
+                ids, starts, lengths, spelled = words
+                seq, texts_words = arrays[0].astype(np.int64), arrays[1].astype(np.int64)
+                if len(seq) and seq.max() >= len(spelled):
+                    raise RuntimeError("the two scans of a chunk differ: read the texts from a table")
                 n = lengths[seq]
                 ends = np.cumsum(n)
-                ready.append(doc_id)
-                lists.append(ids[np.repeat(starts[seq] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)])
-                decoded.append(b"".join([spelled[k] for k in seq.tolist()]))
-                if len(ready) >= BATCH_TEXTS:
-                    yield _encoded(ready, lists, decoded)
-                    ready, lists, decoded = [], [], []
-            yield _encoded(ready, lists, decoded)
-
-    def _encoded(ready, lists, decoded):
-        offsets = np.concatenate([[0], np.cumsum(list(map(len, lists)))]).astype(np.int32)
-        values = np.concatenate(lists) if lists else np.empty(0, np.int32)
-        return pa.RecordBatch.from_arrays([pa.array(ready, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)), pa.array(decoded, pa.binary())], names=["doc_id", "ids", "decoded"])
+                values = ids[np.repeat(starts[seq] - (ends - n), n) + np.arange(int(n.sum()))]
+                cut = np.cumsum(texts_words)
+                offsets = np.concatenate([[0], np.concatenate([[0], ends])[cut]]).astype(np.int32)
+                listed = [spelled[k] for k in seq.tolist()]
+                decoded = [b"".join(listed[e - w : e]) for e, w in zip(cut.tolist(), texts_words.tolist(), strict=True)]
+                if xxhash.xxh3_64_digest(b"".join(decoded)) != tail:
+                    raise RuntimeError("the two scans of a chunk differ: read the texts from a table")
+                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)), pa.array(decoded, pa.binary())], names=["doc_id", "ids", "decoded"])
 
     return run
 
@@ -200,14 +198,16 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     2. Distinct words are shuffled by a hash into buckets, where each is encoded once, however many chunks have it.
     3. Ids return to their chunk, and texts are reassembled by position; the token-byte table decodes the ids.
 
-    The first step's rows are kept in the shared folder, so later steps see the same chunks when executors are lost.
+    The texts are scanned twice, for words and for positions, which a lost task does again with the same rows; each
+    chunk's decoded bytes are checked against its texts' hash, and an input that changes between scans is an error.
     Null and empty texts have no ids. Equal rows give equal rows, ids may be null, other columns are not read. Special
     tokens have no part in it. The ranks are a vocabulary file: a broadcast of a fixed size.
     """
     spark = docs.sparkSession
     ranks = spark.sparkContext.broadcast(load_ranks(ranks_path))
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = durable(slim.mapInArrow(_split_texts(pattern, odd_characters()), _ROW))
-    words = rows.where("kind = 0").repartition("part").sortWithinPartitions("part").mapInArrow(_encode_words(pattern, ranks), _ROW)
-    met = words.unionByName(rows.where("kind = 1")).repartition("chunk").sortWithinPartitions("chunk", "kind", "part")
+    words = slim.mapInArrow(_split_texts(pattern, False), _ROW).repartition("part").sortWithinPartitions("part").mapInArrow(_encode_words(pattern, ranks), _ROW)
+    places = slim.mapInArrow(_split_texts(pattern, True), _ROW)
+    # places stand first in the union, so their tasks have the numbers that the scan for words has
+    met = places.unionByName(words).repartition("chunk").sortWithinPartitions("chunk", "kind", "part")
     return met.mapInArrow(_reassemble(ranks), "doc_id long, ids array<int>, decoded binary")
