@@ -30,3 +30,35 @@ def fixed_chunks(text: Column, size: int) -> Column:
     """Array of consecutive pieces of size code points; empty for an empty text."""
     count = F.ceil(F.length(text) / F.lit(size)).cast("int")
     return F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substr(text, i * size + 1, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+
+
+def garbage_ratio(text: Column) -> Column:
+    """Replacement, control and private-use characters for each character that is no white space; 0 for a blank text."""
+    solid = F.length(F.regexp_replace(text, f"[{WHITE}]", ""))
+    bad = F.length(F.regexp_replace(text, rf"[^\x{{FFFD}}\p{{Cc}}\p{{Co}}]|[{WHITE}]", ""))
+    return F.when(solid > 0, bad / solid).otherwise(F.lit(0.0))
+
+
+def semantic_units(text: Column) -> Column:
+    """Pieces that end at a newline or a sentence mark; what is left at the end is one too."""
+    return F.regexp_extract_all(text, F.lit(r"[^\n。！？；.!?;]*[\n。！？；.!?;]|[^\n。！？；.!?;]+$"), F.lit(0))
+
+
+def origin_hash(data: Column) -> Column:
+    """The last eight bytes of SHA-256 as an unsigned number."""
+    return F.conv(F.right(F.sha2(data, 256), F.lit(16)), 16, 10).cast("decimal(20,0)")
+
+
+def mime_type(name: Column) -> Column:
+    """Media type by file extension, application/octet-stream for others."""
+    known = F.create_map(*(F.lit(x) for pair in MIME.items() for x in pair))
+    return F.coalesce(known[F.lower(F.regexp_extract(name, r"(\.[^./]+)$", 1))], F.lit("application/octet-stream"))
+
+
+#: Registered media types of the formats read.
+MIME = {
+    ".txt": "text/plain", ".md": "text/markdown", ".html": "text/html", ".htm": "text/html", ".csv": "text/csv", ".eml": "message/rfc822", ".adoc": "text/asciidoc",
+    ".pdf": "application/pdf", ".png": "image/png", ".jpg": "image/jpeg", ".jpeg": "image/jpeg", ".bmp": "image/bmp", ".webp": "image/webp", ".svg": "image/svg+xml",
+    ".docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document", ".xlsx": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet",
+    ".pptx": "application/vnd.openxmlformats-officedocument.presentationml.presentation", ".epub": "application/epub+zip", ".json": "application/json",
+}
