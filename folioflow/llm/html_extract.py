@@ -107,34 +107,29 @@ def features(found: list[tuple[str, int, int, bool, bool, bool]]) -> np.ndarray:
     return np.array([(*own[k], *around[k], *around[k + 2], *map(int, found[k][3:])) for k in range(len(found))], float).reshape(len(found), len(FEATURES))
 
 
-#: Labelled blocks: the features in the order of FEATURES, then 1 for main text. Labelled by hand after common page layouts.
-LABELLED = (
-    # in an article: paragraphs, headings, captions and quotes are its text
-    (80, 0.00, 9, 0.0, 75, 0.0, 0, 1, 0, 1), (60, 0.05, 80, 0.0, 40, 0.1, 0, 1, 0, 1), (35, 0.00, 60, 0.0, 12, 0.0, 0, 1, 0, 1), (12, 0.00, 50, 0.0, 90, 0.0, 0, 1, 0, 1),
-    (3, 0.00, 40, 0.0, 55, 0.0, 0, 1, 0, 1), (1, 0.00, 70, 0.0, 30, 0.0, 0, 1, 0, 1), (7, 0.00, 6, 0.0, 66, 0.0, 0, 1, 1, 1), (4, 0.00, 9, 0.0, 120, 0.0, 0, 1, 1, 1),
-    (10, 0.00, 3, 1.0, 45, 0.0, 0, 1, 1, 1), (2, 0.00, 85, 0.0, 14, 0.0, 0, 1, 0, 1), (150, 0.10, 8, 0.0, 0, 0.0, 0, 1, 0, 1), (25, 0.30, 60, 0.0, 50, 0.0, 0, 1, 0, 1),
-    (6, 0.00, 0, 0.0, 9, 0.0, 0, 1, 1, 1), (9, 0.00, 6, 0.0, 11, 0.0, 0, 1, 0, 1), (45, 0.00, 10, 0.0, 20, 0.0, 0, 1, 0, 1), (14, 0.45, 30, 0.0, 70, 0.0, 0, 1, 0, 1),
-    (5, 0.20, 90, 0.1, 40, 0.0, 0, 1, 0, 1), (220, 0.02, 5, 0.0, 180, 0.0, 0, 1, 0, 1), (8, 0.00, 14, 0.0, 0, 0.0, 0, 1, 0, 1), (18, 0.00, 1, 1.0, 33, 0.0, 0, 1, 0, 1),
-    # in an article: lists of links to other pages are not
-    (5, 1.00, 60, 0.0, 6, 1.0, 0, 1, 0, 0), (6, 1.00, 5, 1.0, 7, 1.0, 0, 1, 0, 0), (4, 1.00, 6, 1.0, 0, 0.0, 0, 1, 0, 0), (9, 0.95, 7, 1.0, 8, 1.0, 0, 1, 0, 0),
-    (2, 1.00, 2, 1.0, 2, 1.0, 0, 1, 0, 0), (3, 1.00, 40, 0.0, 2, 1.0, 0, 1, 0, 0),
-    # in menus, headers, footers, sidebars, notices, adverts, forms and comments
-    (1, 1.00, 0, 0.0, 1, 1.0, 1, 0, 0, 0), (2, 1.00, 1, 1.0, 2, 1.0, 1, 0, 0, 0), (9, 0.00, 1, 1.0, 8, 0.0, 1, 0, 0, 0), (14, 0.00, 50, 0.0, 0, 0.0, 1, 0, 0, 0),
-    (40, 0.00, 80, 0.0, 35, 0.0, 1, 0, 0, 0), (65, 0.00, 30, 0.0, 70, 0.0, 1, 0, 0, 0), (25, 0.05, 12, 0.0, 6, 0.0, 1, 0, 0, 0), (120, 0.00, 40, 0.0, 9, 0.0, 1, 0, 0, 0),
-    (6, 0.00, 30, 0.0, 40, 0.0, 1, 0, 1, 0), (3, 0.00, 2, 1.0, 5, 0.0, 1, 0, 1, 0), (30, 0.00, 60, 0.0, 50, 0.0, 1, 1, 0, 0), (8, 0.10, 45, 0.0, 60, 0.0, 1, 1, 0, 0),
-    (55, 0.00, 20, 0.0, 10, 0.0, 1, 1, 0, 0), (4, 0.50, 70, 0.0, 0, 0.0, 1, 1, 0, 0), (90, 0.00, 4, 0.0, 15, 0.0, 1, 1, 0, 0), (5, 0.00, 60, 0.0, 33, 0.0, 1, 1, 1, 0),
-    (2, 0.00, 5, 0.0, 3, 0.0, 1, 0, 0, 0), (11, 0.30, 9, 0.3, 12, 0.2, 1, 0, 0, 0), (17, 0.00, 0, 0.0, 70, 0.0, 1, 0, 0, 0), (22, 0.00, 16, 0.0, 18, 0.0, 1, 1, 0, 0),
-    # pages without an article element: long blocks of few links and what stands between them
-    (70, 0.00, 8, 0.0, 60, 0.0, 0, 0, 0, 1), (45, 0.05, 70, 0.0, 50, 0.0, 0, 0, 0, 1), (30, 0.00, 45, 0.0, 80, 0.0, 0, 0, 0, 1), (22, 0.10, 90, 0.0, 40, 0.0, 0, 0, 0, 1),
-    (130, 0.02, 3, 1.0, 110, 0.0, 0, 0, 0, 1), (60, 0.00, 40, 0.0, 3, 1.0, 0, 0, 0, 1), (9, 0.00, 60, 0.0, 75, 0.0, 0, 0, 0, 1), (5, 0.00, 40, 0.0, 90, 0.0, 0, 0, 1, 1),
-    (7, 0.00, 2, 1.0, 65, 0.0, 0, 0, 1, 1), (12, 0.00, 50, 0.0, 30, 0.0, 0, 0, 0, 1), (4, 0.00, 3, 1.0, 70, 0.0, 0, 0, 1, 1), (18, 0.00, 6, 0.0, 55, 0.0, 0, 0, 0, 1),
-    (26, 0.20, 30, 0.0, 6, 0.0, 0, 0, 0, 1), (10, 0.00, 33, 0.0, 28, 0.0, 0, 0, 1, 1), (85, 0.15, 0, 0.0, 0, 0.0, 0, 0, 0, 1), (16, 0.00, 70, 0.0, 22, 0.0, 0, 0, 0, 1),
-    # and the lines around them
-    (1, 1.00, 1, 1.0, 1, 1.0, 0, 0, 0, 0), (3, 1.00, 2, 1.0, 4, 1.0, 0, 0, 0, 0), (2, 0.00, 1, 1.0, 3, 1.0, 0, 0, 0, 0), (5, 0.60, 4, 1.0, 6, 0.8, 0, 0, 0, 0),
-    (4, 0.00, 0, 0.0, 2, 1.0, 0, 0, 0, 0), (6, 0.00, 5, 1.0, 3, 1.0, 0, 0, 0, 0), (8, 0.50, 3, 0.5, 4, 0.5, 0, 0, 0, 0), (3, 0.00, 4, 0.0, 2, 0.0, 0, 0, 0, 0),
-    (7, 0.90, 60, 0.0, 5, 1.0, 0, 0, 0, 0), (20, 0.85, 18, 0.9, 22, 0.8, 0, 0, 0, 0), (2, 0.00, 5, 0.0, 0, 0.0, 0, 0, 0, 0), (4, 0.25, 6, 0.0, 3, 1.0, 0, 0, 0, 0),
-    (12, 1.00, 30, 0.0, 10, 1.0, 0, 0, 0, 0), (35, 0.70, 9, 1.0, 20, 0.9, 0, 0, 0, 0), (6, 0.00, 3, 0.0, 4, 0.0, 0, 0, 0, 0), (3, 0.00, 2, 1.0, 2, 1.0, 0, 0, 1, 0),
-)
+#: Labelled shapes of blocks: words, link density, heading; and of what stands around them: words and link density before, and after.
+_TEXT = ((80, 0.0, 0), (35, 0.05, 0), (14, 0.1, 0), (3, 0.0, 0), (1, 0.0, 0), (160, 0.1, 0), (25, 0.3, 0), (7, 0.0, 1), (2, 0.0, 1))
+_LINKS = ((1, 1.0, 0), (5, 1.0, 0), (9, 0.95, 0), (30, 0.85, 0), (4, 1.0, 1))
+_AMID_TEXT = ((9, 0.0, 75, 0.0), (60, 0.0, 40, 0.0), (120, 0.1, 200, 0.0), (50, 0.0, 6, 0.0), (2, 0.0, 60, 0.0), (70, 0.0, 0, 0.0))
+_AMID_LINKS = ((0, 0.0, 2, 1.0), (3, 1.0, 4, 1.0), (9, 0.9, 0, 0.0), (6, 1.0, 30, 0.8), (40, 0.0, 5, 1.0), (4, 1.0, 50, 0.0))
+_AMID_LITTLE = ((0, 0.0, 0, 0.0), (3, 0.0, 2, 0.0), (6, 0.3, 8, 0.2), (0, 0.0, 7, 0.0))
+
+
+def labelled() -> list[tuple[float, ...]]:
+    """Labelled blocks, the features in the order of FEATURES and then 1 for main text: each labelled shape in each labelled surrounding.
+
+    Framed blocks are never main text. In an article, text is, and so is a link amid text, but no list of links.
+    Elsewhere long text is, and short text amid long text; short text among links or little else is not, nor are links.
+    """
+    rows = []
+    for shapes, is_text in ((_TEXT, 1), (_LINKS, 0)):
+        for words, links, heading in shapes:
+            for around, amid in ((_AMID_TEXT, 2), (_AMID_LINKS, 1), (_AMID_LITTLE, 0)):
+                for before in around:
+                    rows += [(words, links, *before, 1, article, heading, 0) for article in (0, 1)]
+                    rows.append((words, links, *before, 0, 1, heading, int(is_text or amid == 2)))
+                    rows.append((words, links, *before, 0, 0, heading, int(is_text and (words >= 14 or amid == 2))))
+    return rows
 
 
 def grow(x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 2) -> tuple:
@@ -158,7 +153,7 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 2) -> tuple:
 
 
 def trained() -> tuple:
-    rows = np.array(LABELLED, float)
+    rows = np.array(labelled(), float)
     return grow(rows[:, :-1], rows[:, -1])
 
 
