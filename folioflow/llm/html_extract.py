@@ -110,7 +110,7 @@ def features(found: list[tuple[str, int, int, bool, bool, bool]]) -> np.ndarray:
 #: Labelled shapes of blocks: words, link density, heading; and of what stands around them: words and link density before, and after.
 _TEXT = ((80, 0.0, 0), (35, 0.05, 0), (14, 0.1, 0), (3, 0.0, 0), (1, 0.0, 0), (160, 0.1, 0), (25, 0.3, 0), (7, 0.0, 1), (2, 0.0, 1))
 _LINKS = ((1, 1.0, 0), (5, 1.0, 0), (9, 0.95, 0), (30, 0.85, 0), (4, 1.0, 1))
-_AMID_TEXT = ((9, 0.0, 75, 0.0), (60, 0.0, 40, 0.0), (120, 0.1, 200, 0.0), (50, 0.0, 6, 0.0), (2, 0.0, 60, 0.0), (70, 0.0, 0, 0.0))
+_AMID_TEXT = ((9, 0.0, 75, 0.0), (60, 0.0, 40, 0.0), (120, 0.1, 200, 0.0), (50, 0.0, 6, 0.0), (2, 0.0, 60, 0.0), (70, 0.0, 0, 0.0), (16, 0.0, 18, 0.0), (22, 0.0, 15, 0.0), (20, 0.1, 0, 0.0), (5, 0.0, 24, 0.0), (0, 0.0, 17, 0.0))
 _AMID_LINKS = ((0, 0.0, 2, 1.0), (3, 1.0, 4, 1.0), (9, 0.9, 0, 0.0), (6, 1.0, 30, 0.8), (40, 0.0, 5, 1.0), (4, 1.0, 50, 0.0))
 _AMID_LITTLE = ((0, 0.0, 0, 0.0), (3, 0.0, 2, 0.0), (6, 0.3, 8, 0.2), (0, 0.0, 7, 0.0))
 

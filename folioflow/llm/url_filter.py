@@ -60,7 +60,8 @@ def distrusted_hosts(judged: DataFrame, edges: DataFrame, min_share: float = MIN
     """Hosts with more distrust than trust, from pages (host, verdict) judged by rules and host edges (src, dst, n).
 
     Seeds are hosts most of whose pages one verdict of the rules covers. Trust flows along links from allowed seeds,
-    distrust against them from blocked seeds: who links to a blocked host shares its rank.
+    distrust against them from blocked seeds: who links to a blocked host shares its rank. Seeds of one side do not
+    pass on the other side's rank.
     """
     count = lambda v: F.count(F.when(F.col("verdict") == v, 1))
     hosts = judged.where("host != ''").groupBy("host").agg(F.count("*").alias("n"), count("allow").alias("allow"), count("block").alias("block"))
@@ -68,7 +69,8 @@ def distrusted_hosts(judged: DataFrame, edges: DataFrame, min_share: float = MIN
     sums = seeds.groupBy("kind").agg(F.count("*").alias("seeds"))
     mass = seeds.join(F.broadcast(sums), "kind").select("kind", "host", (1 / F.col("seeds")).alias("mass"))  # two rows
     both = edges.select(F.lit("trust").alias("kind"), "src", "dst", "n").unionByName(edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
-    rank = propagate(mass, both)
+    others = seeds.select(F.when(F.col("kind") == "trust", "distrust").otherwise("trust").alias("kind"), F.col("host").alias("src"))
+    rank = propagate(mass, both.join(others, ["kind", "src"], "left_anti"))
     sides = rank.groupBy("host").agg(*(F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("rank"))), F.lit(0.0)).alias(k) for k in ("trust", "distrust")))
     floor = sums.where("kind = 'distrust'").select((min_share * (1 - DAMPING) / F.col("seeds")).alias("floor"))
     return sides.crossJoin(F.broadcast(floor)).where("distrust > trust and distrust >= floor").select("host")  # one row
