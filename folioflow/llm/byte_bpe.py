@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import texts
+from folioflow.llm.common import map_arrow, texts
 
 #: Bounds of a chunk: characters of text, and distinct words. A longer text is a chunk of its own.
 CHUNK_CHARS, CHUNK_WORDS = 48_000_000, 1_500_000
@@ -206,8 +206,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     spark = docs.sparkSession
     ranks = spark.sparkContext.broadcast(load_ranks(ranks_path))
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    words = slim.mapInArrow(_split_texts(pattern, False), _ROW).repartition("part").sortWithinPartitions("part").mapInArrow(_encode_words(pattern, ranks), _ROW)
-    places = slim.mapInArrow(_split_texts(pattern, True), _ROW)
+    words = map_arrow(map_arrow(slim, _split_texts(pattern, False), _ROW).repartition("part").sortWithinPartitions("part"), _encode_words(pattern, ranks), _ROW)
+    places = map_arrow(slim, _split_texts(pattern, True), _ROW)
     # places stand first in the union, so their tasks have the numbers that the scan for words has
     met = places.unionByName(words).repartition("chunk").sortWithinPartitions("chunk", "kind", "part")
-    return met.mapInArrow(_reassemble(ranks), "doc_id long, ids array<int>, decoded binary")
+    return map_arrow(met, _reassemble(ranks), "doc_id long, ids array<int>, decoded binary")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -52,8 +54,35 @@ def join_salted(left: DataFrame, right: DataFrame, key: str, salt_by: list[str],
     return left.join(salted, [key, "_salt"], how).drop("_salt")
 
 
+#: Bytes of a batch that are worked on at once; a longer row is worked on alone.
+SLICE_BYTES = 4 << 20
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in the same order, in batches of about SLICE_BYTES: what a task holds depends on neither the length of texts nor Arrow's rows a batch."""
+    for batch in batches:
+        rows = max(1, batch.num_rows * SLICE_BYTES // max(batch.nbytes, 1))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def give_back() -> None:
+    """Freed memory returns to the system: Spark's Python workers live on for other tasks, beside a JVM of fixed size."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library is another one, it keeps its own rules
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
-    return df.mapInArrow(run, schema)
+    """df.mapInArrow(run, schema) over small slices, whose memory is given back at the end of each task."""
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(slices(batches))
+        finally:
+            give_back()
+
+    return df.mapInArrow(bounded, schema)
 
 
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[str | None]:
@@ -63,7 +92,7 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[str | None]:
 class WordHashes(dict):
     """64-bit hashes of words, remembered for as long as they fit."""
 
-    LIMIT = 1_000_000
+    LIMIT = 250_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:

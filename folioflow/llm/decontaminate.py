@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import texts
+from folioflow.llm.common import map_arrow, texts
 
 #: Edits allowed for each hundred characters of an item.
 ERROR_PERCENT = 5
@@ -156,7 +156,7 @@ def search(docs: DataFrame, benchmark: DataFrame, percent: int = ERROR_PERCENT,
     schema = "doc_id long, item_id long, distance long, start long, end long"
     out = docs.sparkSession.createDataFrame([], schema)
     for block in blocks(benchmark, item_col, item_text_col):
-        out = out.unionByName(slim.mapInArrow(_search(docs.sparkSession.sparkContext.broadcast(block), percent), schema))
+        out = out.unionByName(map_arrow(slim, _search(docs.sparkSession.sparkContext.broadcast(block), percent), schema))
     return out
 
 
@@ -164,5 +164,5 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, percent: int = ERROR_PERCE
     """docs, in its own columns, without the rows that hold an item."""
     spark: SparkSession = docs.sparkSession
     for block in blocks(benchmark, "item_id", "text"):
-        docs = docs.mapInArrow(_clean(spark.sparkContext.broadcast(block), percent, text_col), docs.schema)
+        docs = map_arrow(docs, _clean(spark.sparkContext.broadcast(block), percent, text_col), docs.schema)
     return docs

@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import BROADCAST_ROWS, WordHashes, durable, join_small, shingle_hashes, texts
+from folioflow.llm.common import BROADCAST_ROWS, WordHashes, durable, join_small, map_arrow, shingle_hashes, texts
 from folioflow.llm.components import components
 
 #: Counters of the corpus-wide frequency sketch, which orders n-grams from rare to frequent.
@@ -21,6 +21,10 @@ SKETCH_PARTS = 16
 DENSE_COLUMN = 128
 #: Documents on each side of a tile, and columns of one dense product.
 TILE_ROWS, TILE_COLUMNS = 1500, 4096
+#: Entries of the sets on each side of a tile, on average: long documents make smaller tiles.
+TILE_ENTRIES = 1_000_000
+#: Sets that a task remembers so as not to send them twice; others are sent again and meet in the shuffle.
+SEEN = 250_000
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -87,7 +91,7 @@ def _incidence(width: int, percent: int, sketch, least: int):
                 h = shingle_hashes(_words(text), width, hashes)
                 if len(h) < least or (node := _signature(h)) in seen:
                     continue
-                if len(seen) < 1_000_000:
+                if len(seen) < SEEN:
                     seen.add(node)
                 grams.append(p := _prefix(h, order, percent))
                 sizes.append(np.full(len(p), len(h), np.int32))
@@ -163,7 +167,7 @@ def _whole_sets(width: int):
             for text in texts(batch):
                 h = shingle_hashes(_words(text), width, hashes)
                 if len(h) and (node := _signature(h)) not in seen:
-                    if len(seen) < 1_000_000:
+                    if len(seen) < SEEN:
                         seen.add(node)
                     nodes.append(node)
                     blobs.append(h.tobytes())
@@ -266,15 +270,15 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     64-bit hash by chance once in about 10**19 pairs.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = durable(docs.mapInArrow(_sets(width), "kind int, doc_id long, n long, node long, counts binary"))
+    rows = durable(map_arrow(docs, _sets(width), "kind int, doc_id long, n long, node long, counts binary"))
     slim = rows.where("kind = 0").select("doc_id", "n", "node")
     spark = docs.sparkSession
     sketch = spark.sparkContext.broadcast(_sketch(rows))
     least = -(-percent // (100 - percent))  # smaller sets link with equal ones only, and with sets of this size or more
 
-    entries = docs.select("text").mapInArrow(_incidence(width, percent, sketch, least), "gram long, n int, node long")
+    entries = map_arrow(docs.select("text"), _incidence(width, percent, sketch, least), "gram long, n int, node long")
     entries = entries.repartition("gram").sortWithinPartitions("gram", "n", "node")
-    block = entries.mapInArrow(_products(percent, DENSE_COLUMN), "kind int, x long, y long, nx int, ny int")
+    block = map_arrow(entries, _products(percent, DENSE_COLUMN), "kind int, x long, y long, nx int, ny int")
     # rest: what may follow the prefix of the set whose prefix ends first
     need = F.ceil(percent * (F.col("nx") + F.col("ny")) / (100 + percent))
     rest = F.greatest(-F.floor(-percent * F.col("nx") / 100), -F.floor(-percent * F.col("ny") / 100)) - 1
@@ -286,19 +290,19 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     spokes = dense.withColumn("band", band).join(hubs, ["gram", "band"]).where("node != hub").select(F.col("hub").alias("x"), F.col("node").alias("y"))
     pairs = found.where("kind = 0").select("x", "y").unionByName(spokes).distinct()
     wanted = pairs.select(F.col("x").alias("node")).unionByName(pairs.select(F.col("y").alias("node"))).unionByName(dense.select("node")).distinct()
-    whole = join_small(docs.select("text").mapInArrow(_whole_sets(width), "node long, grams binary"), wanted, "node", "left_semi", BROADCAST_ROWS)
+    whole = join_small(map_arrow(docs.select("text"), _whole_sets(width), "node long, grams binary"), wanted, "node", "left_semi", BROADCAST_ROWS)
     whole = durable(whole.groupBy("node").agg(F.first("grams").alias("grams")))
     both = pairs.join(whole.select(F.col("node").alias("x"), F.col("grams").alias("a")), "x").join(whole.select(F.col("node").alias("y"), F.col("grams").alias("b")), "y")
-    links = durable(both.select("x", "y", "a", "b").mapInArrow(_verify(percent), "u long, v long"))
+    links = durable(map_arrow(both.select("x", "y", "a", "b"), _verify(percent), "u long, v long"))
     classes = components(links)
 
     if not dense.isEmpty():
-        classed = durable(dense.join(classes, "node", "left").select("gram", "node", F.coalesce("root", "node").alias("class")))
-        open_columns = classed.groupBy("gram").agg(F.min("class").alias("a"), F.max("class").alias("b"), F.count("*").alias("m")).where("a != b").select("gram", F.ceil(F.col("m") / TILE_ROWS).cast("int").alias("blocks"))
+        classed = durable(dense.join(classes, "node", "left").select("gram", "node", "n", F.coalesce("root", "node").alias("class")))
+        open_columns = classed.groupBy("gram").agg(F.min("class").alias("a"), F.max("class").alias("b"), F.count("*").alias("m"), F.sum("n").alias("entries")).where("a != b").select("gram", F.greatest(F.ceil(F.col("m") / TILE_ROWS), F.ceil(F.col("entries") / TILE_ENTRIES)).cast("int").alias("blocks"))
         tile = classed.join(open_columns, "gram").withColumn("k", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         tile = tile.withColumn("l", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("gram", F.least("k", "l").alias("i"), F.greatest("k", "l").alias("j"), "node", "class")
         tile = tile.join(whole, "node").select("gram", "i", "j", "node", "class", "grams").repartition("gram", "i", "j").sortWithinPartitions("gram", "i", "j")
-        more = durable(tile.mapInArrow(_tiles(percent), "u long, v long"))
+        more = durable(map_arrow(tile, _tiles(percent), "u long, v long"))
         if not more.isEmpty():
             classes = components(links.unionByName(more))
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import BROADCAST_ROWS, durable, join_salted, sized, texts
+from folioflow.llm.common import BROADCAST_ROWS, durable, join_salted, map_arrow, sized, texts
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
@@ -74,7 +74,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     fail. Equal rows give equal rows; an empty table gives none; other columns are not read.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).cast("string").alias("text"))
-    rows = durable(docs.mapInArrow(_measured, "doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean"))
+    rows = durable(map_arrow(docs, _measured, "doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean"))
     bad, few = sized(host_rates(rows).where(F.col("rate") > max_rate).select("host", F.lit(True).alias("rejected")))
     out = rows.join(F.broadcast(bad), "host", "left") if few else join_salted(rows, bad, "host", ["doc_id"])
     rejected = F.coalesce(F.col("rejected"), F.lit(False))
@@ -93,7 +93,7 @@ def _passing(text_at: str):
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
     """docs, in its own columns, without the rows that judge() would not keep. Rows are judged one by one, so equal ids don't matter."""
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).cast("string").alias("text"))
-    rows = durable(slim.mapInArrow(_measured, "doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean").select("host", "base_failed"))
+    rows = durable(map_arrow(slim, _measured, "doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean").select("host", "base_failed"))
     bad, few = sized(host_rates(rows).where(F.col("rate") > max_rate).select(F.col("host").alias("_rejected_host")), BROADCAST_ROWS)
-    passing = docs.mapInArrow(_passing(text_col), docs.schema)
+    passing = map_arrow(docs, _passing(text_col), docs.schema)
     return passing.join(F.broadcast(bad) if few else bad, passing[host_col] == bad["_rejected_host"], "left_anti")
