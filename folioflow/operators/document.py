@@ -12,8 +12,8 @@ KINDS = {"title": "text", "section_header": "text", "text": "text", "list_item":
 NOISE = ("page_header", "page_footer", "document_index")
 
 
-def section_paths(elements: DataFrame) -> DataFrame:
-    """elements (doc_id, ord, label, level, text, ...) with section_path: the headings that an element stands under, itself included.
+def heading_contexts(elements: DataFrame) -> DataFrame:
+    """elements (doc_id, ord, label, level, text, ...) with headings: those that an element stands under, itself included.
 
     A heading closes those of its own and of lower rank. One sort of each document; the last heading of each rank
     counts if none of a higher rank came later. Headings without text count as headings with an empty name.
@@ -25,7 +25,29 @@ def section_paths(elements: DataFrame) -> DataFrame:
     marked = elements.withColumn("_last", F.array(*last))
     above = lambda k: F.array_max(F.transform(F.slice(F.col("_last"), 1, k), lambda x: x["ord"]))
     open_now = F.filter("_last", lambda x, k: x.isNotNull() & (x["ord"] > F.coalesce(F.when(k > 0, above(k)), F.lit(-(2**62)))))
-    return marked.withColumn("section_path", F.transform(open_now, lambda x: x["text"])).drop("_last")
+    return marked.withColumn("headings", F.transform(open_now, lambda x: x["text"])).drop("_last")
+
+
+def section_paths(elements: DataFrame) -> DataFrame:
+    """elements with section_path, by place in the stack: a heading of depth d cuts the path to d - 1 names and is added.
+
+    A title has depth 1, a section header its level plus one, at least 2. After a jump of levels a path may so keep a
+    deeper heading before a higher one. Paths have RANKS names at most; only a document's headings meet in one row.
+    """
+    is_heading = F.coalesce("label", F.lit("")).isin("title", "section_header")
+    level = F.least(F.greatest(F.coalesce("level", F.lit(1)), F.lit(1)), F.lit(RANKS - 1))
+    depth = F.when(F.col("label") == "title", 1).otherwise(level + 1)
+    heads = elements.where(is_heading).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(F.col("ord").alias("at"), depth.cast("int").alias("depth"), F.coalesce("text", F.lit("")).alias("text")))).alias("h"))
+    start = F.array().cast("array<struct<at:bigint,path:array<string>>>")
+
+    def step(done, x):
+        path = F.coalesce(F.get(done, F.size(done) - 1)["path"], F.array().cast("array<string>"))
+        return F.concat(done, F.array(F.struct(x["at"].cast("long").alias("at"), F.concat(F.slice(path, F.lit(1), x["depth"] - 1), F.array(x["text"])).alias("path"))))
+
+    paths = heads.select("doc_id", F.inline(F.aggregate("h", start, step)).alias("_at", "section_path"))
+    before = Window.partitionBy("doc_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    marked = elements.withColumn("_at", F.last(F.when(is_heading, F.col("ord").cast("long")), ignorenulls=True).over(before))
+    return marked.join(paths, ["doc_id", "_at"], "left").withColumn("section_path", F.coalesce("section_path", F.array().cast("array<string>"))).drop("_at")
 
 
 def content_items(elements: DataFrame) -> DataFrame:

@@ -50,3 +50,19 @@ def test_reply_cycles_are_their_own_roots(spark):
     c = spark.createDataFrame([(1, 1, None), (1, 2, 1), (1, 3, 2), (1, 4, 5), (1, 5, 4), (1, 6, 99), (1, 7, 4)], "doc_id long, id long, parent long")
     assert sorted((r.id, r.root) for r in places.reply_roots(c).collect()) == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 5), (6, 6), (7, 7)]
     assert places.reply_roots(c.limit(0)).collect() == []
+
+
+def test_paths_keep_their_place_after_a_jump(spark):
+    docs = spark.createDataFrame([(1, "# A\n\n#### B\n\n### C\n\nx\n")], "doc_id long, text string")
+    found = markdown.read(docs)
+    assert document.section_paths(found).where("text = 'x'").first().section_path == ["A", "B", "C"]
+    assert document.heading_contexts(found).where("text = 'x'").first().headings == ["A", "C"]
+
+
+def test_content_chunks(spark):
+    from folioflow.operators import chunks
+
+    docs = spark.createDataFrame([(1, "aaaa\n\nbbbb\n\ncccccccccccc\n\n# H\n\nd\n\ne\n\n| k |\n| - |\n| 1 |\n| 2 |\n| 3 |\n")], "doc_id long, text string")
+    out = chunks.content(document.content_items(markdown.read(docs)), size=10, rows=2).orderBy("chunk_no").collect()
+    assert [r.content for r in out] == ["aaaa\nbbbb", "cccccccccc", "cc", "H", "d\ne", "| k |\n| --- |\n| 1 |\n| 2 |", "| k |\n| --- |\n| 3 |"]
+    assert chunks.content(document.content_items(markdown.read(docs.limit(0)))).count() == 0
