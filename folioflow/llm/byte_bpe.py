@@ -119,14 +119,23 @@ def _split_texts(pattern: str, positions: bool):
     return run
 
 
+_held: list = []
+
+
+def _single(pattern: str, ranks: dict[bytes, int]):
+    """The function that encodes one word: built once for a worker's tasks with the same ranks, and only where there are words."""
+    if not _held or _held[0] is not ranks or _held[1] != pattern:
+        _held[:] = [ranks, pattern, tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})]
+    return _held[2]._encode_single_piece
+
+
 def _encode_words(pattern: str, ranks):
     """Rows of kind 0 with each word's token ids for its letters; a word that many chunks have is encoded once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        single = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks.value, special_tokens={})._encode_single_piece
         bucket, known = None, {}
         for batch in batches:
-            data = []
+            single, data = _single(pattern, ranks.value), []
             for part, blob in zip(batch.column(2).to_pylist(), batch.column(4).to_pylist(), strict=True):
                 if part != bucket:
                     bucket, known = part, {}
@@ -160,9 +169,9 @@ def _reassemble(ranks):
     """Texts' token ids by position, and the bytes that the token table gives back for them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = {i: b for b, i in ranks.value.items()}
-        chunk, parts, words = None, [], None
+        token, chunk, parts, words = {}, None, [], None
         for batch in batches:
+            token = token or {i: b for b, i in ranks.value.items()}
             for kind, c, doc_ids, blob in zip(*(batch.column(k).to_pylist() for k in (0, 1, 3, 4)), strict=True):
                 if c != chunk:
                     chunk, parts, words = c, [], None
