@@ -42,3 +42,30 @@ def a1_column(name: Column) -> Column:
     """0-based number of a spreadsheet column's letters."""
     letters = F.filter(F.split(F.upper(name), ""), lambda c: c != "")
     return F.aggregate(letters, F.lit(0).cast("long"), lambda s, c: s * 26 + F.ascii(c) - 64) - 1
+
+
+def parse_gfm(text: Column) -> Column:
+    """Rows of the lines that hold a pipe, without separator lines; escaped pipes stay in their cells."""
+    lines = F.filter(F.split(text, "\r?\n"), lambda x: F.contains(x, F.lit("|")) & ~x.rlike(r"^[|\-: \t]*$"))
+    inner = lambda x: F.regexp_replace(F.trim(x), r"^\||(?<!\\)\|$", "")
+    return F.transform(lines, lambda x: F.transform(F.split(inner(x), r"(?<!\\)\|", -1), lambda c: F.trim(F.replace(c, F.lit("\\|"), F.lit("|")))))
+
+
+def size_estimate(text: Column) -> Column:
+    """(n_rows, n_cols) of a pipe table's lines: separators don't count, columns are pipes less one."""
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x.startswith("|") & ~x.contains("---"))
+    widest = F.array_max(F.transform(lines, lambda x: F.length(F.regexp_replace(x, r"[^|]", "")) - 1))
+    return F.struct(F.size(lines).cast("long").alias("n_rows"), F.greatest(F.coalesce(widest, F.lit(0)), F.lit(0)).cast("long").alias("n_cols"))
+
+
+def blank_repeats(rows: Column) -> Column:
+    """Rows without cells that equal the one above as it stands after this step; rows that are blank or a separator blank nothing."""
+    bare = lambda r: F.forall(r, lambda c: F.trim(c).isin("", "---"))
+    start = F.array().cast("array<array<string>>")
+
+    def step(done, row):
+        above = F.coalesce(F.get(done, F.size(done) - 1), F.array().cast("array<string>"))
+        same = lambda c, k: ~bare(above) & (F.trim(c) != "") & F.coalesce(F.trim(c) == F.trim(F.get(above, k)), F.lit(False))
+        return F.concat(done, F.array(F.transform(row, lambda c, k: F.when(same(c, k), F.lit("")).otherwise(c))))
+
+    return F.aggregate(rows, start, step)

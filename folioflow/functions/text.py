@@ -62,3 +62,90 @@ MIME = {
     ".docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document", ".xlsx": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet",
     ".pptx": "application/vnd.openxmlformats-officedocument.presentationml.presentation", ".epub": "application/epub+zip", ".json": "application/json",
 }
+
+#: Ligatures and the soft hyphen of extracted text, and what they stand for.
+LIGATURES = {"ﬁ": "fi", "ﬂ": "fl", "ﬀ": "ff", "ﬃ": "ffi", "ﬄ": "ffl", "­": ""}
+#: Fixed value: what counts as a formula character, as a regex class.
+FORMULA = r"[=∑∏√∫≈≠≤≥±×÷∞∂∆∇∈∉⊂⊃∪∩^_{}\[\]\p{Sm}]"
+#: Fixed value: code points of CJK blocks, as a regex class body.
+CJK = r"\x{2E80}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{3FFFF}"
+
+
+def fold_ligatures(text: Column) -> Column:
+    for raw, plain in LIGATURES.items():
+        text = F.replace(text, F.lit(raw), F.lit(plain))
+    return text
+
+
+def has_cjk(text: Column) -> Column:
+    return text.rlike(f"[{CJK}]")
+
+
+def formula_density(text: Column) -> Column:
+    """Formula characters for each character that is no white space; 0 for a blank text."""
+    solid = F.length(F.regexp_replace(text, f"[{WHITE}]", ""))
+    return F.when(solid > 0, F.regexp_count(text, F.lit(FORMULA)) / solid).otherwise(F.lit(0.0))
+
+
+def first_line(text: Column, size: int = 80) -> Column:
+    """The first line without white space around, cut after size code points and then with an ellipsis."""
+    line = strip(F.substring_index(text, "\n", 1))
+    return F.when(F.length(line) > size, F.concat(F.substr(line, F.lit(1), F.lit(size)), F.lit("…"))).otherwise(line)
+
+
+def trim_line_ends(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?m)[ \t]+$", "")
+
+
+def width_estimate(text: Column) -> Column:
+    """Width in ems: wide scripts, from U+2E80 on, take one, all else 0.55; one at least."""
+    wide = F.length(F.regexp_replace(text, r"[\x{0}-\x{2E7F}]", ""))
+    return F.greatest(F.lit(1.0), wide + 0.55 * (F.length(text) - wide))
+
+
+def style_heading_level(style: Column) -> Column:
+    """The number in a style name like Heading 2, one at least; 0 for other names."""
+    number = F.regexp_extract(style, r"(?i)^heading\s*(\d+)$", 1).try_cast("long")
+    return F.when(number.isNull(), 0).otherwise(F.greatest(number, F.lit(1))).cast("long")
+
+
+def chart_number(text: Column) -> Column:
+    """The number in a text with thousands commas and maybe one percent sign, which doesn't divide; null if there is none."""
+    number = F.regexp_replace(F.trim(F.regexp_replace(text, "[,，]", "")), "%$", "").try_cast("double")
+    return F.when(~F.isnan(number) & (F.abs(number) != float("inf")), number)
+
+
+def data_uri(data: Column, media_type: Column, limit: int = 8 << 20) -> Column:
+    """Binary data as a base64 data URI, empty if longer than limit bytes."""
+    body = F.regexp_replace(F.base64(data), r"[\r\n]", "")
+    return F.when(F.octet_length(data) <= limit, F.concat(F.lit("data:"), media_type, F.lit(";base64,"), body)).otherwise(F.lit(""))
+
+
+#: Openings with which a recogniser may introduce its result.
+PREAMBLES = ("以下是识别结果", "识别结果如下", "OCR 结果如下", "Here is the OCR result")
+#: Phrases that mean a recogniser gave up.
+REFUSALS = ("抱歉，我无法", "无法识别", "不能识别", "无法提供", "看不清", "没有可识别", "i'm sorry", "i am sorry", "cannot recognize", "can't recognize", "unable to recognize")
+
+
+def clean_recognised(text: Column) -> Column:
+    """A recogniser's result without the code fence around it and without its opening phrase."""
+    inner = strip(F.regexp_replace(strip(text), r"(?s)^```[A-Za-z]*[ \t]*\n(.*?)\n?```$", "$1"))
+    return strip(F.regexp_replace(inner, r"^(?iu:" + "|".join(PREAMBLES) + r")[ \t]*[：:]*[ \t]*", ""))
+
+
+def refuses(text: Column) -> Column:
+    said = F.lower(text)
+    out = F.lit(False)
+    for phrase in REFUSALS:
+        out = out | F.contains(said, F.lit(phrase))
+    return out
+
+
+def plausible_heading(text: Column, most: int = 80) -> Column:
+    """Up to most code points, no garbage, no single character but CJK; Latin text must not be mostly letters apart."""
+    body = strip(text)
+    n = F.length(body)
+    letters = F.transform(F.filter(F.split(body, f"[{WHITE}]+"), lambda w: w != ""), lambda w: F.regexp_count(w, F.lit(r"\p{IsLatin}")))
+    other = body.rlike(r"[\p{L}&&[^\p{IsLatin}]]")
+    spaced = (F.size(F.filter(letters, lambda k: k == 1)) >= 4) & (F.size(F.filter(letters, lambda k: k > 1)) <= 1)
+    return F.coalesce((n > 0) & (n <= most) & ((n > 1) | has_cjk(body)) & (garbage_ratio(text) == 0) & (other | ~spaced), F.lit(False))
