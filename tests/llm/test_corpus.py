@@ -201,3 +201,21 @@ def test_pseudonyms(spark):
     assert kinds[-1] == "email" and {"ip", "phone", "date", "ssn"} <= set(kinds)
     assert re.fullmatch(r"\+1 \([2-9]\d\d\) [2-9]\d\d-\d{4}", next(f.pseudonym for f in out[9].found if f.value.startswith("+1")))
     assert out[12].text == rows[-1][1] and out[1].text is None and out[6].text == LONG
+
+
+def test_urls_with_links_equal_their_sql(spark, tmp_path):
+    link = lambda *hosts: "".join(f"<A HREF = 'https://{h}/x'>x</a>" for h in hosts)
+    names = [f"h{k}.{d}" for k in range(12) for d in ("net", "org", "com", "example.com", "example.net")]
+    rows = [(k, f"http://{n}/{('en', 'fr', 'de')[k % 3]}/{k}", link(*(names[(k * j + 7) % len(names)] for j in range(1, 5)))) for k, n in enumerate(names * 3)]
+    rows += [(900, None, None), (901, "none", ""), (902, "http://H1.NET?x", None), (902, "http://H1.NET?x", None), (903, "a://b://c/d", link("h2.net"))]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    import duckdb
+
+    from tests.oracle import rows as flat
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    sql = con.execute(registry.oracle_sql()["op6_url_filters"]).df()
+    got = registry.queries()["op6_url_filters"](spark, str(tmp_path)).toPandas()
+    assert flat(got) == flat(sql)
+    assert ((sql["rule"].isna()) & (sql["verdict"] == "block")).any() and ((sql["rule"].isna()) & (sql["verdict"] == "allow")).any()
