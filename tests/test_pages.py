@@ -113,3 +113,11 @@ def test_exports(spark):
     assert '"label":"title"' in exports.to_json(found).first().json
     items = spark.createDataFrame([(1, 0, "text", "H", 2, None), (1, 1, "text", "x", None, "list_item"), (1, 2, "text", "p", None, "text"), (1, 3, "image", "i.png", None, None)], "doc_id long, order_index long, type string, text string, text_level long, label string")
     assert exports.items_markdown(items).first().markdown == "## H\n\n- x\n\np\n\n![图片](i.png)\n\n"
+
+
+def test_first_pages(spark):
+    rows = [(1, 0, 0, "Small", 9.0), (1, 0, 1, "Title", 20.0), (1, 1, 2, "Later", 20.0), (2, 1, 0, "Not on the cover", 20.0), (2, 0, 1, "x", 9.0), (3, 0, 0, "t" * 41, 9.0)]
+    lines = spark.createDataFrame(rows, "doc_id long, page_no long, ord long, text string, font double")
+    assert [tuple(r) for r in pages.cover_titles(lines).collect()] == [(1, 1)]
+    few = pages.page_budget(spark.createDataFrame([(1, k) for k in range(5)] + [(2, 7)], "doc_id long, page_no long"), ["doc_id"], 2)
+    assert sorted(map(tuple, few.collect())) == [(1, 0), (1, 1), (2, 7)]
