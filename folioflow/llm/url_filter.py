@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from folioflow.llm.common import durable, join_salted, sized
 
 DAMPING, ROUNDS = 0.85, 8
-#: A host is distrusted if it has this share of the rank that a blocked seed gets for itself, and more than its trust.
+#: A host is distrusted if this damped share of its own out-links leads to blocked seeds, and it has more distrust than trust.
 MIN_SHARE = 0.1
 LINK = r"""(?i)\bhref\s*=\s*["']?\s*https?://([^/?#"'\s<>]+)"""
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -40,11 +40,9 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.where("src != dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """(kind, host, rank): personalised PageRank of seeds (kind, host, mass) over edges (kind, src, dst, n)."""
-    out = edges.groupBy("kind", "src").agg(F.sum("n").alias("all"))
-    steps = durable(edges.join(out, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (F.col("n") / F.col("all")).alias("w")))
-    base = durable(seeds.select("kind", "host", (F.col("mass") * (1 - damping)).alias("rank")))
+def propagate(seeds: DataFrame, steps: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+    """(kind, host, rank): what seeds (kind, host, base) have and, damped, pass on along steps (kind, host, dst, w)."""
+    steps, base = durable(steps), durable(seeds.select("kind", "host", F.col("base").alias("rank")))
     rank = base
     if steps.isEmpty():
         return rank
@@ -57,23 +55,27 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, roun
 
 
 def distrusted_hosts(judged: DataFrame, edges: DataFrame, min_share: float = MIN_SHARE) -> DataFrame:
-    """Hosts with more distrust than trust, from pages (host, verdict) judged by rules and host edges (src, dst, n).
+    """Hosts with more distrust than trust of whose links a min_share leads to blocked hosts, from pages (host, verdict) judged by rules and host edges (src, dst, n).
 
     Seeds are hosts most of whose pages one verdict of the rules covers. Trust flows along links from allowed seeds,
     distrust against them from blocked seeds: who links to a blocked host shares its rank. Seeds of one side do not
-    pass on the other side's rank.
+    pass on the other side's rank. A host's share is 1 for a blocked seed, 0 for an allowed one, and else the damped
+    mean over its own links, so it does not depend on how many others link to the same blocked host.
     """
     count = lambda v: F.count(F.when(F.col("verdict") == v, 1))
     hosts = judged.where("host != ''").groupBy("host").agg(F.count("*").alias("n"), count("allow").alias("allow"), count("block").alias("block"))
     seeds = durable(hosts.where("2 * greatest(allow, block) > n").select(F.when(F.col("block") > F.col("allow"), "distrust").otherwise("trust").alias("kind"), "host"))
     sums = seeds.groupBy("kind").agg(F.count("*").alias("seeds"))
-    mass = seeds.join(F.broadcast(sums), "kind").select("kind", "host", (1 / F.col("seeds")).alias("mass"))  # two rows
+    base = seeds.join(F.broadcast(sums), "kind").select("kind", "host", ((1 - DAMPING) / F.col("seeds")).alias("base"))  # two rows
+    base = base.unionByName(seeds.where("kind = 'distrust'").select(F.lit("share").alias("kind"), "host", F.lit(1.0).alias("base")))
     both = edges.select(F.lit("trust").alias("kind"), "src", "dst", "n").unionByName(edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
     others = seeds.select(F.when(F.col("kind") == "trust", "distrust").otherwise("trust").alias("kind"), F.col("host").alias("src"))
-    rank = propagate(mass, both.join(others, ["kind", "src"], "left_anti"))
-    sides = rank.groupBy("host").agg(*(F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("rank"))), F.lit(0.0)).alias(k) for k in ("trust", "distrust")))
-    floor = sums.where("kind = 'distrust'").select((min_share * (1 - DAMPING) / F.col("seeds")).alias("floor"))
-    return sides.crossJoin(F.broadcast(floor)).where("distrust > trust and distrust >= floor").select("host")  # one row
+    free = both.join(others, ["kind", "src"], "left_anti")
+    steps = free.join(free.groupBy("kind", "src").agg(F.sum("n").alias("all")), ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (F.col("n") / F.col("all")).alias("w"))
+    links = edges.join(edges.groupBy("src").agg(F.sum("n").alias("all")), "src").join(seeds.select(F.col("host").alias("src")), "src", "left_anti")
+    rank = propagate(base, steps.unionByName(links.select(F.lit("share").alias("kind"), F.col("dst").alias("host"), F.col("src").alias("dst"), (F.col("n") / F.col("all")).alias("w"))))
+    sides = rank.groupBy("host").agg(*(F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("rank"))), F.lit(0.0)).alias(k) for k in ("trust", "distrust", "share")))
+    return sides.where(f"distrust > trust and share >= {min_share}").select("host")
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

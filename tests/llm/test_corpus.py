@@ -219,3 +219,13 @@ def test_urls_with_links_equal_their_sql(spark, tmp_path):
     got = registry.queries()["op6_url_filters"](spark, str(tmp_path)).toPandas()
     assert flat(got) == flat(sql)
     assert ((sql["rule"].isna()) & (sql["verdict"] == "block")).any() and ((sql["rule"].isna()) & (sql["verdict"] == "allow")).any()
+
+
+def test_all_linkers_of_a_blocked_host_are_blocked(spark):
+    link = lambda *hosts: "".join(f'<a href="https://{h}/">x</a>' for h in hosts)
+    for n in (5, 50, 500):
+        rows = [(0, "http://bad.net/", ""), *((k, f"http://farm{k}.com/", link("bad.net")) for k in range(1, n + 1)), (n + 1, "http://hub.com/", link("bad.net", *(f"fine{k}.com" for k in range(30)))), (n + 2, "http://good.org/fr/", link("fine1.com"))]
+        rows += [(1000 + k, f"http://fine{k}.com/", "") for k in range(30)]
+        pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+        out = {r.page_id: r.verdict for r in url_filter.judge(pages, (("block", "net", "/"), ("allow", "org", "/fr/"))).collect()}
+        assert {k for k, v in out.items() if v == "block"} == set(range(n + 1))
