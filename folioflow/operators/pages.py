@@ -98,12 +98,14 @@ def _prints(text: Column) -> Column:
 
 def repeats_lines(text: Column) -> Column:
     """Whether a line repeats four times in a row, or makes up half of eight lines or more. Short lines and separators don't count."""
-    lines = _prints(text)
+    return F.element_at(F.transform(F.array(_prints(text)), _repeats), 1)  # bound, or each line would make all lines anew
+
+
+def _repeats(lines: Column) -> Column:
     run = F.exists(F.transform(lines, lambda x, k: (k >= REPEATS - 1) & F.forall(F.slice(lines, F.greatest(k - REPEATS + 2, F.lit(1)), F.lit(REPEATS)), lambda y: y == x)), lambda x: x)
-    sorted_lines = F.sort_array(lines)
     half = F.greatest(F.lit(REPEATS), F.ceil(F.size(lines) / 2).cast("int"))
-    often = F.exists(F.transform(sorted_lines, lambda x, k: F.coalesce(F.get(sorted_lines, k + half - 1) == x, F.lit(False))), lambda x: x)
-    return run | ((F.size(lines) >= REPEAT_LINES) & often)
+    often = lambda ordered: F.exists(F.transform(ordered, lambda x, k: F.coalesce(F.get(ordered, k + half - 1) == x, F.lit(False))), lambda x: x)
+    return run | ((F.size(lines) >= REPEAT_LINES) & F.element_at(F.transform(F.array(F.sort_array(lines)), often), 1))
 
 
 def recognised_fault(text: Column) -> Column:

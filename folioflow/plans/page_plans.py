@@ -22,8 +22,8 @@ def text_forms(spark, sf_dir):
 
 
 def recognised_faults(spark, sf_dir):
-    """Each document as a recogniser's result, its lines said again and again for every fifth."""
-    d = _t(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("one line\n" * 4), "text")).when(F.col("doc_id") % 7 == 0, F.concat(F.lit("I'm sorry, "), "text")).when(F.col("doc_id") % 11 == 0, "").otherwise(F.substring_index("text", "\n", 1)).alias("t"))
+    """The whole text of each document as a recogniser's result, with lines said again and again before every fifth and an apology before every seventh."""
+    d = _t(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("one line\n" * 4), "text")).when(F.col("doc_id") % 7 == 0, F.concat(F.lit("I'm sorry, "), "text")).otherwise(F.col("text")).alias("t"))
     return d.select("doc_id", F.coalesce(pages.recognised_fault(F.col("t")), F.lit("good")).alias("fault"))
 
 

@@ -121,3 +121,27 @@ def test_first_pages(spark):
     assert [tuple(r) for r in pages.cover_titles(lines).collect()] == [(1, 1)]
     few = pages.page_budget(spark.createDataFrame([(1, k) for k in range(5)] + [(2, 7)], "doc_id long, page_no long"), ["doc_id"], 2)
     assert sorted(map(tuple, few.collect())) == [(1, 0), (1, 1), (2, 7)]
+
+
+def brute_fault(t):
+    import re
+
+    if not t.strip():
+        return "empty"
+    if t.strip().lower().startswith("i'm sorry"):
+        return "refused"
+    lines = [x for line in t.split("\n") if len(x := " ".join(line.split()).lower()) >= 4 and not re.fullmatch(r"[|\-: \t]*", x)]
+    run = any(len(set(lines[k : k + 4])) == 1 for k in range(len(lines) - 3))
+    often = len(lines) >= 8 and 2 * max(map(lines.count, lines)) >= len(lines)
+    return "repeated" if run or often else "good"
+
+
+def test_recognised_faults_read_whole_texts(spark, tmp_path):
+    from folioflow.plans import page_plans
+
+    texts = {1: "first line\n" + "said again\n" * 4, 2: "first line\n" + "a line\nother\n" * 3 + "a line\na line\n", 3: "first\nsecond\nthird", 5: "plain", 7: "plain", 11: "one\n" + "more of it\n" * 5, 22: "fine text", 13: "  \n ", 17: "\n".join(f"line {k}" for k in range(3000))}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    said = {k: "one line\n" * 4 + t if k % 5 == 0 else "I'm sorry, " + t if k % 7 == 0 else t for k, t in texts.items()}
+    got = {r.doc_id: r.fault for r in page_plans.recognised_faults(spark, str(tmp_path)).collect()}
+    assert got == {k: brute_fault(t) for k, t in said.items()}
+    assert (got[1], got[2], got[11], got[22], got[17]) == ("repeated", "repeated", "repeated", "good", "good")
