@@ -48,7 +48,7 @@ def largest_pictures(spark, sf_dir):
 
 
 def covered_areas(spark, sf_dir):
-    return pages.covered_area(_lines(spark, sf_dir).where("page % 4 = 0"), ["page"]).select("page", F.round("area", 4).alias("area"))
+    return pages.covered_area(_lines(spark, sf_dir), ["page"]).select("page", F.round("area", 4).alias("area"))
 
 
 def outside_boxes(spark, sf_dir):

@@ -145,3 +145,24 @@ def test_recognised_faults_read_whole_texts(spark, tmp_path):
     got = {r.doc_id: r.fault for r in page_plans.recognised_faults(spark, str(tmp_path)).collect()}
     assert got == {k: brute_fault(t) for k, t in said.items()}
     assert (got[1], got[2], got[11], got[22], got[17]) == ("repeated", "repeated", "repeated", "good", "good")
+
+
+def all_lines(sf_dir):
+    """(page, ord) with its least part key and quantity, over the whole table."""
+    import pyarrow.parquet as pq
+
+    least = {}
+    for r in pq.read_table(f"{sf_dir}/lineitem.parquet", columns=["l_orderkey", "l_linenumber", "l_partkey", "l_quantity"]).to_pylist():
+        p, q = least.get(at := (r["l_orderkey"], r["l_linenumber"]), (r["l_partkey"], r["l_quantity"]))
+        least[at] = min(p, r["l_partkey"]), min(q, r["l_quantity"])
+    return least
+
+
+def test_covered_areas_of_all_pages(spark):
+    from folioflow.plans import page_plans
+
+    unit = {}
+    for (page, _), (p, q) in all_lines("/root/testdata/sf0.001").items():
+        unit.setdefault(page, set()).update((p % 40 + i, int(q * 2) - 6 + j) for i in range(10) for j in range(6))
+    got = {r.page: r.area for r in page_plans.covered_areas(spark, "/root/testdata/sf0.001").collect()}
+    assert got == {page: float(len(cells)) for page, cells in unit.items()} and any(page % 4 for page in got)
