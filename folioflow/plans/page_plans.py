@@ -82,7 +82,7 @@ def blanked_repeats(spark, sf_dir):
 
 
 def cell_grids(spark, sf_dir):
-    x = _lines(spark, sf_dir).where("ord <= 4").select("page", F.col("ord").alias("idx"), (F.col("ord") - 1).alias("r0"), (F.col("ord") + 1).alias("r1"), F.lit(0).cast("long").alias("c0"), F.lit(2).cast("long").alias("c1"), F.col("ord").cast("string").alias("text"))
+    x = _lines(spark, sf_dir).select("page", F.col("ord").alias("idx"), (F.col("ord") - 1).alias("r0"), (F.col("ord") + 1).alias("r1"), F.lit(0).cast("long").alias("c0"), F.lit(2).cast("long").alias("c1"), F.col("ord").cast("string").alias("text"))
     return pages.grids(x, ["page"]).select("page", F.array_join(F.transform("rows", lambda r: F.array_join(r, "|")), "/").alias("grid"))
 
 

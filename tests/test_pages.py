@@ -166,3 +166,14 @@ def test_covered_areas_of_all_pages(spark):
         unit.setdefault(page, set()).update((p % 40 + i, int(q * 2) - 6 + j) for i in range(10) for j in range(6))
     got = {r.page: r.area for r in page_plans.covered_areas(spark, "/root/testdata/sf0.001").collect()}
     assert got == {page: float(len(cells)) for page, cells in unit.items()} and any(page % 4 for page in got)
+
+
+def test_cell_grids_of_all_lines(spark):
+    from folioflow.plans import page_plans
+
+    cells = {}
+    for page, o in sorted(all_lines("/root/testdata/sf0.001")):
+        cells.setdefault(page, {}).update({o - 1: f"{o}|{o}", o: f"{o}|{o}"})  # later cells win
+    got = {r.page: r.grid for r in page_plans.cell_grids(spark, "/root/testdata/sf0.001").collect()}
+    assert got == {page: "/".join(rows.get(r, "|") for r in range(max(rows) + 1)) for page, rows in cells.items()}
+    assert any(max(rows) > 4 for rows in cells.values())
