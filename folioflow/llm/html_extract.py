@@ -19,13 +19,15 @@ RAW = frozenset("script style textarea title iframe noembed noframes xmp".split(
 SILENT = frozenset("head template noscript svg math object select button canvas audio video datalist".split())
 HOLDER = frozenset("article aside body details dialog div dl fieldset figure footer form head header main menu nav noscript ol section svg template table object select button ul center math canvas audio video datalist".split())
 FRAME = frozenset("nav footer aside form menu dialog fieldset".split())
-#: Words in class, id and role of elements around an article.
+#: Roles that say the same as such an element.
+ROLES = frozenset("navigation banner contentinfo complementary search form dialog menu".split())
+#: Words in class, id and role of elements around an article, but also of wrappers around all of a page: a feature, no veto.
 HINT = re.compile(r"(?<![a-z])(?:nav|navbar|navigation|menu|sidebar|side|footer|foot|header|masthead|banner|ads?|advert\w*|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscri\w+|signup|login|search|share|sharing|social|breadcrumbs?|pagination|pager|related|recommend\w*|comments?|commentlist|repl(?:y|ies)|disqus|respond|discussion|feedback|reviews?|widgets?|toolbar|copyright|legal|disclaimer|teasers?|trending|complementary|contentinfo)(?![a-z])")
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "framed", "in_article", "heading")
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "framed", "in_article", "heading", "hinted")
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -36,23 +38,35 @@ def _hidden(a: dict[str, str]) -> bool:
     return "hidden" in a or a.get("aria-hidden", "").lower() == "true" or "display:none" in a.get("style", "").lower().replace(" ", "")
 
 
-def blocks(page: str | None) -> list[tuple[str, int, int, bool, bool, bool]]:
-    """(text, words, words in links, framed, in an article, heading) of each block with text, in page order."""
+def blocks(page: str | None) -> list[tuple[str, int, int, bool, bool, bool, float]]:
+    """(text, words, words in links, framed, in an article, heading, hinted) of each block with text, in page order.
+
+    hinted is 0 without a hint around the block, and else the share of the page's unframed words that stand outside the
+    innermost element with one: near 0 in a wrapper of the page, near 1 in a small box. An article resets outer hints.
+    """
     page = page or ""
-    out: list[tuple[str, int, int, bool, bool, bool]] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # element, and then for it and all around it: silent, framed, article
+    out: list[tuple] = []
+    stack: list[tuple] = []  # element, and then for it and all around it: silent, framed, article, innermost hint that counts, innermost hint
+    hints: list[list[int]] = []  # of each element with a hint: the one around it, or -1, and its unframed words
+    words = 0
     now, linked = [], []
     in_link, heading, at = 0, False, 0
 
-    def state() -> tuple[bool, bool, bool]:
-        return stack[-1][1:] if stack else (False, False, False)
+    def state() -> tuple[bool, bool, bool, int, int]:
+        return stack[-1][1:] if stack else (False, False, False, -1, -1)
 
     def close() -> None:
-        nonlocal now, linked
+        nonlocal now, linked, words
         text = " ".join("".join(now).split())
         if text:
-            _, framed, article = state()
-            out.append((text, len(text.split(" ")), len("".join(linked).split()), framed, article, heading))
+            _, framed, article, hint, around = state()
+            n = len(text.split(" "))
+            out.append((text, n, len("".join(linked).split()), framed, article, heading, hint))
+            if not framed:
+                words += n
+                while around >= 0:
+                    hints[around][1] += n
+                    around = hints[around][0]
         now, linked = [], []
 
     def put(raw: str) -> None:
@@ -89,22 +103,27 @@ def blocks(page: str | None) -> list[tuple[str, int, int, bool, bool, bool]]:
         elif name in HOLDER or "hidden" in raw or "none" in raw:
             a = _attributes(raw)
             if name in HOLDER:
-                silent, framed, article = state()
+                silent, framed, article, hint, around = state()
                 said = _CAMEL.sub("-", " ".join((a.get("class", ""), a.get("id", ""), a.get("role", "")))).lower()
-                framed = framed or name in FRAME or (name == "header" and not article) or (name not in ("body", "article", "main") and bool(HINT.search(said)))
-                stack.append((name, silent or name in SILENT or _hidden(a), framed, article or name in ("article", "main")))
+                framed = framed or name in FRAME or (name == "header" and not article) or (name not in ("body", "article", "main") and a.get("role", "").lower() in ROLES)
+                if name in ("article", "main"):
+                    hint = -1
+                elif name != "body" and HINT.search(said):
+                    hints.append([around, 0])
+                    hint = around = len(hints) - 1
+                stack.append((name, silent or name in SILENT or _hidden(a), framed, article or name in ("article", "main"), hint, around))
             elif name in BLOCK and name != "hr" and _hidden(a):  # a hidden paragraph or heading lasts to its end tag
                 stop = re.compile(rf"</{name}\s*>", re.I).search(page, at)
                 at = stop.end() if stop else at
     put(page[at:])
     close()
-    return out
+    return [(*b[:6], 1 - hints[b[6]][1] / words if b[6] >= 0 and words else 0.0) for b in out]
 
 
-def features(found: list[tuple[str, int, int, bool, bool, bool]]) -> np.ndarray:
+def features(found: list[tuple[str, int, int, bool, bool, bool, float]]) -> np.ndarray:
     own = [(w, k / w) for _, w, k, *_ in found]
     around = [(0, 0.0), *own, (0, 0.0)]
-    return np.array([(*own[k], *around[k], *around[k + 2], *map(int, found[k][3:])) for k in range(len(found))], float).reshape(len(found), len(FEATURES))
+    return np.array([(*own[k], *around[k], *around[k + 2], *map(float, found[k][3:])) for k in range(len(found))], float).reshape(len(found), len(FEATURES))
 
 
 #: Labelled shapes of blocks: words, link density, heading; and of what stands around them: words and link density before, and after.
@@ -120,15 +139,19 @@ def labelled() -> list[tuple[float, ...]]:
 
     Framed blocks are never main text. In an article, text is, and so is a link amid text, but no list of links.
     Elsewhere long text is, and short text amid long text; short text among links or little else is not, nor are links.
+    In a small part of the page with a hint, long text is; in an article, all text is, but no links.
     """
     rows = []
     for shapes, is_text in ((_TEXT, 1), (_LINKS, 0)):
         for words, links, heading in shapes:
             for around, amid in ((_AMID_TEXT, 2), (_AMID_LINKS, 1), (_AMID_LITTLE, 0)):
                 for before in around:
-                    rows += [(words, links, *before, 1, article, heading, 0) for article in (0, 1)]
-                    rows.append((words, links, *before, 0, 1, heading, int(is_text or amid == 2)))
-                    rows.append((words, links, *before, 0, 0, heading, int(is_text and (words >= 14 or amid == 2))))
+                    rows += [(words, links, *before, 1, article, heading, hinted, 0) for article in (0, 1) for hinted in (0.0, 0.9)]
+                    rows.append((words, links, *before, 0, 1, heading, 0.0, int(is_text or amid == 2)))
+                    rows.append((words, links, *before, 0, 0, heading, 0.0, int(is_text and (words >= 14 or amid == 2))))
+                    for hinted in (0.3, 0.9):
+                        rows.append((words, links, *before, 0, 1, heading, hinted, is_text))
+                        rows.append((words, links, *before, 0, 0, heading, hinted, int(is_text and words >= 35)))
     return rows
 
 

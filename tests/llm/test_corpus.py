@@ -229,3 +229,16 @@ def test_all_linkers_of_a_blocked_host_are_blocked(spark):
         pages = spark.createDataFrame(rows, "page_id long, url string, html string")
         out = {r.page_id: r.verdict for r in url_filter.judge(pages, (("block", "net", "/"), ("allow", "org", "/fr/"))).collect()}
         assert {k for k, v in out.items() if v == "block"} == set(range(n + 1))
+
+
+def test_html_hints_are_no_veto():
+    tree = html_extract.trained()
+    words = lambda n: " ".join(f"w{k}" for k in range(n))
+    for around in ("container no-sidebar", "site has-sidebar", "wrap comments-open"):
+        menu = '<nav><a href="/a">Menu one</a></nav><div class="ad">Buy our things now</div>'
+        for inner in (f"<p>{words(60)}</p><p>{words(20)}</p><p>{words(45)}</p>", f"<article><h1>A head</h1><p>{words(60)}</p><p>{words(9)}</p></article>"):
+            got = html_extract.main_blocks(f'<div class="{around}">{menu}{inner}</div><footer>Foot</footer>', tree)
+            assert got == [b for b in ("A head", words(60), words(9), words(20), words(45)) if f">{b}<" in inner]
+    page = f'<nav><a href="/a">Menu</a></nav><article><header class="entry-header"><h1>A head</h1></header><p>{words(80)}</p><section id="discussion"><h2>Discussion</h2><p>{words(40)}</p></section><div class="share"><a href="/s">Share</a></div></article>'
+    assert html_extract.main_blocks(page, tree) == ["A head", words(80), "Discussion", words(40)]
+    assert html_extract.main_blocks(f'<div class="sidebar"><p>{words(50)}</p></div><div class="ad">Buy this</div><p>{words(90)}</p><aside>{words(70)}</aside><p hidden>{words(40)}</p>', tree) == [words(50), words(90)]
