@@ -13,7 +13,7 @@ DAYS_A, DAYS_B, FIRST_DAY = 189, 773, "1800-01-01"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "phone": r"(?<![\w+])(?:\+?1[ .-]?)?(?:\([2-9]\d{2}\)[ .-]?|[2-9]\d{2}[ .-])[2-9]\d{2}[ .-]\d{4}(?!\w)|(?<![\w+])\+[1-9](?:[ .()-]{0,2}\d){7,14}(?!\w)",
-    "date": r"(?<![\w.-])(?:(?:18|19|20|21)\d{2}([-/.])\d{2}\1\d{2}|\d{2}([-/.])\d{2}\2(?:18|19|20|21)\d{2})(?![\w-])",
+    "date": r"(?<![\w.-])(?:(?:18|19|20|21)\d{2}([-/.])\d{2}\1\d{2}|\d{2}([-/.])\d{2}\2(?:18|19|20|21)\d{2})(?:(?![\w-])|(?=T\d))",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "ip": r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)",
     "card": r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])",
@@ -142,6 +142,15 @@ def kind_of(match: Column) -> Column:
     )
 
 
+def shorter_card(match: Column) -> Column:
+    """(before, value) of the longest run of whole digit groups, the first of equals, that is a card number in a match which is none; null without one."""
+    groups = F.split(match, r"(?<=[ -])")
+    said = lambda g, at, n: F.array_join(F.slice(g, at, n), "")
+    runs = lambda g: F.flatten(F.transform(F.sequence(F.lit(1), F.size(g)), lambda i: F.transform(F.sequence(F.lit(1), F.size(g) - i + 1), lambda n: F.struct((-i).alias("at"), said(g, F.lit(1), i - 1).alias("before"), F.regexp_replace(said(g, i, n), "[ -]$", "").alias("value")))))
+    sized = F.transform(_let(groups, runs), lambda x: F.struct(F.length(_digits(x["value"])).alias("n"), x["at"].alias("at"), x["before"].alias("before"), x["value"].alias("value")))
+    return F.array_max(F.filter(sized, lambda x: F.when(x["n"].between(13, 19), luhn_sum(_digits(x["value"])) % 10 == 0).otherwise(F.lit(False))))
+
+
 def pseudonym(match: Column, kind: Column, key: str, back: bool = False) -> Column:
     ssn = into_format(match, permuted_digits(_digits(match), key, "ssn", back))
     forms = (_email(match, key, back), _phone(match, key, back), _date(match, key, back), ssn, _ip(match, key, back), _card(match, key, back))
@@ -167,15 +176,18 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     has = F.col("text").rlike("[0-9@]") & F.col("text").rlike(_ANY)
     slim = slim.withColumn("gap", F.when(has, F.split("text", _ANY, -1))).withColumn("m", F.when(has, F.regexp_extract_all("text", F.lit(_ANY), F.lit(0))))
     slim = slim.withColumn("m", F.transform("m", lambda m: F.struct(m.alias("value"), kind_of(m).alias("kind"))))
-    slim = slim.withColumn("m", F.transform("m", lambda m: F.struct(m["value"].alias("value"), m["kind"].alias("kind"), F.when(m["kind"].isNull(), m["value"]).otherwise(pseudonym(m["value"], m["kind"], key)).alias("pseudonym"))))
-    text = F.when(F.col("gap").isNull(), F.col("text")).otherwise(F.array_join(F.flatten(F.zip_with("gap", "m", lambda g, m: F.array(g, F.coalesce(m["pseudonym"], F.lit(""))))), ""))
+    slim = slim.withColumn("m", F.transform("m", lambda m: F.struct(m["value"].alias("whole"), m["kind"].alias("kind"), F.when(m["kind"].isNull() & m["value"].rlike(f"^(?:{PATTERNS['card']})$"), shorter_card(m["value"])).alias("card"))))
+    slim = slim.withColumn("m", F.transform("m", lambda m: F.struct(F.coalesce(m["card"]["before"], F.lit("")).alias("before"), F.coalesce(m["card"]["value"], m["whole"]).alias("value"), F.when(m["card"].isNotNull(), KINDS.index("card")).otherwise(m["kind"]).alias("kind"), m["whole"].alias("whole"))))
+    after = lambda m: F.substr(m["whole"], F.length(m["before"]) + F.length(m["value"]) + 1, F.length(m["whole"]))
+    slim = slim.withColumn("m", F.transform("m", lambda m: F.struct(m["before"].alias("before"), m["value"].alias("value"), m["kind"].alias("kind"), after(m).alias("after"), F.when(m["kind"].isNull(), m["value"]).otherwise(pseudonym(m["value"], m["kind"], key)).alias("pseudonym"))))
+    text = F.when(F.col("gap").isNull(), F.col("text")).otherwise(F.array_join(F.flatten(F.zip_with("gap", "m", lambda g, m: F.array(g, *(F.coalesce(m[k], F.lit("")) for k in ("before", "pseudonym", "after"))))), ""))
     start = F.struct(F.lit(0).cast("long").alias("at"), none.alias("found"))
 
     def step(s, x):
-        begin = s["at"] + F.length(x["gap"])
+        begin = s["at"] + F.length(x["gap"]) + F.length(x["m"]["before"])
         end = begin + F.length(x["m"]["value"])
         item = F.array(F.struct(x["m"]["kind"].cast("int").alias("kind"), begin.alias("start"), end.alias("end"), x["m"]["value"].alias("value"), x["m"]["pseudonym"].alias("pseudonym"))).cast(_FOUND)
-        return F.struct(end.alias("at"), F.when(x["m"]["kind"].isNotNull(), F.concat(s["found"], item)).otherwise(s["found"]).alias("found"))
+        return F.struct((end + F.length(x["m"]["after"])).alias("at"), F.when(x["m"]["kind"].isNotNull(), F.concat(s["found"], item)).otherwise(s["found"]).alias("found"))
 
     found = F.when(F.col("gap").isNull(), none).otherwise(F.aggregate(F.arrays_zip("gap", "m"), start, step, lambda s: s["found"]))
     return slim.select("doc_id", text.alias("text"), found.alias("found"))

@@ -242,3 +242,16 @@ def test_html_hints_are_no_veto():
     page = f'<nav><a href="/a">Menu</a></nav><article><header class="entry-header"><h1>A head</h1></header><p>{words(80)}</p><section id="discussion"><h2>Discussion</h2><p>{words(40)}</p></section><div class="share"><a href="/s">Share</a></div></article>'
     assert html_extract.main_blocks(page, tree) == ["A head", words(80), "Discussion", words(40)]
     assert html_extract.main_blocks(f'<div class="sidebar"><p>{words(50)}</p></div><div class="ad">Buy this</div><p>{words(90)}</p><aside>{words(70)}</aside><p hidden>{words(40)}</p>', tree) == [words(50), words(90)]
+
+
+def test_cards_beside_other_digits_and_dates_before_times(spark):
+    card, spaced = "4111111111111111", "4111 1111 1111 1111"
+    texts = [f"pay {card} 12/25 now", f"pay {spaced} 123, call +1 (988) 555-2485", f"no {12} {card}.", f"{spaced.replace(' ', '-')} 99 and 10.0.0.7", "at 2024-01-02T10:00:00Z and 2024-01-02Tue"]
+    out = {r.doc_id: r for r in pii.pseudonymise(hard(spark, list(enumerate(texts))), "k").collect()}
+    for k, text in enumerate(texts):
+        assert all(text[f.start : f.end] == f.value != f.pseudonym for f in out[k].found)
+        at, said = 0, ""
+        for f in out[k].found:
+            said, at = said + text[at : f.start] + f.pseudonym, f.end
+        assert out[k].text == said + text[at:]
+    assert [[f.value for f in out[k].found] for k in range(5)] == [[card], [spaced, "+1 (988) 555-2485"], [card], [spaced.replace(" ", "-"), "10.0.0.7"], ["2024-01-02"]]
