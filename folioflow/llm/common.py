@@ -24,11 +24,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder for intermediate tables, named by spark.checkpoint.dir; a folder of this machine only where all tasks run on it, as in tests."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp())
+    return sc.getCheckpointDir()
+
+
 def durable(df: DataFrame) -> DataFrame:
     """The rows in the shared checkpoint folder: computed once, without lineage, safe when executors go."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:  # only outside a cluster, as in tests
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
