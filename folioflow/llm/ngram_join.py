@@ -10,8 +10,9 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from folioflow.llm.common import BROADCAST_ROWS, WordHashes, durable, join_small, map_arrow, shingle_hashes, texts
+from folioflow.llm.common import BROADCAST_ROWS, WordHashes, durable, join_salted, join_small, map_arrow, shingle_hashes, sized, texts
 from folioflow.llm.components import components
 
 #: Counters of the corpus-wide frequency sketch, which orders n-grams from rare to frequent.
@@ -25,6 +26,8 @@ TILE_ROWS, TILE_COLUMNS = 1500, 4096
 TILE_ENTRIES = 1_000_000
 #: Sets that a task remembers so as not to send them twice; others are sent again and meet in the shuffle.
 SEEN = 250_000
+#: A sketch counter beyond this many times the mean, and this many occurrences, marks n-grams whose columns are never sorted in one task.
+HOT_TIMES, HOT_LEAST = 8, 2_000_000
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -80,11 +83,12 @@ def _prefix(h: np.ndarray, order: np.ndarray, percent: int) -> np.ndarray:
     return h[np.lexsort((h, order[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))[:keep]]
 
 
-def _incidence(width: int, percent: int, sketch, least: int):
-    """Entries (gram, n, node) of the prefix columns; within a task a repeated set counts once."""
+def _incidence(width: int, percent: int, sketch, least: int, hot_least: int, hot_times: float):
+    """Entries (kind, gram, n, node) of the prefix columns, kind 1 for hot ones; within a task a repeated set counts once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, order, seen = WordHashes(), sketch.value, set()
+        hot = order > max(hot_least, hot_times * float(order.mean()))
         for batch in batches:
             grams, sizes, nodes = [], [], []
             for text in texts(batch):
@@ -97,13 +101,15 @@ def _incidence(width: int, percent: int, sketch, least: int):
                 sizes.append(np.full(len(p), len(h), np.int32))
                 nodes.append(np.full(len(p), node, np.int64))
             if grams:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams).astype(np.int64)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(nodes))], names=["gram", "n", "node"])
+                g = np.concatenate(grams)
+                kind = hot[(g >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(g.astype(np.int64)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(nodes))], names=["kind", "gram", "n", "node"])
 
     return run
 
 
 def _products(percent: int, dense: int):
-    """Of sorted incidence entries: the pairs of each sparse column (kind 0) and the entries of dense columns (kind 1)."""
+    """Of sorted incidence entries: the pairs of each sparse column (kind 0) and the entries of dense and hot columns (kind 1)."""
     names = ["kind", "x", "y", "nx", "ny"]
 
     def rows(kind, *columns):
@@ -131,7 +137,11 @@ def _products(percent: int, dense: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, open_dense = [np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int64)], None
         for batch in batches:
-            g, n, d = (np.concatenate([h, batch.column(k).to_numpy(zero_copy_only=False)]) for k, h in enumerate(held))
+            if k := int(np.count_nonzero(batch.column(0).to_numpy(zero_copy_only=False))):  # they come last
+                g, n, d = (batch.column(c).to_numpy(zero_copy_only=False)[-k:] for c in (1, 2, 3))
+                yield rows(1, g, d, n, n)
+                batch = batch.slice(0, batch.num_rows - k)
+            g, n, d = (np.concatenate([h, batch.column(k + 1).to_numpy(zero_copy_only=False)]) for k, h in enumerate(held))
             if len(g) == 0:
                 continue
             keep = np.r_[True, (g[1:] != g[:-1]) | (d[1:] != d[:-1])]  # copies of a set that came from several tasks
@@ -253,31 +263,20 @@ def _tiles(percent: int):
     return run
 
 
-def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 85) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row: similarity classes under 100 * overlap >= percent * union.
+def _classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """From rows (doc_id, text): slim rows (doc_id, n, node), and (node, root, first, same) of each node that is not alone.
 
-    1. Each text becomes its set of distinct word shingles as 64-bit hashes; texts with the same set are one node.
-    2. Columns of the incidence matrix are ordered from rare to frequent by a sketch over all documents (any order
-       gives the same links), and only the prefix columns of each set are multiplied: a linked pair shares one.
-    3. The product accumulates overlap counts of pairs column by column. Pairs whose sizes, or whose count plus all
-       that may follow the prefixes, cannot reach the bound are discarded; the rest are verified on whole sets.
-    4. Columns of more than DENSE_COLUMN nodes never become pairs of rows. Each node meets the column's smallest
-       node; where several classes are left, tiles of the column are multiplied densely and give one link a union.
-    5. The links' connected components, and copies of equal sets, take the smallest doc_id.
-
-    Null, empty and blank texts have no shingles and are linked with nothing; their component_id is their own doc_id.
-    Equal rows give equal rows. A null doc_id is never the smallest. Other columns are not read. Two sets share a
-    64-bit hash by chance once in about 10**19 pairs.
+    first is the smallest doc_id of a node's rows, null if none has one, and same the number of rows that have it.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = durable(map_arrow(docs, _sets(width), "kind int, doc_id long, n long, node long, counts binary"))
     slim = rows.where("kind = 0").select("doc_id", "n", "node")
     spark = docs.sparkSession
     sketch = spark.sparkContext.broadcast(_sketch(rows))
     least = -(-percent // (100 - percent))  # smaller sets link with equal ones only, and with sets of this size or more
 
-    entries = map_arrow(docs.select("text"), _incidence(width, percent, sketch, least), "gram long, n int, node long")
-    entries = entries.repartition("gram").sortWithinPartitions("gram", "n", "node")
+    entries = map_arrow(docs.select("text"), _incidence(width, percent, sketch, least, HOT_LEAST, HOT_TIMES), "kind int, gram long, n int, node long")
+    # a hot column is spread over tasks by its nodes and leaves this stage whole, as entries of a dense column
+    entries = entries.withColumn("salt", F.when(F.col("kind") == 1, F.col("node")).otherwise(0)).repartition("gram", "salt").sortWithinPartitions("kind", "gram", "n", "node").select("kind", "gram", "n", "node")
     block = map_arrow(entries, _products(percent, DENSE_COLUMN), "kind int, x long, y long, nx int, ny int")
     # rest: what may follow the prefix of the set whose prefix ends first
     need = F.ceil(percent * (F.col("nx") + F.col("ny")) / (100 + percent))
@@ -286,15 +285,29 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     dense = found.where("kind = 1").select(F.col("x").alias("gram"), F.col("y").alias("node"), F.col("nx").alias("n"))
 
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)))
-    hubs = dense.groupBy("gram", band.alias("band")).agg(F.min("node").alias("hub"))
-    spokes = dense.withColumn("band", band).join(hubs, ["gram", "band"]).where("node != hub").select(F.col("hub").alias("x"), F.col("node").alias("y"))
-    pairs = found.where("kind = 0").select("x", "y").unionByName(spokes).distinct()
+    hubs = durable(dense.groupBy("gram", band.alias("band")).agg(F.min("node").alias("hub")))
+    few = hubs.count() <= BROADCAST_ROWS
+    spokes = dense.withColumn("band", band).join(F.broadcast(hubs) if few else hubs, ["gram", "band"]).where("node != hub").select(F.col("hub").alias("x"), F.col("node").alias("y"))
+    pairs = durable(found.where("kind = 0").select("x", "y").unionByName(spokes).distinct())
     wanted = pairs.select(F.col("x").alias("node")).unionByName(pairs.select(F.col("y").alias("node"))).unionByName(dense.select("node")).distinct()
     whole = join_small(map_arrow(docs.select("text"), _whole_sets(width), "node long, grams binary"), wanted, "node", "left_semi", BROADCAST_ROWS)
     whole = durable(whole.groupBy("node").agg(F.first("grams").alias("grams")))
-    both = pairs.join(whole.select(F.col("node").alias("x"), F.col("grams").alias("a")), "x").join(whole.select(F.col("node").alias("y"), F.col("grams").alias("b")), "y")
-    links = durable(map_arrow(both.select("x", "y", "a", "b"), _verify(percent), "u long, v long"))
+
+    def verified(some: DataFrame) -> DataFrame:
+        both = some.join(whole.select(F.col("node").alias("x"), F.col("grams").alias("a")), "x").join(whole.select(F.col("node").alias("y"), F.col("grams").alias("b")), "y")
+        return durable(map_arrow(both.select("x", "y", "a", "b"), _verify(percent), "u long, v long"))
+
+    # each set meets its smallest partner first; of the other pairs, only those between different classes are left to verify
+    ends = pairs.unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y")))
+    first = ends.groupBy("x").agg(F.min("y").alias("y")).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    links = verified(first)
     classes = components(links)
+    root = lambda side: classes.select(F.col("node").alias(side), F.col("root").alias(f"r{side}"))
+    others = pairs.join(root("x"), "x", "left").join(root("y"), "y", "left").where("rx is null or ry is null or rx != ry").select("x", "y")
+    more = verified(others.join(first, ["x", "y"], "left_anti"))
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        classes = components(links)
 
     if not dense.isEmpty():
         classed = durable(dense.join(classes, "node", "left").select("gram", "node", "n", F.coalesce("root", "node").alias("class")))
@@ -306,26 +319,73 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         if not more.isEmpty():
             classes = components(links.unionByName(more))
 
-    nodes = slim.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("c")).join(classes, "node", "left")
-    nodes = durable(nodes.where("c > 1 or root is not null").select("node", "first", F.coalesce("root", "node").alias("root")))
+    rows = slim.where("node is not null").groupBy("node", "doc_id").agg(F.count("*").alias("c"))
+    by_id = F.struct(F.col("doc_id").isNull(), "doc_id")
+    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.sum("c").alias("c"), F.min_by("c", by_id).alias("same")).join(classes, "node", "left")
+    return slim, durable(nodes.where("c > 1 or root is not null").select("node", F.coalesce("root", "node").alias("root"), "first", "same"))
+
+
+def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
+def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 85) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row: similarity classes under 100 * overlap >= percent * union.
+
+    1. Each text becomes its set of distinct word shingles as 64-bit hashes; texts with the same set are one node.
+    2. Columns of the incidence matrix are ordered from rare to frequent by a sketch over all documents (any order
+       gives the same links), and only the prefix columns of each set are multiplied: a linked pair shares one.
+    3. The product accumulates overlap counts of pairs column by column. Pairs whose sizes, or whose count plus all
+       that may follow the prefixes, cannot reach the bound are discarded. The rest are verified on whole sets, each
+       set's smallest partner first: pairs inside a class that is already joined need no set of their own.
+    4. Columns of more than DENSE_COLUMN nodes never become pairs of rows, and columns that the sketch calls hot never
+       meet in one task. Each node meets the column's smallest node; where several classes are left, tiles of the
+       column are multiplied densely and give one link a union.
+    5. The links' connected components, and copies of equal sets, take the smallest doc_id.
+
+    Null, empty and blank texts have no shingles and are linked with nothing; their component_id is their own doc_id.
+    Equal rows give equal rows, an empty table none. A null doc_id is never the smallest. Other columns are not read.
+    Two sets share a 64-bit hash by chance once in about 10**19 pairs.
+    """
+    slim, nodes = _classes(_slim(docs, id_col, text_col), width, percent)
     least_id = nodes.groupBy("root").agg(F.min("first").alias("component"))
     classed = nodes.join(least_id, "root").select("node", "component")
     out = join_small(slim, classed, "node", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def _with_node(width: int, text_at: str, names: list[str]):
+    """The rows with the hash of their set as a last column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            sets = (shingle_hashes(_words(t), width, hashes) for t in texts(batch, text_at))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([_signature(h) if len(h) else None for h in sets], pa.int64())], names=names)
+
+    return run
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 85) -> DataFrame:
-    """docs without the rows whose class has a smaller doc_id, in docs' own columns.
+    """docs in its own columns, with one row of each similarity class: the one with the smallest doc_id.
 
-    A doc_id that occurs in several rows keeps one of them. Rows without a doc_id stay as they are.
+    Rows are told apart by their texts, not by their ids: rows that share a doc_id but not a class each stand for
+    their own. A null doc_id counts as greater than all others. Rows of one class that share the smallest doc_id too
+    leave one of them: of those with the smallest set hash, any one. Rows without shingles (null, empty or blank texts)
+    are in no class and stay. An empty table gives none; docs must have a text column of strings, and may have others.
     """
-    ids = durable(ngram_components(docs, id_col, text_col, width, percent))
-    gone = ids.where("component_id != doc_id").select("doc_id").distinct().withColumnRenamed("doc_id", "_gone_id")
-    gone, few = durable(gone), None
-    few = gone.count() <= BROADCAST_ROWS
-    out = docs.join(F.broadcast(gone) if few else gone, docs[id_col].cast("long") == gone["_gone_id"], "left_anti")
-    repeated = durable(ids.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_repeated_id")))
-    if repeated.isEmpty():
-        return out
-    on = out[id_col].cast("long") == repeated["_repeated_id"]
-    return out.join(repeated, on, "left_anti").unionByName(out.join(repeated, on, "left_semi").dropDuplicates([id_col]))
+    _, nodes = _classes(_slim(docs, id_col, text_col), width, percent)
+    by_id = F.struct(F.col("first").isNull(), "first", "node")
+    chosen = nodes.groupBy("root").agg(F.min_by("node", by_id).alias("chosen"))
+    own = "_" * (1 + max(len(c) - len(c.lstrip("_")) for c in docs.columns))  # no column of docs starts with it
+    names = {c: f"{own}{c}" for c in ("node", "chosen", "first", "same")}
+    fate = nodes.join(chosen, "root").select(F.col("node").alias(names["node"]), (F.col("node") == F.col("chosen")).alias(names["chosen"]), F.col("first").alias(names["first"]), F.col("same").alias(names["same"]))
+    schema = T.StructType([*docs.schema.fields, T.StructField(names["node"], T.LongType())])
+    marked = map_arrow(docs, _with_node(width, text_col, schema.names), schema)
+    fate, few = sized(fate)
+    out = marked.join(F.broadcast(fate), names["node"], "left") if few else join_salted(marked, fate, names["node"], [id_col])
+    out = out.where(F.col(names["chosen"]).isNull() | (F.col(names["chosen"]) & F.col(id_col).cast("long").eqNullSafe(F.col(names["first"]))))
+    several = F.coalesce(F.col(names["same"]), F.lit(1)) > 1
+    if fate.where(F.col(names["chosen"]) & (F.col(names["same"]) > 1)).isEmpty():
+        return out.select(docs.columns)
+    return out.where(~several).unionByName(out.where(several).dropDuplicates([names["node"]])).select(docs.columns)
