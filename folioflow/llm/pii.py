@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 ROUNDS = 8
 #: Days of the 400 years from 1800 on, after which the calendar repeats: 189 * 773.
-DAYS_A, DAYS_B, FIRST_DAY = 189, 773, "1800-01-01"
+DAYS_A, DAYS_B, FIRST_YEAR, FIRST_DAY = 189, 773, 1800, "1800-01-01"
+#: Those of them from the 13th of a month on, 221 a year and one more in a leap year: 9 * 9833. Only these read month first.
+LATE_A, LATE_B, LATE_DAY = 9, 9833, 13
 
 #: Patterns by kind. Runs of word characters, dots or signs around a match rule it out, so no part of a longer number is one.
 PATTERNS = {
@@ -91,13 +93,47 @@ def _day(text: Column) -> Column:
     return F.when(t.rlike(r"^\d{4}"), year_first).otherwise(F.coalesce(other("dd-MM-yyyy"), other("MM-dd-yyyy")))
 
 
+def _leap_years(year: Column) -> Column:
+    """Leap years from FIRST_YEAR up to year, which is left out."""
+    before = lambda y: F.floor(y / 4) - F.floor(y / 100) + F.floor(y / 400)
+    return before(year - 1) - before(F.lit(FIRST_YEAR - 1))
+
+
+def late_rank(day: Column) -> Column:
+    """How many days from the 13th of a month on come before day, itself one, in the 400 years."""
+    months = (F.year(day) - FIRST_YEAR) * 12 + F.month(day)
+    return (F.datediff(day, F.lit(FIRST_DAY).cast("date")) - (LATE_DAY - 1) * months).cast("long")
+
+
+def late_day(rank: Column) -> Column:
+    """The day of a late_rank."""
+    before = lambda y: (LATE_B * LATE_A // 400) * (y - FIRST_YEAR) + _leap_years(y)
+    guess = F.floor(rank * 400 / (LATE_A * LATE_B)) + FIRST_YEAR
+    year = lambda y: F.when(before(y) > rank, y - 1).when(before(y + 1) <= rank, y + 1).otherwise(y)
+
+    def within(y: Column) -> Column:
+        starts = [F.lit(0)]
+        for month in range(1, 12):
+            starts.append(starts[-1] + F.day(F.last_day(F.make_date(y.cast("int"), F.lit(month), F.lit(1)))) - (LATE_DAY - 1))
+        k = rank - before(y)
+        return _let(F.filter(F.array(*starts), lambda s: s <= k), lambda s: F.make_date(y.cast("int"), F.size(s), (k - F.element_at(s, -1) + LATE_DAY).cast("int")))
+
+    return _let(_let(guess, year), within)
+
+
 def _date(text: Column, key: str, back: bool) -> Column:
-    """Another day of the 400 years in the same notation."""
+    """Another day in the same notation: year first and day first share a permutation of all days of the 400 years; month first has one of those days that can't be read day first."""
     t = F.regexp_replace(text, "[/.]", "-")
-    shape = F.when(t.rlike(r"^\d{4}"), F.lit("yyyyMMdd")).when(F.try_to_timestamp(t, F.lit("dd-MM-yyyy")).isNotNull(), F.lit("ddMMyyyy")).otherwise(F.lit("MMddyyyy"))
-    moved = _let(feistel(F.datediff(_day(text), F.lit(FIRST_DAY).cast("date")).cast("long"), F.lit(DAYS_A).cast("long"), F.lit(DAYS_B).cast("long"), key, "date", back), lambda n: F.date_add(F.lit(FIRST_DAY).cast("date"), n.cast("int")))
-    written = lambda d: F.when(shape == "yyyyMMdd", F.date_format(d, "yyyyMMdd")).when(shape == "ddMMyyyy", F.date_format(d, "ddMMyyyy")).otherwise(F.date_format(d, "MMddyyyy"))
-    return into_format(text, _let(moved, written))
+    first = F.lit(FIRST_DAY).cast("date")
+    long = lambda n: F.lit(n).cast("long")
+    any_day = _let(feistel(F.datediff(_day(text), first).cast("long"), long(DAYS_A), long(DAYS_B), key, "date", back), lambda n: F.date_add(first, n.cast("int")))
+    late = _let(feistel(late_rank(_day(text)), long(LATE_A), long(LATE_B), key, "date-month-first", back), late_day)
+    written = (
+        F.when(t.rlike(r"^\d{4}"), F.date_format(any_day, "yyyyMMdd"))
+        .when(F.try_to_timestamp(t, F.lit("dd-MM-yyyy")).isNotNull(), F.date_format(any_day, "ddMMyyyy"))
+        .otherwise(F.date_format(late, "MMddyyyy"))
+    )
+    return into_format(text, written)
 
 
 def _phone(text: Column, key: str, back: bool) -> Column:
@@ -167,9 +203,10 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     """(doc_id, text, found) for each row: the whole text with each valid item replaced, and the items.
 
     found has kind (index into KINDS), start and end in code points of the input, value and pseudonym. Equal values
-    have equal pseudonyms under one key, whatever the document; different values of a kind have different ones (but
-    for e-mail addresses, which are hashed to 48 bits). What only looks like an item stays as it is. A null text stays
-    null and has none; ids may be null, equal rows give equal rows, other columns are not read. Nothing is shuffled.
+    have equal pseudonyms under one key, whatever the document; different values of one notation have different ones
+    (but for e-mail addresses, which are hashed to 48 bits). What only looks like an item stays as it is. A null text
+    stays null and has none, an empty table gives none; ids may be null, equal rows give equal rows, other columns are
+    not read. Nothing is shuffled. Who has the key can undo all but e-mail addresses: pseudonym(..., back=True).
     """
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     none = F.array().cast(_FOUND)
