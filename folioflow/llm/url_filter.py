@@ -9,10 +9,14 @@ from pyspark.sql import functions as F
 
 from folioflow.llm.common import durable, join_salted, sized
 
-DAMPING, ROUNDS = 0.85, 8
+DAMPING = 0.85
+#: Propagation goes on until no host's rank changes by more than this part of what one seed starts with.
+TOLERANCE = 1e-4
+#: Trust and distrust that differ by less than rounding are equal.
+EQUAL = 1e-9
 #: A host is distrusted if this damped share of its own out-links leads to blocked seeds, and it has more distrust than trust.
 MIN_SHARE = 0.1
-LINK = r"""(?i)\bhref\s*=\s*["']?\s*https?://([^/?#"'\s<>]+)"""
+LINK = r"""(?i)\bhref\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s<>]+)"""
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -40,18 +44,22 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.where("src != dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def propagate(seeds: DataFrame, steps: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """(kind, host, rank): what seeds (kind, host, base) have and, damped, pass on along steps (kind, host, dst, w)."""
-    steps, base = durable(steps), durable(seeds.select("kind", "host", F.col("base").alias("rank")))
-    rank = base
+def propagate(seeds: DataFrame, steps: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+    """(kind, host, rank): what seeds (kind, host, base) have and, damped, pass on along steps (kind, host, dst, w).
+
+    A round moves only what the one before it added. The last one adds at most tolerance of its kind's greatest base to
+    any host; each round's additions shrink by damping at least, so there are log(tolerance) / log(damping) at most
+    (57 as set), however large the graph is, and fewer where chains end.
+    """
+    steps, added = durable(steps), durable(seeds.select("kind", "host", F.col("base").alias("rank")))
     if steps.isEmpty():
-        return rank
-    for k in range(rounds):
-        moved = rank.join(steps, ["kind", "host"]).select("kind", F.col("dst").alias("host"), (F.col("rank") * F.col("w") * damping).alias("rank"))
-        rank = base.unionByName(moved).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
-        if k % 3 == 2:
-            rank = durable(rank)
-    return rank
+        return added
+    most = lambda: {r.kind: r.most for r in added.groupBy("kind").agg(F.max("rank").alias("most")).collect()}  # noqa: E731  # three kinds at most
+    ranks, first, now = added, most(), {"": 1.0}
+    while any(v > tolerance * first.get(kind, 0.0) for kind, v in now.items()):
+        added = durable(added.join(steps, ["kind", "host"]).groupBy("kind", F.col("dst").alias("host")).agg(F.sum(F.col("rank") * F.col("w") * damping).alias("rank")))
+        ranks, now = ranks.unionByName(added), most()
+    return ranks.groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
 
 
 def distrusted_hosts(judged: DataFrame, edges: DataFrame, min_share: float = MIN_SHARE) -> DataFrame:
@@ -75,7 +83,7 @@ def distrusted_hosts(judged: DataFrame, edges: DataFrame, min_share: float = MIN
     links = edges.join(edges.groupBy("src").agg(F.sum("n").alias("all")), "src").join(seeds.select(F.col("host").alias("src")), "src", "left_anti")
     rank = propagate(base, steps.unionByName(links.select(F.lit("share").alias("kind"), F.col("dst").alias("host"), F.col("src").alias("dst"), (F.col("n") / F.col("all")).alias("w"))))
     sides = rank.groupBy("host").agg(*(F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("rank"))), F.lit(0.0)).alias(k) for k in ("trust", "distrust", "share")))
-    return sides.where(f"distrust > trust and share >= {min_share}").select("host")
+    return sides.where(f"distrust > trust * {1 + EQUAL} and share >= {min_share}").select("host")
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
