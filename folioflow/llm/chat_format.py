@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Turns of a segment: no row of the operator's output holds more than the turns of one such range.
@@ -57,12 +57,14 @@ def _offsets(lengths: Column) -> Column:
 
 
 def format_segments(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
-    """(conv_id, segment, n_turns, formatted, loss_spans, attachments) from rows (conv_id, turn, role, parts).
-
-    Rows stand in the order of turn (null first), then role and parts; a segment holds the turns of one range of
-    SEGMENT_TURNS numbers, and a conversation's segments follow each other by number. loss_spans are the code points
-    of formatted that hold a loss_role text; attachments are the parts other than text with turn, place, ref and the
-    tokens they expand to. A null conv_id is a conversation of its own, null roles and parts are empty.
+    """(conv_id, segment, piece, n_turns, formatted, loss_spans, attachments) from rows (conv_id, turn, role, parts).
+
+    Rows stand in the order of turn (null first), then role, text and attachments; a segment holds the turns of one
+    range of SEGMENT_TURNS numbers, cut into pieces of as many rows where turn numbers are null or repeat, so no row of
+    the result holds more turns. A conversation's segments, and then their pieces, follow each other by number.
+    loss_spans are the code points of formatted that hold a loss_role text; attachments are the parts other than text
+    with turn, place, ref and the tokens they expand to. A null conv_id is a conversation of its own, null roles and
+    parts are empty, an empty table gives no rows, other columns are not read.
     """
     parts = F.coalesce(F.col("parts").cast(PARTS), F.array().cast(PARTS))
     row = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), parts.alias("parts"))
@@ -71,12 +73,14 @@ def format_segments(turns: DataFrame, loss_role: str = "assistant") -> DataFrame
     other = F.filter(F.transform("parts", lambda p, k: F.struct(k.alias("n"), p["kind"].alias("kind"), p["ref"].alias("ref"), expanded_tokens(p).alias("tokens"))), lambda a: F.coalesce(a["kind"], F.lit("text")) != "text")
     row = row.withColumn("attachments", other)
     row = row.withColumn("segment", F.coalesce(F.floor(F.col("turn") / SEGMENT_TURNS).cast("long"), F.lit(-(2**53)).cast("long")))
-    group = row.groupBy("conv_id", "segment").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "head", "body", "attachments"))).alias("t"))
+    place = F.row_number().over(Window.partitionBy("conv_id", "segment").orderBy("turn", "role", "head", "body", "attachments"))
+    row = row.withColumn("piece", F.floor((place - 1) / SEGMENT_TURNS).cast("int"))
+    group = row.groupBy("conv_id", "segment", "piece").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "head", "body", "attachments"))).alias("t"))
     group = group.withColumn("text", F.transform("t", lambda r: F.concat(r["head"], r["body"], F.lit(CLOSE))))
     group = group.withColumn("at", _offsets(F.transform("text", lambda x: F.length(x).cast("long"))))
     spans = F.transform("t", lambda r, k: F.when(r["role"] == loss_role, F.struct((F.element_at("at", k + 1) + F.length(r["head"])).alias("start"), (F.element_at("at", k + 1) + F.length(r["head"]) + F.length(r["body"])).alias("end"))))
     found = F.flatten(F.transform("t", lambda r: F.transform(r["attachments"], lambda a: F.struct(r["turn"].alias("turn"), a["n"].alias("n"), a["kind"].alias("kind"), a["ref"].alias("ref"), a["tokens"].alias("tokens")))))
-    return group.select("conv_id", "segment", F.size("t").cast("long").alias("n_turns"), F.array_join("text", "").alias("formatted"), F.filter(spans, lambda s: s.isNotNull()).alias("loss_spans"), found.alias("attachments"))
+    return group.select("conv_id", "segment", "piece", F.size("t").cast("long").alias("n_turns"), F.array_join("text", "").alias("formatted"), F.filter(spans, lambda s: s.isNotNull()).alias("loss_spans"), found.alias("attachments"))
 
 
 def read_turns(formatted: Column) -> Column:

@@ -18,8 +18,8 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = rows.unionByName(extra).select("conv_id", "turn", "role", text_part(F.coalesce("text", F.lit(""))).alias("parts"))
     segments = format_segments(turns)
     said = F.array_join(F.transform(read_turns(F.col("formatted")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    part = segments.select("conv_id", "segment", F.size(read_turns(F.col("formatted"))).cast("long").alias("n"), said.alias("said"), F.array_join(read_loss(F.col("formatted"), F.col("loss_spans")), "").alias("loss"), F.length("formatted").cast("long").alias("chars"))
-    whole = part.groupBy("conv_id").agg(F.sum("n").alias("n_turns"), F.sum("chars").alias("formatted_chars"), F.sort_array(F.collect_list(F.struct("segment", "said", "loss"))).alias("s"))
+    part = segments.select("conv_id", "segment", "piece", F.size(read_turns(F.col("formatted"))).cast("long").alias("n"), said.alias("said"), F.array_join(read_loss(F.col("formatted"), F.col("loss_spans")), "").alias("loss"), F.length("formatted").cast("long").alias("chars"))
+    whole = part.groupBy("conv_id").agg(F.sum("n").alias("n_turns"), F.sum("chars").alias("formatted_chars"), F.sort_array(F.collect_list(F.struct("segment", "piece", "said", "loss"))).alias("s"))
     loss, said = F.array_join(F.transform("s", lambda x: x["loss"]), ""), F.array_join(F.transform("s", lambda x: x["said"]), "")
     return whole.select("conv_id", "n_turns", F.sha2(said, 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), "formatted_chars")
 
