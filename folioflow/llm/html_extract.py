@@ -5,13 +5,14 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import texts
+from folioflow.llm.common import map_arrow, texts
 
 #: Fixed values of HTML: elements whose tags end a block, that hold no text of the page, and that may hold blocks.
 BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html iframe legend li main menu nav noscript ol optgroup option p pre section select summary table tbody td textarea tfoot th thead title tr ul".split())
@@ -21,13 +22,21 @@ HOLDER = frozenset("article aside body details dialog div dl fieldset figure foo
 FRAME = frozenset("nav footer aside form menu dialog fieldset".split())
 #: Roles that say the same as such an element.
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog menu".split())
-#: Words in class, id and role of elements around an article, but also of wrappers around all of a page: a feature, no veto.
+#: Words in class, id and role of boxes around an article, but also of wrappers around all of a page.
 HINT = re.compile(r"(?<![a-z])(?:nav|navbar|navigation|menu|sidebar|side|footer|foot|header|masthead|banner|ads?|advert\w*|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscri\w+|signup|login|search|share|sharing|social|breadcrumbs?|pagination|pager|related|recommend\w*|comments?|commentlist|repl(?:y|ies)|disqus|respond|discussion|feedback|reviews?|widgets?|toolbar|copyright|legal|disclaimer|teasers?|trending|complementary|contentinfo)(?![a-z])")
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "framed", "in_article", "heading", "hinted")
+#: Of these, the words of boxes that hold no text of the article even inside it.
+STRONG = re.compile(r"(?<![a-z])(?:ads?|advert\w*|sponsor\w*|promo\w*|cookies?|consent|newsletter|share|sharing|social|breadcrumbs?|related|comments?|commentlist|disqus|respond)(?![a-z])")
+#: A box with such a word is one if this share of the page's unframed words (or of the article's, inside it) stands outside.
+BOX = 0.7
+#: What stands in copyright lines.
+_MARK = re.compile(r"\s*(?:©|\(c\)|copyright\b)|all rights reserved", re.I)
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "heading", "heading_before", "heading_after", "near", "mark")
+#: Blocks on each side whose unlinked words count as near.
+NEAR = 3
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -38,32 +47,48 @@ def _hidden(a: dict[str, str]) -> bool:
     return "hidden" in a or a.get("aria-hidden", "").lower() == "true" or "display:none" in a.get("style", "").lower().replace(" ", "")
 
 
-def blocks(page: str | None) -> list[tuple[str, int, int, bool, bool, bool, float]]:
-    """(text, words, words in links, framed, in an article, heading, hinted) of each block with text, in page order.
+class Block(NamedTuple):
+    """A flat text block: its shape, and what the markup says of it."""
 
-    hinted is 0 without a hint around the block, and else the share of the page's unframed words that stand outside the
-    innermost element with one: near 0 in a wrapper of the page, near 1 in a small box. An article resets outer hints.
+    text: str
+    words: int
+    linked: int
+    heading: bool
+    framed: bool
+    article: bool
+    boxed: float
+
+
+def blocks(page: str | None) -> list[Block]:
+    """The blocks with text, in page order.
+
+    boxed is 0 without a hint around the block, and else the share of the unframed words of the page (of all articles,
+    for a strong hint inside one) that stand outside the innermost element with one: near 0 in a wrapper of the page,
+    near 1 in a small box. An article resets the hints around it.
     """
     page = page or ""
+    limit = page.rfind(">") + 1  # beyond it no tag can end
     out: list[tuple] = []
     stack: list[tuple] = []  # element, and then for it and all around it: silent, framed, article, innermost hint that counts, innermost hint
     hints: list[list[int]] = []  # of each element with a hint: the one around it, or -1, and its unframed words
-    words = 0
+    words = in_articles = 0
     now, linked = [], []
     in_link, heading, at = 0, False, 0
+    endless: set[str] = set()
 
     def state() -> tuple[bool, bool, bool, int, int]:
         return stack[-1][1:] if stack else (False, False, False, -1, -1)
 
     def close() -> None:
-        nonlocal now, linked, words
+        nonlocal now, linked, words, in_articles
         text = " ".join("".join(now).split())
         if text:
             _, framed, article, hint, around = state()
             n = len(text.split(" "))
-            out.append((text, n, len("".join(linked).split()), framed, article, heading, hint))
+            out.append((text, n, len("".join(linked).split()), heading, framed, article, hint))
             if not framed:
                 words += n
+                in_articles += n * article
                 while around >= 0:
                     hints[around][1] += n
                     around = hints[around][0]
@@ -76,7 +101,17 @@ def blocks(page: str | None) -> list[tuple[str, int, int, bool, bool, bool, floa
             if in_link:
                 linked.append(text)
 
-    while m := _TOKEN.search(page, at):
+    def skip(name: str, start: int, found: str) -> int:
+        """Where the end tag of name begins, or is over; the page's end if there is none."""
+        if name in endless:
+            return len(page)
+        stop = re.compile(found, re.I).search(page, start)
+        if stop is None:
+            endless.add(name)
+            return len(page)
+        return stop.start()
+
+    while m := _TOKEN.search(page, at, limit):
         put(page[at : m.start()])
         at = m.end()
         end, name, raw = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
@@ -98,8 +133,7 @@ def blocks(page: str | None) -> list[tuple[str, int, int, bool, bool, bool, floa
                     pass
             continue
         if name in RAW:
-            stop = re.compile(rf"</{name}", re.I).search(page, at)
-            at = stop.start() if stop else len(page)
+            at = skip(name, at, rf"</{name}")
         elif name in HOLDER or "hidden" in raw or "none" in raw:
             a = _attributes(raw)
             if name in HOLDER:
@@ -108,54 +142,74 @@ def blocks(page: str | None) -> list[tuple[str, int, int, bool, bool, bool, floa
                 framed = framed or name in FRAME or (name == "header" and not article) or (name not in ("body", "article", "main") and a.get("role", "").lower() in ROLES)
                 if name in ("article", "main"):
                     hint = -1
-                elif name != "body" and HINT.search(said):
+                elif name != "body" and (STRONG if article else HINT).search(said):
                     hints.append([around, 0])
                     hint = around = len(hints) - 1
                 stack.append((name, silent or name in SILENT or _hidden(a), framed, article or name in ("article", "main"), hint, around))
             elif name in BLOCK and name != "hr" and _hidden(a):  # a hidden paragraph or heading lasts to its end tag
-                stop = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-                at = stop.end() if stop else at
+                stop = skip(name, at, rf"</{name}\s*>")
+                at = stop if stop < len(page) else at
     put(page[at:])
     close()
-    return [(*b[:6], 1 - hints[b[6]][1] / words if b[6] >= 0 and words else 0.0) for b in out]
-
-
-def features(found: list[tuple[str, int, int, bool, bool, bool, float]]) -> np.ndarray:
-    own = [(w, k / w) for _, w, k, *_ in found]
-    around = [(0, 0.0), *own, (0, 0.0)]
-    return np.array([(*own[k], *around[k], *around[k + 2], *map(float, found[k][3:])) for k in range(len(found))], float).reshape(len(found), len(FEATURES))
-
-
-#: Labelled shapes of blocks: words, link density, heading; and of what stands around them: words and link density before, and after.
-_TEXT = ((80, 0.0, 0), (35, 0.05, 0), (14, 0.1, 0), (3, 0.0, 0), (1, 0.0, 0), (160, 0.1, 0), (25, 0.3, 0), (7, 0.0, 1), (2, 0.0, 1))
-_LINKS = ((1, 1.0, 0), (5, 1.0, 0), (9, 0.95, 0), (30, 0.85, 0), (4, 1.0, 1))
-_AMID_TEXT = ((9, 0.0, 75, 0.0), (60, 0.0, 40, 0.0), (120, 0.1, 200, 0.0), (50, 0.0, 6, 0.0), (2, 0.0, 60, 0.0), (70, 0.0, 0, 0.0), (16, 0.0, 18, 0.0), (22, 0.0, 15, 0.0), (20, 0.1, 0, 0.0), (5, 0.0, 24, 0.0), (0, 0.0, 17, 0.0))
-_AMID_LINKS = ((0, 0.0, 2, 1.0), (3, 1.0, 4, 1.0), (9, 0.9, 0, 0.0), (6, 1.0, 30, 0.8), (40, 0.0, 5, 1.0), (4, 1.0, 50, 0.0))
-_AMID_LITTLE = ((0, 0.0, 0, 0.0), (3, 0.0, 2, 0.0), (6, 0.3, 8, 0.2), (0, 0.0, 7, 0.0))
-
-
-def labelled() -> list[tuple[float, ...]]:
-    """Labelled blocks, the features in the order of FEATURES and then 1 for main text: each labelled shape in each labelled surrounding.
-
-    Framed blocks are never main text. In an article, text is, and so is a link amid text, but no list of links.
-    Elsewhere long text is, and short text amid long text; short text among links or little else is not, nor are links.
-    In a small part of the page with a hint, long text is; in an article, all text is, but no links.
-    """
-    rows = []
-    for shapes, is_text in ((_TEXT, 1), (_LINKS, 0)):
-        for words, links, heading in shapes:
-            for around, amid in ((_AMID_TEXT, 2), (_AMID_LINKS, 1), (_AMID_LITTLE, 0)):
-                for before in around:
-                    rows += [(words, links, *before, 1, article, heading, hinted, 0) for article in (0, 1) for hinted in (0.0, 0.9)]
-                    rows.append((words, links, *before, 0, 1, heading, 0.0, int(is_text or amid == 2)))
-                    rows.append((words, links, *before, 0, 0, heading, 0.0, int(is_text and (words >= 14 or amid == 2))))
-                    for hinted in (0.3, 0.9):
-                        rows.append((words, links, *before, 0, 1, heading, hinted, is_text))
-                        rows.append((words, links, *before, 0, 0, heading, hinted, int(is_text and words >= 35)))
-    return rows
-
-
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 2) -> tuple:
+    return [Block(*b[:6], 1 - hints[b[6]][1] / (in_articles if b[5] else words) if b[6] >= 0 and (in_articles if b[5] else words) else 0.0) for b in out]
+
+
+def shapes(rows: list[tuple[int, int, bool, bool]]) -> np.ndarray:
+    """The features of a page's blocks (words, words in links, heading, mark): each one's own, its neighbours', and the unlinked words of NEAR blocks on each side."""
+    n = len(rows)
+    if not n:
+        return np.empty((0, len(FEATURES)))
+    words, linked, heading, mark = (np.array([r[k] for r in rows], float) for k in range(4))
+    links = linked / words
+    pad = lambda v, k: np.concatenate([[0.0] * max(k, 0), v, [0.0] * max(-k, 0)])[max(-k, 0) : max(-k, 0) + n]
+    near = sum(pad(words - linked, k) for k in range(-NEAR, NEAR + 1) if k)
+    return np.stack([words, links, pad(words, 1), pad(links, 1), pad(words, -1), pad(links, -1), heading, pad(heading, 1), pad(heading, -1), near, mark], 1)
+
+
+def features(found: list[Block]) -> np.ndarray:
+    return shapes([(b.words, b.linked, b.heading, bool(_MARK.match(b.text) or _MARK.search(b.text[-60:]))) for b in found])
+
+
+#: The labelled table: block shapes of small pages in order. a: all links, t: text (after a slash: words in links), h: heading,
+#: c: copyright line; then the words; + for main text.
+LABELLED = (
+    "a1 a1 a2 a1 a1 a1 t9 h8+ t8+ t40+ t6+ t90+ t35+ t3+ c14",
+    "a1 a2 a1 t5 h4+ t120+ t60/4+ t18+ t75+ c9",
+    "a2 a1 h5+ t50+ t30+ t110/12+ t12+",
+    "a1 a1 a1 t16 h9+ t4+ t22+ t5+ t14+ c20",
+    "a1 a1 a1 a1 t20 h3+ t3+ t7+ c17",
+    "a1 a2 a3 a2 a1 a2 h3+ t25+ t12+ h4+ t45+ t7+ t9+ t60/6+ h2+ t33+ a2 a3 c8",
+    "a1 a1 h7+ t70+ a4+ t55+ t40+ h2 a6 a7 a5 c12",
+    "h6+ t80+ t45+ t20+ h2 a8 a7 a9 a6 c6",
+    "a1 a1 h5+ t60+ t85+ h2 a2 t14 a1 a2 t22 a1 a2 t9 a1 c7",
+    "a1 a1 h3+ t6+ c10",
+    "h2+ t4+ t5+",
+    "t40+ t70+ t9+",
+    "t6+",
+    "t12 a2 h5+ t66+ t48+ a1 a1 a1 t8 c9",
+    "t10/9 t14/12 h6+ t30/2+ t50+ t12/11 t25/22",
+    "a3 a1 t30+ t50+ t6+ t44+ a1 a1 a2 t10 c12",
+    "h4+ t60+ t20+ a3 t8 a2",
+    "a1 a1 t11 h6+ h4+ t25+ t80+ h3+ t5+ t5+ t4+ t28+ c5",
+    "t7 h5+ t60+ t38+ t52+ c18",
+    "a1 a1 a1 t13 h10+ t12+ t2+ c13",
+    "a1 a2 t4 h6+ t21+ t50+ t8+ c11",
+    "a1 a1 a1 t6 h9+ t70+ t5+ t32+ c16",
+)
+
+
+def labelled() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features and labels of the table's blocks, and the page that each is of."""
+    x, y, page = [], [], []
+    for k, line in enumerate(LABELLED):
+        found = re.findall(r"([atch])(\d+)(?:/(\d+))?(\+?)", line)
+        x.append(shapes([(int(n), int(n) if kind == "a" else int(some or 0), kind == "h", kind == "c") for kind, n, some, _ in found]))
+        y += [float(main == "+") for *_, main in found]
+        page += [k] * len(found)
+    return np.concatenate(x), np.array(y), np.array(page)
+
+
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 8, least: int = 2) -> tuple:
     """A CART tree by Gini impurity: (feature, threshold, left, right) or (share of main text,). Ties: first feature, lowest threshold."""
     if depth == 0 or y.min() == y.max():
         return (float(y.mean()),)
@@ -176,8 +230,8 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 2) -> tuple:
 
 
 def trained() -> tuple:
-    rows = np.array(labelled(), float)
-    return grow(rows[:, :-1], rows[:, -1])
+    x, y, _ = labelled()
+    return grow(x, y)
 
 
 def is_main(tree: tuple, row: np.ndarray) -> bool:
@@ -187,8 +241,20 @@ def is_main(tree: tuple, row: np.ndarray) -> bool:
 
 
 def main_blocks(page: str | None, tree: tuple) -> list[str]:
+    """The texts that the tree takes for main text, after the markup's own statements.
+
+    The tree knows only shapes. What it says is corrected where the markup says so itself: frame elements (menus,
+    headers and footers of the page, sidebars, forms) and small boxes named as such hold no main text, and unlinked text
+    of an article element is main text.
+    """
     found = blocks(page)
-    return [b[0] for b, row in zip(found, features(found), strict=True) if is_main(tree, row)]
+    has_article = any(b.article and not b.framed for b in found)
+    out = []
+    for b, row in zip(found, features(found), strict=True):
+        out_of_text = b.framed or b.boxed >= BOX or (b.boxed > 0 and has_article and not b.article)
+        if not out_of_text and (is_main(tree, row) or (b.article and 2 * b.linked < b.words)):
+            out.append(b.text)
+    return out
 
 
 def _extract(tree: tuple):
@@ -204,8 +270,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """(page_id, url, text, n_chars) for each row: the main blocks' texts in page order, joined by two newlines.
 
     Character references are decoded and white space inside a block becomes one space. A null or empty page, and one
-    without main text, has an empty text. Equal rows give equal rows, ids and urls may be null, other columns are not
-    read, and each row is worked on alone, so any number of pages takes bounded memory.
+    without main text, has an empty text. Equal rows give equal rows, ids and urls may be null, an empty table gives
+    none, other columns are not read. Pages are worked on one by one in slices of bounded size, so a task holds a few
+    MB, or its longest page.
     """
     slim = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    return slim.mapInArrow(_extract(trained()), "page_id long, url string, text string, n_chars long")
+    return map_arrow(slim, _extract(trained()), "page_id long, url string, text string, n_chars long")
