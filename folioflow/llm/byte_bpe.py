@@ -19,8 +19,14 @@ from folioflow.llm.common import map_arrow, texts
 
 #: Bounds of a chunk: characters of text, and distinct words. A longer text is a chunk of its own.
 CHUNK_CHARS, CHUNK_WORDS = 48_000_000, 1_500_000
-#: Parts of the vocabulary that are encoded apart; texts, and characters after which no more follow, of one row of positions.
-BUCKETS, GROUP_TEXTS, GROUP_CHARS = 64, 256, 2_000_000
+#: Texts, and characters after which no more follow, of one row of positions.
+GROUP_TEXTS, GROUP_CHARS = 256, 2_000_000
+#: Parts of the vocabulary that are encoded apart: one for so many characters of input, within these bounds.
+BUCKET_CHARS, LEAST_BUCKETS, MOST_BUCKETS = 64_000_000, 64, 16_384
+#: Characters of input for each task that reassembles texts.
+TASK_CHARS = 32_000_000
+#: Words that a task remembers; more than this are forgotten together, and encoded again where they come back.
+REMEMBERED = 1_000_000
 
 _ROW = "kind int, chunk long, part int, doc_ids array<long>, data binary"
 _NAMES = ["kind", "chunk", "part", "doc_ids", "data"]
@@ -62,10 +68,10 @@ def _letters(text: str) -> bytes:
     return text.encode("utf-8", "surrogatepass")
 
 
-def _words_of(codes: _Codes, chunk: int) -> pa.RecordBatch:
+def _words_of(codes: _Codes, chunk: int, buckets: int) -> pa.RecordBatch:
     """A row for each bucket with the chunk's distinct words of it: steps between their codes, lengths, letters."""
     known = list(map(_letters, codes))
-    bucket = np.fromiter((xxhash.xxh32_intdigest(w) % BUCKETS for w in known), np.int64, len(known))
+    bucket = np.fromiter((xxhash.xxh32_intdigest(w) % buckets for w in known), np.int64, len(known))
     parts, data = [], []
     for b in np.unique(bucket).tolist():
         own = np.flatnonzero(bucket == b)
@@ -75,7 +81,7 @@ def _words_of(codes: _Codes, chunk: int) -> pa.RecordBatch:
     return _rows(0, chunk, parts, [None] * len(parts), data)
 
 
-def _split_texts(pattern: str, positions: bool):
+def _split_texts(pattern: str, positions: bool, buckets: int):
     """Explodes texts chunk by chunk. positions: rows of kind 1, each with some texts' words in order, as codes; else rows of kind 0 with the distinct words.
 
     Codes number a chunk's words as they first occur, so both forms agree as long as a task gets the same rows.
@@ -99,7 +105,7 @@ def _split_texts(pattern: str, positions: bool):
                     ids, found, check, size, part = [], [], xxhash.xxh3_64(), 0, part + 1
                 if full:
                     if not positions:
-                        yield _words_of(codes, chunk)
+                        yield _words_of(codes, chunk, buckets)
                     codes, chars, chunk = _Codes(), 0, chunk + 1
                 words = split(text)
                 chars += len(text)
@@ -114,7 +120,7 @@ def _split_texts(pattern: str, positions: bool):
         if ids:
             yield group()
         if codes and not positions:
-            yield _words_of(codes, chunk)
+            yield _words_of(codes, chunk, buckets)
 
     return run
 
@@ -122,20 +128,21 @@ def _split_texts(pattern: str, positions: bool):
 _held: list = []
 
 
-def _single(pattern: str, ranks: dict[bytes, int]):
+def _single(ranks: dict[bytes, int]):
     """The function that encodes one word: built once for a worker's tasks with the same ranks, and only where there are words."""
-    if not _held or _held[0] is not ranks or _held[1] != pattern:
-        _held[:] = [ranks, pattern, tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})]
-    return _held[2]._encode_single_piece
+    if not _held or _held[0] is not ranks:
+        _held[:] = [ranks, tiktoken.Encoding("words", pat_str="(?s).+", mergeable_ranks=ranks, special_tokens={})]  # all of a word is one piece
+    encode_ordinary = _held[1].encode_ordinary
+    return lambda word: encode_ordinary(word.decode("utf-8", "surrogatepass"))
 
 
-def _encode_words(pattern: str, ranks):
+def _encode_words(ranks):
     """Rows of kind 0 with each word's token ids for its letters; a word that many chunks have is encoded once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, known = None, {}
         for batch in batches:
-            single, data = _single(pattern, ranks.value), []
+            single, data = _single(ranks.value), []
             for part, blob in zip(batch.column(2).to_pylist(), batch.column(4).to_pylist(), strict=True):
                 if part != bucket:
                     bucket, known = part, {}
@@ -145,6 +152,8 @@ def _encode_words(pattern: str, ranks):
                     word = letters[at : at + n]
                     at += n
                     if (code := known.get(word)) is None:
+                        if len(known) >= REMEMBERED:
+                            known.clear()
                         code = known[word] = single(word)
                     ids.append(code)
                 data.append(_packed(step, np.fromiter(map(len, ids), np.uint32, len(ids)), np.fromiter((i for w in ids for i in w), np.uint32)))
@@ -204,19 +213,25 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
 
     1. Texts are exploded into words (matches of pattern) with their positions. A task keeps the positions of a
        bounded chunk of texts as codes into the chunk's distinct words, and sends each distinct word once.
-    2. Distinct words are shuffled by a hash into buckets, where each is encoded once, however many chunks have it.
+    2. Distinct words are shuffled by a hash into buckets, whose number grows with the input, and each is encoded once,
+       however many chunks have it (again where a bucket has more than REMEMBERED).
     3. Ids return to their chunk, and texts are reassembled by position; the token-byte table decodes the ids.
 
-    The texts are scanned twice, for words and for positions, which a lost task does again with the same rows; each
-    chunk's decoded bytes are checked against its texts' hash, and an input that changes between scans is an error.
+    The texts are scanned twice, for words and for positions, and a task's number names its chunks: docs must give the
+    same rows in the same partitions each time, as tables and their filters do; put the result of a join or of a random
+    order into a table first. Each chunk's decoded bytes are checked against its texts' hash, so another order is an
+    error and no wrong result. The characters are counted in a scan of their own before that.
     Null and empty texts have no ids. Equal rows give equal rows, ids may be null, other columns are not read. Special
-    tokens have no part in it. The ranks are a vocabulary file: a broadcast of a fixed size.
+    tokens have no part in it, an empty table gives no rows. The ranks are a vocabulary file: a broadcast of a fixed size.
     """
     spark = docs.sparkSession
     ranks = spark.sparkContext.broadcast(load_ranks(ranks_path))
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    words = map_arrow(map_arrow(slim, _split_texts(pattern, False), _ROW).repartition("part").sortWithinPartitions("part"), _encode_words(pattern, ranks), _ROW)
-    places = map_arrow(slim, _split_texts(pattern, True), _ROW)
+    chars = slim.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
+    buckets = min(max(chars // BUCKET_CHARS, LEAST_BUCKETS), MOST_BUCKETS)
+    words = map_arrow(map_arrow(slim, _split_texts(pattern, False, buckets), _ROW).repartition("part").sortWithinPartitions("part"), _encode_words(ranks), _ROW)
+    places = map_arrow(slim, _split_texts(pattern, True, buckets), _ROW)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), chars // TASK_CHARS)
     # places stand first in the union, so their tasks have the numbers that the scan for words has
-    met = places.unionByName(words).repartition("chunk").sortWithinPartitions("chunk", "kind", "part")
+    met = places.unionByName(words).repartition(tasks, "chunk").sortWithinPartitions("chunk", "kind", "part")
     return map_arrow(met, _reassemble(ranks), "doc_id long, ids array<int>, decoded binary")
