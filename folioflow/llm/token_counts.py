@@ -11,13 +11,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import texts
+from folioflow.llm.common import map_arrow, texts
 
 SPACE = "▁"
 #: Fixed value of the tokenizer: an unknown character costs this much more than the worst piece.
 UNKNOWN_PENALTY = 10.0
-#: Segments that a task remembers; more than this are forgotten together.
-REMEMBERED = 400_000
+#: Segments that a task remembers, and the length up to which it does; more than this are forgotten together.
+REMEMBERED, REMEMBERED_CHARS = 400_000, 64
 
 
 def load_pieces(path: str) -> list[tuple[str, float]]:
@@ -72,6 +72,7 @@ class Counter:
         for p, s in known.items():
             self.machine.add_word(p, (len(p), s))
         self.machine.make_automaton()
+        self.longest = max(map(len, known), default=0)
         if not all(f"<0x{b:02X}>" in known for b in range(256)):
             raise ValueError("the vocabulary has no byte pieces")
         self.unknown = min(s for _, s in pieces) - UNKNOWN_PENALTY
@@ -79,35 +80,43 @@ class Counter:
         self.seen: dict[str, tuple[int, float]] = {}
 
     def segment(self, text: str) -> tuple[int, float]:
-        """(tokens, score) of the best path over one segment; a character without a piece of its own may also be its bytes."""
-        ends: list[list[tuple[int, float]]] = [[] for _ in text]
-        for last, found in self.machine.iter(text):  # at each end the longest piece, which starts first, comes first
-            ends[last].append(found)
-        score, count = [0.0], [0]
-        for end, found in enumerate(ends, 1):
+        """(tokens, score) of the best path over one segment; a character without a piece of its own may also be its bytes.
+
+        Matches come in the order of their ends, the longest, which starts first, first. Only the places that a piece
+        may still start at are held, so a long segment takes no more memory than a short one.
+        """
+        size = self.longest + 1
+        score, count = [0.0] * size, [0] * size
+        matches = self.machine.iter(text)
+        last, found = next(matches, (-1, None))
+        for end in range(1, len(text) + 1):
             best, tokens, single = None, 0, False
-            for length, s in found:
-                take = score[end - length] + s
+            while last == end - 1:
+                length, s = found
+                take = score[(end - length) % size] + s
                 if best is None or take > best:
-                    best, tokens = take, count[end - length] + 1
+                    best, tokens = take, count[(end - length) % size] + 1
                 single = single or length == 1
+                last, found = next(matches, (-1, None))
             if not single:
-                take = score[end - 1] + self.unknown
+                take = score[(end - 1) % size] + self.unknown
                 if best is None or take > best:
-                    best, tokens = take, count[end - 1] + len(text[end - 1].encode("utf-8", "surrogatepass"))
-            score.append(best)
-            count.append(tokens)
-        return count[-1], score[-1]
+                    best, tokens = take, count[(end - 1) % size] + len(text[end - 1].encode("utf-8", "surrogatepass"))
+            score[end % size], count[end % size] = best, tokens
+        return count[len(text) % size], score[len(text) % size]
 
     def count(self, text: str | None) -> tuple[int, float]:
         if not text:
             return 0, 0.0
         seen, tokens, score = self.seen, 0, 0.0
-        for part in self.segments.findall(SPACE + text.replace(" ", SPACE)):
+        for m in self.segments.finditer(SPACE + text.replace(" ", SPACE)):
+            part = m[0]
             if (found := seen.get(part)) is None:
-                if len(seen) >= REMEMBERED:
-                    seen.clear()
-                found = seen[part] = self.segment(part)
+                found = self.segment(part)
+                if len(part) <= REMEMBERED_CHARS:
+                    if len(seen) >= REMEMBERED:
+                        seen.clear()
+                    seen[part] = found
             tokens += found[0]
             score += found[1]
         return tokens, score
@@ -127,9 +136,9 @@ def count_tokens(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
     """(doc_id, n_tokens, score) for each row: tokens and score of the best path over the whole text.
 
     The vocabulary is a file of a fixed size, broadcast once. Null and empty texts have no tokens; ids may be null,
-    equal rows give equal rows, other columns are not read. Nothing is shuffled; a task remembers a bounded number of
-    segments, so memory does not grow with the corpus or with a text's length beyond the text itself.
+    equal rows give equal rows, an empty table gives none, other columns are not read. Nothing is shuffled. A task holds
+    one slice of texts, a copy of the text that it counts, and a bounded number of short segments.
     """
     pieces = docs.sparkSession.sparkContext.broadcast(load_pieces(vocabulary_path))
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return slim.mapInArrow(_counted(pieces), "doc_id long, n_tokens long, score double")
+    return map_arrow(slim, _counted(pieces), "doc_id long, n_tokens long, score double")
