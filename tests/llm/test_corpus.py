@@ -1,11 +1,14 @@
 """The corpus operators against brute force, round trips and hard rows."""
 
 import base64
+import contextlib
+import datetime
 import hashlib
 import re
 from collections import defaultdict
 
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,9 +69,36 @@ def test_ngram_components(spark, monkeypatch, width, percent, dense):
     got = ngram_join.ngram_components(hard(spark, rows), width=width, percent=percent).collect()
     assert sorted((str(r[0]), r[1], str(r[2])) for r in got) == brute_components(rows, width, percent)
     kept = ngram_join.keep_one(hard(spark, rows), width=width, percent=percent)
-    classes = {c for i, _, c in brute_components(rows, width, percent) if i != "None"}
     assert kept.columns == hard(spark).columns
-    assert sorted(str(r.doc_id) for r in kept.where("doc_id is not null").collect()) == sorted(classes)
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r[0]) for r in brute_keep_one(rows, width, percent))
+
+
+def test_hot_columns_give_the_same_classes(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "HOT_LEAST", 0)
+    monkeypatch.setattr(ngram_join, "HOT_TIMES", 0)
+    got = ngram_join.ngram_components(hard(spark, near_copies())).collect()
+    assert sorted((str(r[0]), r[1], str(r[2])) for r in got) == brute_components(near_copies(), 4, 85)
+    assert ngram_join.ngram_components(hard(spark).limit(0)).count() == 0
+
+
+def brute_keep_one(rows, width, percent):
+    """Of rows whose first two are id and text: one of each class, the smallest id's, nulls last; all without words."""
+    numbered = [(k, r[1]) for k, r in enumerate(rows)]
+    classes = defaultdict(list)
+    for k, n, c in brute_components(numbered, width, percent):
+        classes[c if n else f"alone {k}"].append(rows[int(k)])
+    return [min(c, key=lambda r: (r[0] is None, r[0] or 0)) for c in classes.values()]
+
+
+def test_keep_one_by_row_not_by_id(spark):
+    say = lambda x: " ".join(f"{x}{k}" for k in range(9))
+    rows = [(1, say("a")), (5, say("a")), (5, say("b")), (7, say("c")), (7, say("d")), (7, say("d")), (8, say("d")), (None, say("e")), (None, say("e")), (None, say("a")), (9, None), (9, None), (10, ""), (11, say("f").upper()), (11, say("f")), *HARD]
+    for docs in (hard(spark, rows), hard(spark, rows).withColumn("_chosen", F.lit(1)).withColumn("__node", F.lit("x"))):
+        got = ngram_join.keep_one(docs)
+        assert got.columns == docs.columns
+        key = lambda r: (str(r[0]), (r[1] or "~").lower()[:40])
+        assert sorted(key(r) for r in got.collect()) == sorted(map(key, brute_keep_one(rows, 4, 85)))
+    assert ngram_join.keep_one(hard(spark).limit(0)).count() == 0
 
 
 def test_components_of_paths_and_nothing(spark):
@@ -95,11 +125,31 @@ def test_html_layouts(spark):
     assert html_extract.main_blocks(page, html_extract.trained()) == ["Head & more", "Some bold text", "Next <one>"]
     out = html_extract.extract(spark.createDataFrame([(1, None, page), (2, "u", None), (2, "u", "")], "page_id long, url string, html string")).collect()
     assert sorted((r.page_id, r.n_chars) for r in out) == [(1, 39), (2, 0), (2, 0)]
-    rows = html_extract.np.array(html_extract.labelled(), float)
-    rows = html_extract.np.random.default_rng(0).permutation(rows)  # neighbours in the table differ in their frames alone
-    held, rest = rows[:300], rows[300:]
-    tree = html_extract.grow(rest[:, :-1], rest[:, -1])
-    assert sum(html_extract.is_main(tree, r[:-1]) == bool(r[-1]) for r in held) > 0.9 * len(held)
+    hard = spark.createDataFrame([(None, None, "<p>" + LONG + "</p>", "x"), (3, "u", "<div>" * 20_000 + "deep " * 50 + "</div>" * 20_000, "y"), (4, None, "<a " * 50_000, None)], "page_id long, url string, html string, text string")
+    got = {r.page_id: r.text for r in html_extract.extract(hard).collect()}
+    assert got[None] == LONG and got[3] == ("deep " * 50).strip() and set(got) == {None, 3, 4}
+    assert html_extract.extract(hard.limit(0)).count() == 0
+
+
+def test_html_tree_on_shapes_alone():
+    """Words, link density and headings of blocks and their neighbours: the tree sees neither element names nor hints."""
+    x, y, page = html_extract.labelled()
+    right = []
+    for k in set(page.tolist()):
+        tree = html_extract.grow(x[page != k], y[page != k])
+        right += [html_extract.is_main(tree, row) == bool(label) for row, label in zip(x[page == k], y[page == k], strict=True)]
+    assert sum(right) > 0.93 * len(right)
+    tree, right, whole = html_extract.trained(), [], []
+    for r in pq.read_table("/root/testdata/sf0.01/pages.parquet").to_pylist():  # the same pages with neutral names
+        truth = html_extract.blocks(r["html"])
+        neutral = html_extract.blocks(re.sub(r"<(/?)(nav|footer|article)\b[^>]*>", r"<\1div>", r["html"]).replace('class="ad"', 'class="x"'))
+        assert not any(b.framed or b.article or b.boxed for b in neutral)
+        right += [html_extract.is_main(tree, row) == (b.article and not b.framed) for b, row in zip(truth, html_extract.features(neutral), strict=True)]
+        whole.append(html_extract.main_blocks(r["html"], tree) == [b.text for b in truth if b.article and not b.framed])
+    assert sum(right) > 0.99 * len(right) and all(whole)
+    said = lambda n: " ".join(f"w{k}" for k in range(n))
+    page = f'<div><a href="/1">One</a></div><div><a href="/2">Two</a></div><div>Our best offer of the week today</div><div><h1>A head</h1><div>{said(60)}</div><div>{said(4)}</div><div>{said(45)}</div></div><div>Copyright 2020 somebody</div>'
+    assert html_extract.main_blocks(page, tree) == ["A head", said(60), said(4), said(45)]
 
 
 def test_chat_parts(spark):
@@ -153,6 +203,8 @@ def test_bpe(spark):
     got = sorted((str(r.doc_id), list(r.ids), bytes(r.decoded)) for r in byte_bpe.encode(hard(spark), path, public_tokenizers.PATTERN).collect())
     assert got == sorted((str(i), exact.encode_ordinary(t or ""), (t or "").encode()) for i, t in HARD)
     assert byte_bpe.encode(hard(spark).limit(0), path, public_tokenizers.PATTERN).count() == 0
+    once = hard(spark, HARD[:5]).join(spark.range(9).withColumnRenamed("id", "doc_id"), "doc_id").unionByName(hard(spark, HARD[7:]), allowMissingColumns=True).repartition(3, "doc_id")
+    assert byte_bpe.encode(once, path, public_tokenizers.PATTERN).count() == 8
 
 
 def edit_distance_anywhere(item, text):
@@ -184,7 +236,8 @@ def test_token_counts(spark):
 
     path = public_tokenizers.path("piece_bpe_32k.model")
     exact = Tokenizer(models.Unigram(token_counts.load_pieces(path), unk_id=0, byte_fallback=True))
-    rows = [*HARD[:5], *HARD[7:], (20, "  a  b \n\n zz<0x0A></s> " + LONG[:3000])]
+    rows = [*HARD, (20, "  a  b \n\n zz<0x0A></s> " + LONG[:3000]), (21, LONG.replace(" ", "")[:40_000])]
+    assert token_counts.count_tokens(hard(spark).limit(0), path).count() == 0
     got = sorted((str(r.doc_id), r.n_tokens) for r in token_counts.count_tokens(hard(spark, rows), path).collect())
     assert got == sorted((str(i), len(exact.encode("▁" + t.replace(" ", "▁"), add_special_tokens=False).ids) if t else 0) for i, t in rows)
 
@@ -203,6 +256,135 @@ def test_pseudonyms(spark):
     assert out[12].text == rows[-1][1] and out[1].text is None and out[6].text == LONG
 
 
+def test_dates_of_all_notations_are_permuted(spark):
+    days = spark.range(146_097).select(F.date_add(F.lit("1800-01-01").cast("date"), F.col("id").cast("int")).alias("d"))
+    for form, of in (("yyyy-MM-dd", "true"), ("dd.MM.yyyy", "true"), ("MM/dd/yyyy", "day(d) > 12")):
+        said = days.where(of).select(F.date_format("d", form).alias("t")).withColumn("p", pii.pseudonym(F.col("t"), F.lit(2), "k")).withColumn("back", pii.pseudonym(F.col("p"), F.lit(2), "k", back=True))
+        n, different, returned, valid = said.agg(F.count("*"), F.countDistinct("p"), F.sum((F.col("back") == F.col("t")).cast("int")), F.sum((pii.kind_of(F.col("p")) == 2).cast("int"))).first()
+        assert n == different == returned == valid
+    long = lambda n: F.lit(n).cast("long")
+    late = spark.range(pii.LATE_A * pii.LATE_B).select(pii.feistel(F.col("id"), long(pii.LATE_A), long(pii.LATE_B), "k", "x").alias("v"))
+    assert late.agg(F.countDistinct("v"), F.min("v"), F.max("v")).first()[:] == (88_497, 0, 88_496)
+
+
+class BrutePseudonyms:
+    """The same pseudonyms in plain Python, one match at a time."""
+
+    def __init__(self, key):
+        self.key, self.every = key, [datetime.date(1800, 1, 1) + datetime.timedelta(k) for k in range(146_097)]
+
+    def permuted(self, value, a, b, kind):
+        left, right = divmod(value, b)
+        for k in range(8):
+            other = right if k % 2 == 0 else left
+            step = int(hashlib.sha256(f"{self.key}/{kind}/{k}/{other}".encode()).hexdigest()[:14], 16)
+            left, right = ((left + step) % a, right) if k % 2 == 0 else (left, (right + step) % b)
+        return left * b + right
+
+    def digits(self, d, kind):
+        high = -(-len(d) // 2)
+        return str(self.permuted(int(d), 10**high, 10 ** (len(d) - high), kind)).rjust(len(d), "0")
+
+    def luhn(self, d):
+        return sum(int(c) if k % 2 == 0 else int(c) * 2 - 9 * (int(c) > 4) for k, c in enumerate(reversed(d)))
+
+    def into(self, shape, d):
+        left = iter(d)
+        return "".join(next(left) if c.isascii() and c.isdigit() else c for c in shape)
+
+    def day(self, text):
+        for form in ("%Y-%m-%d",) if re.match(r"\d{4}", text) else ("%d-%m-%Y", "%m-%d-%Y"):
+            with contextlib.suppress(ValueError):
+                return form, datetime.datetime.strptime(re.sub("[/.]", "-", text), form).date()
+        return None
+
+    def kind(self, m):
+        fits = lambda k: re.fullmatch(pii.PATTERNS[k], m, re.A)
+        d = re.sub("[^0-9]", "", m)
+        if "@" in m:
+            return 0
+        if fits("date") and self.day(m):
+            return 2
+        if fits("ssn") and d[:3] not in ("000", "666") and d[0] != "9" and d[3:5] != "00" and d[5:] != "0000":
+            return 3
+        if fits("ip") and all(int(o) < 256 and (o == "0" or o[0] != "0") for o in m.split(".")):
+            return 4
+        if fits("card") and self.luhn(d) % 10 == 0:
+            return 5
+        return 1 if fits("phone") else None
+
+    def pseudonym(self, m, kind):
+        d = re.sub("[^0-9]", "", m)
+        if kind == 0:
+            return "u" + hashlib.sha256(f"{self.key}/email/{m.lower()}".encode()).hexdigest()[:12] + "@mail.invalid"
+        if kind == 2:
+            form, day = self.day(m)
+            first, every = datetime.date(1800, 1, 1), self.every
+            if form == "%m-%d-%Y":
+                late = [x for x in every if x.day > 12]
+                new = late[self.permuted(late.index(day), 9, 9833, "date-month-first")]
+            else:
+                new = every[self.permuted((day - first).days, 189, 773, "date")]
+            return self.into(m, "".join(f"{getattr(new, {'Y': 'year', 'm': 'month', 'd': 'day'}[c]):0{4 if c == 'Y' else 2}}" for c in form if c in "Ymd"))
+        if kind == 3:
+            return self.into(m, self.digits(d, "ssn"))
+        if kind == 4:
+            v = 0
+            for o in m.split("."):
+                v = v * 256 + int(o)
+            v = self.permuted(v, 65536, 65536, "ip")
+            return ".".join(str(v >> s & 255) for s in (24, 16, 8, 0))
+        if kind == 5:
+            body = d[0] + self.digits(d[1:-1], "card")
+            return self.into(m, body + str(-self.luhn(body + "0") % 10))
+        if (len(d) == 10 or (len(d) == 11 and d[0] == "1")) and d[-10] >= "2" and d[-7] >= "2":
+            v = self.permuted(((int(d[-10:-7]) - 200) * 800 + int(d[-7:-4]) - 200) * 10_000 + int(d[-4:]), 80_000, 80_000, "phone")
+            return self.into(m, d[:-10] + f"{v // 8_000_000 + 200}{v // 10_000 % 800 + 200}{v % 10_000:04}")
+        return self.into(m, d[:-6] + self.digits(d[-6:], "phone"))
+
+    def whole(self, text):
+        out, at, found = [], 0, []
+        for m in re.finditer("|".join(pii.PATTERNS.values()), text, re.A):
+            start, value, kind = m.start(), m[0], self.kind(m[0])
+            if kind is None and re.fullmatch(pii.PATTERNS["card"], value, re.A):
+                groups, best = [g for g in re.split("(?<=[ -])", value) if g], None
+                for i in range(len(groups)):
+                    for j in range(i + 1, len(groups) + 1):
+                        part = re.sub("[ -]$", "", "".join(groups[i:j]))
+                        d = re.sub("[^0-9]", "", part)
+                        if 13 <= len(d) <= 19 and self.luhn(d) % 10 == 0 and (best is None or len(d) > best[0]):
+                            best = (len(d), start + len("".join(groups[:i])), part)
+                if best:
+                    _, start, value, kind = *best, 5
+            if kind is not None:
+                new = self.pseudonym(value, kind)
+                out += [text[at:start], new]
+                found.append((kind, start, start + len(value), value, new))
+                at = start + len(value)
+        return "".join([*out, text[at:]]), found
+
+
+def test_pseudonyms_equal_brute_force(spark):
+    rows = [tuple(r) for r in pq.read_table(f"{SF}/documents.parquet", columns=["doc_id", "text"]).to_pandas().itertuples(index=False)]
+    rows += [*HARD, (-1, "01/13/1800 31/03/2136 12/11/2001 2024.02.29 1999-02-30 card 4111 1111 1111 1111 123 ip 8.8.8.8 1.2.3.400 +49 (30) 1234567 a@b.co 123-45-6789 000-12-3456")]
+    brute = BrutePseudonyms("k")
+    want = sorted((str(i), *((None, []) if t is None else brute.whole(t))) for i, t in rows if t is not None)
+    got = sorted((str(r.doc_id), r.text, [tuple(f) for f in r.found]) for r in pii.pseudonymise(hard(spark, rows), "k").where("text is not null").collect())
+    assert got == want and {f[0] for _, _, found in want for f in found} == set(range(6))
+    assert pii.pseudonymise(hard(spark).limit(0), "k").count() == 0
+
+
+def test_distrust_along_a_long_chain(spark):
+    link = lambda h: f"<a href='//{h}/'>x</a>"
+    rows = [(0, "http://bad.net/", ""), *((k, f"http://c{k}.com/", link("bad.net" if k == 1 else f"c{k - 1}.com")) for k in range(1, 31))]
+    pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, host string")
+    out = {r.page_id: r.verdict for r in url_filter.judge(pages, (("block", "net", "/"),)).collect()}
+    assert {k for k, v in out.items() if v == "block"} == {k for k in range(31) if 0.85**k >= url_filter.MIN_SHARE} and len(out) == 31
+    assert url_filter.judge(pages.limit(0), (("block", "net", "/"),)).count() == 0
+    long = spark.createDataFrame([(1, "http://a.com/", LONG + link("bad.net")), (2, "http://bad.net", None), (3, "http://bad.net/", None), (3, "http://bad.net/", None)], "page_id long, url string, html string")
+    assert {r.page_id: r.verdict for r in url_filter.judge(long, (("block", "net", "/"),)).collect()} == {1: "block", 2: "block", 3: "block"}
+
+
 def test_urls_with_links_equal_their_sql(spark, tmp_path):
     link = lambda *hosts: "".join(f"<A HREF = 'https://{h}/x'>x</a>" for h in hosts)
     names = [f"h{k}.{d}" for k in range(12) for d in ("net", "org", "com", "example.com", "example.net")]
