@@ -39,15 +39,14 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("benchmark", benchmark), ("secrets", secret_scan), ("encode", encode)]
 
-#: Edit distances, log-likelihood ratios and BPE have no SQL; the tests hold the stages against brute force.
+#: Edit distances, log-likelihood ratios and BPE have no SQL; tests/llm/test_pipeline.py holds run() against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; what each returns is written to the shared folder and read again."""
     docs = common.table(spark, sf_dir, "documents")
-    common.durable(spark.range(0))  # sets the shared folder where none is set
-    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{common.shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
