@@ -138,13 +138,13 @@ round(CAST(greatest(1.0, wide + 0.55 * (length(text) - wide)) AS DOUBLE), 2) AS
     "page_order": f"WITH {_PAGE} SELECT page, ord, row_number() OVER (PARTITION BY page ORDER BY t DESC, l, ord) AS place FROM l",
     "shape_order": f"WITH {_PAGE}, a AS (SELECT *, CASE WHEN t - lag(t) OVER w > 4 THEN 1 ELSE 0 END AS n FROM l WINDOW w AS (PARTITION BY page ORDER BY t, ord)), g AS (SELECT *, CAST(sum(n) OVER (PARTITION BY page ORDER BY t, ord ROWS UNBOUNDED PRECEDING) AS BIGINT) AS row FROM a) SELECT page, ord, row, row_number() OVER (PARTITION BY page ORDER BY row, l, ord) AS place FROM g",
     "largest_pictures": f"WITH {_PAGE} SELECT page, ord FROM l QUALIFY row_number() OVER (PARTITION BY page ORDER BY t * 6 DESC, t DESC, ord) <= 2",
-    "covered_areas": f"WITH {_PAGE}, p AS (SELECT page, l + i AS x, b + j AS y FROM l, range(0, 10) AS a(i), range(0, 6) AS c(j) WHERE page % 4 = 0 GROUP BY ALL) SELECT page, CAST(count(*) AS DOUBLE) AS area FROM p GROUP BY page",
+    "covered_areas": f"WITH {_PAGE}, p AS (SELECT page, l + i AS x, b + j AS y FROM l, range(0, 10) AS a(i), range(0, 6) AS c(j) GROUP BY ALL) SELECT page, CAST(count(*) AS DOUBLE) AS area FROM p GROUP BY page",
     "outside_boxes": f"WITH {_PAGE} SELECT page, ord FROM l WHERE ord > 1 AND NOT EXISTS (SELECT 1 FROM l q WHERE q.page = l.page AND q.ord = 1 AND (l.l + l.r) / 2 BETWEEN q.l AND q.l + 25 AND (l.t + l.b) / 2 BETWEEN 0 AND q.t)",
     "overlap_shares": f"WITH {_PAGE} SELECT p.page, p.ord AS a, q.ord AS b, round(greatest(least(p.r, q.r) - greatest(p.l, q.l), 0) * greatest(least(p.t, q.t) - greatest(p.b, q.b), 0) / 60, 6) AS share FROM l p JOIN l q ON p.page = q.page AND p.ord < q.ord WHERE round(greatest(least(p.r, q.r) - greatest(p.l, q.l), 0) * greatest(least(p.t, q.t) - greatest(p.b, q.b), 0) / 60, 6) >= 0.25",
     "row_cells": f"WITH {_PAGE}, g AS (SELECT page, l, CASE WHEN l - (max(l + 3) OVER (PARTITION BY page ORDER BY l ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) >= 10 THEN 1 ELSE 0 END AS n FROM l) SELECT page, CAST(1 + sum(n) AS BIGINT) AS cells, min(l) AS l, max(l) + 3 AS r FROM g GROUP BY page",
     "table_sizes": "SELECT n_regionkey, count(*) + 1 AS n_rows, CAST(2 AS BIGINT) AS n_cols, count(*) + 1 AS parsed FROM nation GROUP BY n_regionkey",
     "blanked_repeats": "WITH c AS (SELECT c_nationkey, c_custkey, c_mktsegment AS s, CASE WHEN c_mktsegment = lag(c_mktsegment) OVER w THEN 0 ELSE 1 END AS n FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_custkey)), g AS (SELECT *, sum(n) OVER (PARTITION BY c_nationkey ORDER BY c_custkey ROWS UNBOUNDED PRECEDING) AS run FROM c), k AS (SELECT c_nationkey, run, count(*) AS n FROM g GROUP BY c_nationkey, run) SELECT c_nationkey, CAST(sum((n + 1) // 2) AS BIGINT) AS said FROM k GROUP BY c_nationkey",
-    "cell_grids": f"WITH {_PAGE}, c AS (SELECT page, ord, u.k AS r FROM l, unnest([ord - 1, ord]) AS u(k) WHERE ord <= 4), w AS (SELECT page, r, max(ord) AS v FROM c GROUP BY page, r), s AS (SELECT m.page, g.r FROM (SELECT page, max(r) AS top FROM w GROUP BY page) m, range(0, 6) AS g(r) WHERE g.r <= top) SELECT s.page, string_agg(coalesce(v || '|' || v, '|'), '/' ORDER BY s.r) AS grid FROM s LEFT JOIN w ON w.page = s.page AND w.r = s.r GROUP BY s.page",
+    "cell_grids": f"WITH {_PAGE}, c AS (SELECT page, ord, u.k AS r FROM l, unnest([ord - 1, ord]) AS u(k)), w AS (SELECT page, r, max(ord) AS v FROM c GROUP BY page, r), s AS (SELECT g.page, g.r FROM (SELECT page, unnest(range(0, max(r) + 1)) AS r FROM w GROUP BY page) AS g) SELECT s.page, string_agg(coalesce(v || '|' || v, '|'), '/' ORDER BY s.r) AS grid FROM s LEFT JOIN w ON w.page = s.page AND w.r = s.r GROUP BY s.page",
     "assembled_lines": "WITH p AS (SELECT p_size AS page, p_partkey, left(p_name, 1) AS c, p_partkey - lag(p_partkey) OVER (PARTITION BY p_size ORDER BY p_partkey) AS d FROM part) SELECT page, CAST(0 AS BIGINT) AS line, string_agg(CASE WHEN d > 1 THEN ' ' || c ELSE c END, '' ORDER BY p_partkey) AS text FROM p GROUP BY page",
     "unmerged_chunks": r"WITH p AS (SELECT p_partkey AS doc_id, regexp_replace(p_name, '[.!?;\n]', ' ', 'g') AS t FROM part) SELECT doc_id, CAST(k AS BIGINT) AS chunk_no, substr(t, CAST(k * 5 + 1 AS BIGINT), 5) AS text FROM p, range(0, 20) AS r(k) WHERE k * 5 < length(t)",
     "items_markdown": None,
