@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -37,15 +37,29 @@ def gfm(rows: list[list[str]]) -> str:
     return "\n".join([*lines[:1], "| " + " | ".join(["---"] * width) + " |", *lines[1:]]) if lines and width else ""
 
 
+#: Rows and characters of the batches that a reader returns.
+BATCH_ROWS, BATCH_CHARS = 4096, 4 << 20
+
+
+def batched(rows: Iterable[tuple], names: list[str], types: Sequence[pa.DataType]) -> Iterator[pa.RecordBatch]:
+    """Rows, with their text in the seventh place, in batches of bounded size, however many a document has."""
+    held, chars = [], 0
+    for row in rows:
+        held.append(row)
+        chars += len(row[6] or "")
+        if len(held) >= BATCH_ROWS or chars >= BATCH_CHARS:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names=names)
+            held, chars = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names=names)
+
+
 def read(docs: DataFrame, parse: Callable[[str], list[Element]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Elements (SCHEMA) of each row of docs; a null or empty text has none. Rows are parsed one by one, so memory is bounded by the longest text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = parse(text or "")
-                rows = [(doc_id, k, e.label, e.level, e.depth, e.layer, e.text, e.marker, e.language) for k, e in enumerate(found)]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], names=[f.split()[0] for f in SCHEMA.split(", ")])
+        docs_ = ((i, t) for batch in batches for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        rows = ((i, k, e.label, e.level, e.depth, e.layer, e.text, e.marker, e.language) for i, t in docs_ for k, e in enumerate(parse(t or "")))
+        return batched(rows, [f.split()[0] for f in SCHEMA.split(", ")], _TYPES)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SCHEMA)

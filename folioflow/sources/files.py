@@ -6,6 +6,7 @@ import io
 import posixpath
 import struct
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator
 from urllib.parse import unquote
 from xml.etree import ElementTree
@@ -16,8 +17,8 @@ from pyspark.sql import functions as F
 
 from folioflow.functions.text import data_uri, mime_type
 from folioflow.operators.document import to_markdown
-from folioflow.sources import asciidoc, csv_tables, html_pages, mail, markdown
-from folioflow.sources.elements import _TYPES, SCHEMA, Element, gfm
+from folioflow.sources import asciidoc, csv_tables, html_pages, mail, markdown, office_files
+from folioflow.sources.elements import _TYPES, SCHEMA, Element, batched, gfm
 
 #: An archive's pages together, unpacked; a longer one is an error of that file.
 MAX_ARCHIVE = 64 << 20
@@ -82,9 +83,21 @@ def _text(parse: Callable[[str], list[Element]]) -> Callable[[bytes], list[Eleme
 READERS: dict[str, Callable[[bytes], list[Element]]] = {
     ".txt": _text(plain), ".md": _text(markdown.parse), ".markdown": _text(markdown.parse), ".html": _text(html_pages.parse), ".htm": _text(html_pages.parse), ".adoc": _text(asciidoc.parse),
     ".asciidoc": _text(asciidoc.parse), ".csv": _text(table), ".eml": _text(mail.parse), ".epub": book, ".png": image, ".jpg": image, ".jpeg": image, ".bmp": image, ".webp": image,
+    ".xlsx": office_files.workbook, ".docx": office_files.document, ".pptx": office_files.slides,
 }
 
 
+def _rows(doc: dict) -> list[tuple]:
+    path = doc["path"] or ""
+    reader = READERS.get(posixpath.splitext(path)[1].lower())
+    if reader is None:
+        return [(doc["doc_id"], *[None] * 8, path, "unknown format")]
+    try:
+        return [(doc["doc_id"], k, e.label, e.level, e.depth, e.layer, e.text, e.marker, e.language, path, None) for k, e in enumerate(reader(doc["content"] or b""))]
+    except (ValueError, KeyError, IndexError, AttributeError, StopIteration, RecursionError, zipfile.BadZipFile, zlib.error, ElementTree.ParseError) as e:
+        return [(doc["doc_id"], *[None] * 8, path, f"{type(e).__name__}: {e}")]
+
+
 def read(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(elements, faults) of files (doc_id, path, content), as spark.read.format("binaryFile") gives path and content.
 
@@ -93,21 +106,7 @@ def read(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                path = row["path"] or ""
-                reader = READERS.get(posixpath.splitext(path)[1].lower())
-                error = None if reader else "unknown format"
-                found: list[Element] = []
-                try:
-                    found = reader(row["content"] or b"") if reader else []
-                except (ValueError, KeyError, StopIteration, zipfile.BadZipFile, ElementTree.ParseError) as e:
-                    error = f"{type(e).__name__}: {e}"
-                rows = [(row["doc_id"], k, e.label, e.level, e.depth, e.layer, e.text, e.marker, e.language, path, None) for k, e in enumerate(found)]
-                if error:
-                    rows = [(row["doc_id"], *[None] * 8, path, error)]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (*_TYPES, pa.string(), pa.string()), strict=True)], names=names)
+        return batched((row for batch in batches for doc in batch.to_pylist() for row in _rows(doc)), names, (*_TYPES, pa.string(), pa.string()))
 
     schema = SCHEMA + ", path string, error string"
     names = [f.split()[0] for f in schema.split(", ")]

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from folioflow.sources import elements, html_pages
 from folioflow.sources.elements import Element
 
-#: Messages within messages that are read.
+#: Messages within messages that are read; a deeper one is an error of its file.
 MAX_DEPTH = 16
 
 
@@ -25,7 +25,9 @@ def _body(part, depth: int) -> list[Element]:
         return [Element("text", f"{part.get_filename() or 'attachment'} ({kind})")]
     if kind == "message/rfc822":
         inner = part.get_payload()
-        return _message(inner[0], depth + 1) if inner and depth < MAX_DEPTH else []
+        if inner and depth >= MAX_DEPTH:
+            raise ValueError("messages nested too deep")
+        return _message(inner[0], depth + 1) if inner else []
     if kind == "multipart/alternative":
         forms = list(part.iter_parts())
         return _body(forms[max(range(len(forms)), key=lambda k: (_worth(forms[k]), k))], depth) if forms else []
