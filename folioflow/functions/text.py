@@ -128,8 +128,8 @@ REFUSALS = ("抱歉，我无法", "无法识别", "不能识别", "无法提供"
 
 
 def clean_recognised(text: Column) -> Column:
-    """A recogniser's result without the code fence around it and without its opening phrase."""
-    inner = strip(F.regexp_replace(strip(text), r"(?s)^```[A-Za-z]*[ \t]*\n(.*?)\n?```$", "$1"))
+    """A recogniser's result without the bare or Markdown fence around it and without its opening phrase."""
+    inner = strip(F.regexp_replace(strip(text), r"(?is)^```(?:markdown|md)?[ \t\r\n]*(.*?)\n?```$", "$1"))
     return strip(F.regexp_replace(inner, r"^(?iu:" + "|".join(PREAMBLES) + r")[ \t]*[：:]*[ \t]*", ""))
 
 

@@ -5,19 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioflow.functions.text import WHITE
+
 #: Share of pages on which furniture repeats, its zones and its length; the form of contents lines.
 PAGE_SHARE, ZONE, MAX_FURNITURE = 0.6, 0.15, 100
 TOC_LINE = r"^(.{1,80}?[.．·…]{4,})\s*([0-9]{1,4})\s*$"
 
 
+def fingerprint(text):
+    """A line without white space, full-width ASCII as plain ASCII."""
+    wide, plain = "".join(map(chr, range(0xFF01, 0xFF5F))), "".join(map(chr, range(0x21, 0x7F)))
+    return F.translate(F.regexp_replace(text, f"[{WHITE}]+", ""), wide, plain)
+
+
 def furniture(lines: DataFrame) -> DataFrame:
     """lines (doc_id, page_no, y, text, ...) with a label: page_header, page_footer or null.
 
-    A line of at most 100 characters in the top or bottom 15 % of its page's extent is furniture if its text, without
-    white space, stands in that zone on at least 60 % of a document's three or more pages. The top zone counts first.
+    A line of at most 100 characters in the top or bottom 15 % of its page's extent is furniture if its fingerprint
+    stands in that zone on at least 60 % of a document's three or more pages. The top zone counts first.
     """
     page = Window.partitionBy("doc_id", "page_no")
-    spread = lines.withColumn("_top", F.max("y").over(page)).withColumn("_low", F.min("y").over(page)).withColumn("_print", F.regexp_replace("text", r"\s+", ""))
+    spread = lines.withColumn("_top", F.max("y").over(page)).withColumn("_low", F.min("y").over(page)).withColumn("_print", fingerprint(F.col("text")))
     height = F.col("_top") - F.col("_low")
     zone = F.when(F.col("y") >= F.col("_top") - ZONE * height, "page_header").when(F.col("y") <= F.col("_low") + ZONE * height, "page_footer")
     spread = spread.withColumn("_zone", F.when((F.length("text") <= MAX_FURNITURE) & (F.col("_print") != ""), zone))

@@ -124,20 +124,23 @@ def grids(cells: DataFrame, by: list[str]) -> DataFrame:
 
 
 def assembled_lines(glyphs: DataFrame, by: list[str], tolerance: float = 2.0) -> DataFrame:
-    """(*by, line, text, y) of glyphs (x, y, w, text): painted twice counts once, heights within tolerance of a line's first are one line.
+    """(*by, line, text, y, and font if glyphs have one) of glyphs (x, y, w, text): painted twice counts once, heights within tolerance of a line's first are one line.
 
     A gap of more than 0.3 of the line's widest glyph becomes a space, but for CJK on either side. Heights of one page
     meet in one row; glyphs don't.
     """
-    g = glyphs.where(~is_blank(F.col("text"))).select(*by, "x", "y", "w", "text").distinct()
+    fonts = ["font"] if "font" in glyphs.columns else []
+    g = glyphs.where(~is_blank(F.col("text"))).select(*by, "x", "y", "w", "text", *fonts).distinct()
     heights = g.groupBy(*by).agg(F.sort_array(F.collect_set("y"), asc=False).alias("_ys"))
     bases = F.aggregate("_ys", F.array().cast("array<double>"), lambda done, y: F.when(F.coalesce(F.get(done, F.size(done) - 1) - y <= tolerance, F.lit(False)), done).otherwise(F.concat(done, F.array(y.cast("double")))))
-    g = g.join(heights.select(*by, bases.alias("_bases")), by)
+    heights = heights.select(*(F.col(c).alias(f"_by_{c}") for c in by), bases.alias("_bases"))
+    same = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]
+    g = g.join(heights, same).drop(*(f"_by_{c}" for c in by))
     g = g.withColumn("line", F.size(F.filter("_bases", lambda b: b >= F.col("y"))).cast("long") - 1)
     own = Window.partitionBy(*by, "line")
     gap = F.col("x") - F.lag(F.col("x") + F.col("w")).over(own.orderBy("x", "y", "text"))
     before = F.lag("text").over(own.orderBy("x", "y", "text"))
     spaced = F.coalesce((gap > 0.3 * F.max("w").over(own)) & ~has_cjk(before) & ~has_cjk(F.col("text")), F.lit(False))
     g = g.withColumn("_said", F.when(spaced, F.concat(F.lit(" "), F.col("text"))).otherwise(F.col("text")))
-    lines = g.groupBy(*by, "line").agg(F.sort_array(F.collect_list(F.struct("x", "y", "text", "_said"))).alias("p"), F.max("y").alias("y"))
-    return lines.select(*by, "line", F.array_join(F.transform("p", lambda x: x["_said"]), "").alias("text"), "y")
+    lines = g.groupBy(*by, "line").agg(F.sort_array(F.collect_list(F.struct("x", "y", "text", "_said"))).alias("p"), F.max("y").alias("y"), *(F.max(c).alias(c) for c in fonts))
+    return lines.select(*by, "line", F.array_join(F.transform("p", lambda x: x["_said"]), "").alias("text"), "y", *fonts)

@@ -89,10 +89,10 @@ def continued_tables(tables: DataFrame) -> DataFrame:
 
 
 def body_blocks(lines: DataFrame) -> DataFrame:
-    """(doc_id, block, page_no, text, n_lines) of lines (doc_id, ord, page_no, text, special): special lines alone, others together while they fit.
+    """(doc_id, block, first, page_no, text, n_lines) of lines (doc_id, ord, page_no, text, special): special lines alone, others together while they fit.
 
     A block ends at a page's end, at a special line, and where its bytes, the next line's characters and one are more
-    than BLOCK. The lines of one page between special ones meet in a row.
+    than BLOCK. The lines of one page between special ones meet in a row; first is the ord of the first of them.
     """
     order = Window.partitionBy("doc_id").orderBy("ord")
     part = F.sum(F.when(F.col("special") | F.coalesce(F.lag("special").over(order), F.lit(False)) | F.coalesce(F.lag("page_no").over(order) != F.col("page_no"), F.lit(True)), 1).otherwise(0)).over(order)
@@ -108,7 +108,7 @@ def body_blocks(lines: DataFrame) -> DataFrame:
 
     cut = parts.select("doc_id", "_at", "page_no", F.posexplode(F.aggregate("x", start, step)).alias("_k", "_b")).where(~is_blank(F.col("_b.text")))
     number = F.row_number().over(Window.partitionBy("doc_id").orderBy("_at", "_k")) - 1
-    return cut.select("doc_id", number.cast("long").alias("block"), "page_no", strip(F.col("_b.text")).alias("text"), F.col("_b.n").alias("n_lines"))
+    return cut.select("doc_id", number.cast("long").alias("block"), F.col("_at").alias("first"), "page_no", strip(F.col("_b.text")).alias("text"), F.col("_b.n").alias("n_lines"))
 
 
 def heading_parents(blocks: DataFrame) -> DataFrame:

@@ -1,15 +1,24 @@
-"""Durable intermediate tables."""
+"""Tables between stages, in the folder that all executors share."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder for intermediate tables, named by spark.checkpoint.dir; a folder of this machine only where all tasks run on it, as in tests."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp())
+    return sc.getCheckpointDir()
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """The rows in the shared checkpoint folder: computed once and without lineage. The folder is set only where none is."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
-    return df.checkpoint()
+    """The rows in the shared folder: computed once, without lineage, safe when executors go."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -27,7 +27,9 @@ def mime_types(spark, sf_dir):
 
 
 def _lines(spark, sf_dir):
-    d = _t(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("page_no"), F.posexplode(F.split("text", "\n")).alias("ord", "text"))
+    """Documents as pages of their source, under a head in plain or full-width letters and over a foot."""
+    head = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("Report on "), "source")).otherwise(F.concat(F.lit("Ｒeport  on"), "source"))
+    d = _t(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("page_no"), F.posexplode(F.split(F.concat(head, F.lit("\n"), "text", F.lit("\nthe end")), "\n")).alias("ord", "text"))
     return d.select(F.col("source").alias("doc_id"), "page_no", (-F.col("ord")).cast("double").alias("y"), F.col("ord").cast("long").alias("ord"), "text")
 
 
@@ -82,8 +84,9 @@ SQL = {
 CAST(CAST('0x' || right(sha256(text), 16) AS UBIGINT) AS VARCHAR) AS origin_hash, CAST(len(regexp_extract_all(text, '[^\n。！？；.!?;]*[\n。！？；.!?;]|[^\n。！？；.!?;]+$')) AS BIGINT) AS units FROM documents""",
     "mime_types": "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'text/markdown' WHEN 3 THEN 'text/html' ELSE 'application/octet-stream' END AS mime FROM part",
     "furniture_lines": r"""
-WITH l AS (SELECT source AS doc_id, doc_id AS page_no, unnest(range(0, len(string_split(text, chr(10))))) AS ord, unnest(string_split(text, chr(10))) AS text FROM documents),
-e AS (SELECT *, -ord AS y, max(-ord) OVER p AS top, min(-ord) OVER p AS low, regexp_replace(text, '\s+', '', 'g') AS f FROM l WINDOW p AS (PARTITION BY doc_id, page_no)),
+WITH t AS (SELECT source, doc_id, CASE WHEN doc_id % 2 = 0 THEN 'Report on ' ELSE 'Ｒeport  on' END || source || chr(10) || text || chr(10) || 'the end' AS text FROM documents),
+l AS (SELECT source AS doc_id, doc_id AS page_no, unnest(range(0, len(string_split(text, chr(10))))) AS ord, unnest(string_split(text, chr(10))) AS text FROM t),
+e AS (SELECT *, -ord AS y, max(-ord) OVER p AS top, min(-ord) OVER p AS low, replace(regexp_replace(text, '[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', '', 'g'), 'Ｒ', 'R') AS f FROM l WINDOW p AS (PARTITION BY doc_id, page_no)),
 z AS (SELECT *, CASE WHEN length(text) > 100 OR f = '' THEN NULL WHEN y >= top - CAST(0.15 AS DOUBLE) * (top - low) THEN 'page_header' WHEN y <= low + CAST(0.15 AS DOUBLE) * (top - low) THEN 'page_footer' END AS label FROM e),
 n AS (SELECT doc_id, count(DISTINCT page_no) AS pages FROM l GROUP BY doc_id),
 o AS (SELECT z.doc_id, label, f FROM z JOIN n ON n.doc_id = z.doc_id WHERE label IS NOT NULL GROUP BY z.doc_id, label, f, pages HAVING pages >= 3 AND count(DISTINCT page_no) >= ceil(pages * CAST(0.6 AS DOUBLE)))
