@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from folioflow.operators.tables import durable, shared_folder
+
 #: Rows of a broadcast side; a larger one takes part in a shuffled join.
 BROADCAST_ROWS = 500_000
 #: Copies of the small side of a salted join.
@@ -24,23 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder for intermediate tables, named by spark.checkpoint.dir; a folder of this machine only where all tasks run on it, as in tests."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None and not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp())
-    return sc.getCheckpointDir()
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """The rows in the shared checkpoint folder: computed once, without lineage, safe when executors go."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def sized(right: DataFrame, limit: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
     """right made durable, and whether it has few enough rows to be broadcast."""
     right = durable(right)
