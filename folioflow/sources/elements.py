@@ -41,12 +41,12 @@ def gfm(rows: list[list[str]]) -> str:
 BATCH_ROWS, BATCH_CHARS = 4096, 4 << 20
 
 
-def batched(rows: Iterable[tuple], names: list[str], types: Sequence[pa.DataType]) -> Iterator[pa.RecordBatch]:
-    """Rows, with their text in the seventh place, in batches of bounded size, however many a document has."""
+def batched(rows: Iterable[tuple], names: list[str], types: Sequence[pa.DataType], text_at: int = 6) -> Iterator[pa.RecordBatch]:
+    """Rows, with their text at that place, in batches of bounded size, however many a document has."""
     held, chars = [], 0
     for row in rows:
         held.append(row)
-        chars += len(row[6] or "")
+        chars += len(row[text_at] or "")
         if len(held) >= BATCH_ROWS or chars >= BATCH_CHARS:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names=names)
             held, chars = [], 0

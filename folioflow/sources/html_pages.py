@@ -6,7 +6,7 @@ from html.parser import HTMLParser
 
 from pyspark.sql import DataFrame
 
-from folioflow.sources import elements
+from folioflow.sources import elements, grids
 from folioflow.sources.elements import Element
 
 #: Fixed values of HTML: elements without an end tag, without text of the page, and those that end a paragraph.
@@ -18,6 +18,10 @@ ENDED_BY = {"li": ("p", "li"), "dt": ("p", "dt", "dd"), "dd": ("p", "dt", "dd"),
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 
 
+def hidden(tag: str, attrs: dict[str, str]) -> bool:
+    return tag in SILENT or "hidden" in attrs or (attrs.get("aria-hidden") or "").lower() in ("true", "1", "yes") or "display:none" in (attrs.get("style") or "").replace(" ", "").lower()
+
+
 class _Reader(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -25,7 +29,8 @@ class _Reader(HTMLParser):
         self.open: list[tuple[str, bool]] = []  # element, and whether it or one around it is hidden
         self.now: list[str] = []
         self.lists: list[list] = []  # kind, number of the last item
-        self.rows: list[list[str]] | None = None
+        self.rows: list[list[tuple[str, int, int, str]]] | None = None
+        self.spans = (1, 1)
         self.marker = ""
 
     def flush(self) -> None:
@@ -48,22 +53,29 @@ class _Reader(HTMLParser):
         else:
             self.out.append(Element("caption" if "figcaption" in names else "text", said))
 
+    def _tables(self) -> int:
+        return sum(n == "table" for n, _ in self.open)
+
+    def _counts(self) -> bool:
+        """Whether a row or cell here is one of the outermost table, and not of its foot."""
+        return self.rows is not None and self._tables() == 1 and all(n != "tfoot" for n, _ in self.open)
+
     def handle_starttag(self, tag: str, attrs) -> None:
         a = {k: v or "" for k, v in attrs}
-        hidden = bool(self.open and self.open[-1][1]) or tag in SILENT or "hidden" in a or a.get("aria-hidden", "").lower() in ("true", "1", "yes") or "display:none" in a.get("style", "").replace(" ", "").lower()
+        shut = bool(self.open and self.open[-1][1]) or hidden(tag, a)
         while self.open and self.open[-1][0] in ENDED_BY.get(tag, ()):
             self.handle_endtag(self.open[-1][0])
         if (tag in BLOCK or tag == "title") and self.rows is None:
             self.flush()
         if tag == "br":
             self.now.append("\v")
-        elif tag == "img" and not hidden and self.rows is None:
+        elif tag == "img" and not shut and self.rows is None:
             self.flush()
             self.out.extend([Element("picture", a.get("src", "")), *([Element("caption", a["alt"])] if a.get("alt") else [])])
         if tag in VOID:
             return
-        self.open.append((tag, hidden))
-        if hidden:
+        self.open.append((tag, shut))
+        if shut:
             return
         if tag in ("ul", "ol"):
             self.lists.append([tag, 0])
@@ -72,24 +84,29 @@ class _Reader(HTMLParser):
             self.marker = f"{self.lists[-1][1]}." if self.lists[-1][0] == "ol" else "-"
         elif tag == "table" and self.rows is None:
             self.rows = []
-        elif tag == "tr" and self.rows is not None:
+        elif tag == "tr" and self._counts():
             self.rows.append([])
+        elif tag in ("td", "th") and self._counts():
+            self.spans = (grids.span(a.get("rowspan")), grids.span(a.get("colspan")))
 
     def handle_endtag(self, tag: str) -> None:
         if all(n != tag for n, _ in self.open):
             return
         while True:
-            name, hidden = self.open[-1]
-            if name in ("td", "th") and self.rows:
-                self.rows[-1].append(" ".join("".join(self.now).split()))
+            name, shut = self.open[-1]
+            if name in ("td", "th") and self.rows and self._counts():
+                self.rows[-1].append((name, *self.spans, " ".join("".join(self.now).split())))
                 self.now = []
-            elif name == "table" and self.rows is not None and sum(n == "table" for n, _ in self.open) == 1:
-                if any(map(any, self.rows)):
-                    self.out.append(Element("table", elements.gfm([r for r in self.rows if r])))
+            elif name in ("td", "th") and self.rows is not None:
+                self.now = self.now + [" "] if self._tables() > 1 else []
+            elif name == "table" and self.rows is not None and self._tables() == 1:
+                rows = grids.filled(grids.grid([r for r in self.rows if r]))
+                if any(map(any, rows)):
+                    self.out.append(Element("table", elements.gfm(rows)))
                 self.rows, self.now = None, []
             elif (name in BLOCK or name == "title") and self.rows is None:
                 self.flush()
-            if name in ("ul", "ol") and self.lists and not hidden:
+            if name in ("ul", "ol") and self.lists and not shut:
                 self.lists.pop()
             self.open.pop()
             if name == tag:
