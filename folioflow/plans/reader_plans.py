@@ -10,7 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.sources import files, html_tables
+from folioflow.operators import tree_json
+from folioflow.sources import files, html_tables, json_documents
+from folioflow.sources import elements as rows
 from folioflow.sources.vector_files import GLB_BINARY, GLB_JSON, GLB_MARK
 
 
@@ -66,9 +68,44 @@ def model_elements(spark, sf_dir):
     return said.unionByName(faults.select("doc_id", F.lit(-1).cast("long").alias("ord"), F.lit("fault").alias("label"), F.lit(0).cast("long").alias("level"), F.col("error").alias("text")))
 
 
-QUERIES = {f.__name__: f for f in (html_cells, vector_elements, model_elements)}
+def _mixed(spark, sf_dir):
+    """Lines of orders as elements of all kinds, the second of each order as furniture. Lines with one number count as one."""
+    li = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"))
+    k = F.col("p") % 6
+    label = F.element_at(F.array(*map(F.lit, ("text", "section_header", "list_item", "code", "table", "picture"))), (k + 1).cast("int"))
+    own = F.when(k == 4, _text("| k | v |\n| --- | --- |\n| ", "$p", " | a\\|b |")).otherwise(_text("p ", "$p", ' "q"'))
+    zero = F.lit(0)
+    return li.select(
+        F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("long").alias("ord"), label.alias("label"), F.when(k == 1, F.col("p") % 5 + 1).otherwise(zero).cast("int").alias("level"), F.when(k == 2, F.col("p") % 4).otherwise(zero).cast("int").alias("depth"),
+        F.when(F.col("l_linenumber") == 2, "furniture").otherwise("body").alias("layer"), own.alias("text"), F.when(k == 2, F.element_at(F.array(F.lit("-"), F.lit("3.")), (F.col("p") % 2 + 1).cast("int"))).otherwise("").alias("marker"), F.when(k == 3, "SQL").otherwise("").alias("language"),
+    )
+
+
+def tree_round_trip(spark, sf_dir):
+    """Elements as JSON trees, read again: the body's in their order and then the furniture's."""
+    back = rows.read(tree_json.to_tree(_mixed(spark, sf_dir)), json_documents.parse, text_col="json")
+    return back.select("doc_id", "ord", "label", F.col("level").cast("long").alias("level"), F.col("depth").cast("long").alias("depth"), "layer", "text", "marker", "language")
+
+
+def tree_references(spark, sf_dir):
+    """The trees' references, from the JSON itself: kind, number and parent of each text."""
+    found = F.from_json("json", "texts array<struct<self_ref:string,parent:struct<`$ref`:string>,children:array<struct<`$ref`:string>>,label:string>>")
+    x = tree_json.to_tree(_mixed(spark, sf_dir)).select("doc_id", F.inline(found["texts"]))
+    return x.select("doc_id", "self_ref", F.col("parent.`$ref`").alias("parent"), F.size("children").cast("long").alias("children"), "label")
+
+
+QUERIES = {f.__name__: f for f in (html_cells, vector_elements, model_elements, tree_round_trip, tree_references)}
+
+_MIXED = """x AS (SELECT l_orderkey AS doc_id, l_linenumber AS ord, min(l_partkey) AS p FROM lineitem GROUP BY ALL),
+e AS (SELECT *, ['text', 'section_header', 'list_item', 'code', 'table', 'picture'][p % 6 + 1] AS label, ord = 2 AS furniture FROM x)"""
 
 SQL = {
+    "tree_round_trip": f"""WITH {_MIXED} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY furniture, ord) - 1 AS ord, label, CAST(CASE WHEN p % 6 = 1 THEN p % 5 + 1 ELSE 0 END AS BIGINT) AS level, CAST(CASE WHEN p % 6 = 2 THEN p % 4 ELSE 0 END AS BIGINT) AS depth,
+CASE WHEN furniture THEN 'furniture' ELSE 'body' END AS layer, CASE WHEN p % 6 = 4 THEN '| k | v |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || p || ' | a\\|b |' ELSE 'p ' || p || ' "q"' END AS text, CASE WHEN p % 6 = 2 THEN ['-', '3.'][p % 2 + 1] ELSE '' END AS marker, CASE WHEN p % 6 = 3 THEN 'SQL' ELSE '' END AS language FROM e""",
+    "tree_references": f"""WITH {_MIXED}, k AS (SELECT *, p % 6 < 4 AS is_text, label = 'section_header' AND NOT furniture AS head FROM e),
+n AS (SELECT *, '#/texts/' || (count(*) FILTER (is_text) OVER (PARTITION BY doc_id ORDER BY ord) - 1) AS ref FROM k),
+h AS (SELECT *, CASE WHEN furniture THEN '#/furniture' WHEN head THEN '#/body' ELSE coalesce(last_value(CASE WHEN head THEN ref END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY ord), '#/body') END AS parent FROM n)
+SELECT doc_id, ref AS self_ref, parent, (SELECT count(*) FROM h c WHERE c.doc_id = h.doc_id AND c.parent = h.ref) AS children, label FROM h WHERE is_text""",
     "html_cells": """SELECT c_custkey AS doc_id, CAST(0 AS BIGINT) AS table_no, u.c.r::BIGINT AS row, u.c.c::BIGINT AS col, u.c.h::BIGINT AS row_span, u.c.w::BIGINT AS col_span, u.c.r = 0 AS column_header, u.c.r = 1 AND u.c.c = 0 AS row_header, u.c.t AS text
 FROM customer, unnest([{'r': 0, 'c': 0, 'h': 1, 'w': 1, 't': 'key'}, {'r': 0, 'c': 1, 'h': 1, 'w': 2, 't': 'who'}, {'r': 1, 'c': 0, 'h': 2, 'w': 1, 't': CAST(c_custkey AS VARCHAR)}, {'r': 1, 'c': 1, 'h': 1, 'w': 1, 't': c_name || chr(10) || '&'}, {'r': 1, 'c': 2, 'h': 1, 'w': 1, 't': ''}, {'r': 2, 'c': 1, 'h': 1, 'w': 2, 't': CAST(c_nationkey AS VARCHAR)}]) AS u(c)""",
     "vector_elements": """SELECT c_custkey AS doc_id, u.e.ord::BIGINT AS ord, u.e.label AS label, u.e.t AS text FROM customer, unnest([{'ord': 0, 'label': 'title', 't': c_name}, {'ord': 1, 'label': 'text', 't': c_mktsegment || ' of ' || c_nationkey}, {'ord': 2, 'label': 'text', 't': CAST(c_custkey AS VARCHAR)},

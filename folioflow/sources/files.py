@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from folioflow.functions.text import data_uri, mime_type
 from folioflow.operators.document import to_markdown
-from folioflow.sources import asciidoc, csv_tables, html_pages, mail, markdown, office_files, vector_files
+from folioflow.sources import asciidoc, csv_tables, html_pages, json_documents, mail, markdown, office_files, vector_files
 from folioflow.sources.elements import _TYPES, SCHEMA, Element, batched, gfm
 
 #: An archive's pages together, unpacked; a longer one is an error of that file.
@@ -84,7 +84,7 @@ READERS: dict[str, Callable[[bytes], list[Element]]] = {
     ".txt": _text(plain), ".md": _text(markdown.parse), ".markdown": _text(markdown.parse), ".html": _text(html_pages.parse), ".htm": _text(html_pages.parse), ".adoc": _text(asciidoc.parse),
     ".asciidoc": _text(asciidoc.parse), ".csv": _text(table), ".eml": _text(mail.parse), ".epub": book, ".png": image, ".jpg": image, ".jpeg": image, ".bmp": image, ".webp": image,
     ".xlsx": office_files.workbook, ".docx": office_files.document, ".pptx": office_files.slides,
-    ".svg": vector_files.vector_image, ".glb": vector_files.model_file,
+    ".json": _text(json_documents.parse), ".svg": vector_files.vector_image, ".glb": vector_files.model_file,
 }
 
 

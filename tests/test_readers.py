@@ -73,3 +73,34 @@ def test_model_properties_keep_their_digits():
 def test_broken_models(data):
     with pytest.raises(ValueError):
         vector_files.model_file(data)
+
+
+def test_json_documents():
+    from folioflow.sources import json_documents
+
+    text = {"label": "text", "text": "a", "children": [{"$ref": "#/texts/0"}, {"$ref": "#/groups/0"}, {"$ref": "#/texts/99"}, {"$ref": "#/pages/0"}]}
+    items = {
+        "body": {"children": [{"$ref": f"#/texts/{k}"} for k in range(3)] + [{"$ref": "#/tables/0"}, {"$ref": "#/tables/1"}]}, "furniture": {"children": [{"$ref": "#/texts/3"}]},
+        "texts": [text, {"label": "heading-3", "text": "h"}, {"label": "formula", "text": "", "latex": "x"}, {"label": "text", "orig": "foot"}, {"label": "list_item", "text": "i", "marker": "1."}, {"label": "caption", "text": "c"}],
+        "groups": [{"label": "list", "children": [{"$ref": "#/groups/1"}]}, {"label": "list", "children": [{"$ref": "#/texts/4"}]}],
+        "tables": [{"captions": [{"$ref": "#/texts/5"}], "data": {"num_cols": 3, "table_cells": [{"text": "w", "start_row_offset_idx": 0, "end_row_offset_idx": 1, "start_col_offset_idx": 0, "end_col_offset_idx": 2}]}}, {"data": {"grid": [[{"text": "g"}]]}}],
+    }
+    found = json_documents.parse(json.dumps(json.dumps(items)))
+    assert [(e.label, e.text, e.level, e.depth, e.layer) for e in found] == [
+        ("text", "a", 0, 0, "body"), ("list_item", "i", 0, 1, "body"), ("section_header", "h", 3, 0, "body"), ("formula", "x", 0, 0, "body"), ("table", "| w | w |  |\n| --- | --- | --- |", 0, 0, "body"),
+        ("caption", "c", 0, 0, "body"), ("table", "| g |\n| --- |", 0, 0, "body"), ("text", "foot", 0, 0, "furniture"),
+    ]
+    assert json_documents.parse("") == json_documents.parse("{}") == []
+    for bad in ("[1]", "{", json.dumps({"body": {"children": [{"$ref": "#/tables/0"}]}, "tables": [{"data": {"table_cells": [{"start_row_offset_idx": 10**9}]}}]})):
+        with pytest.raises(ValueError):
+            json_documents.parse(bad)
+
+
+def test_trees_of_nothing(spark):
+    from folioflow.operators import tree_json
+    from folioflow.sources import elements, json_documents
+
+    e = spark.createDataFrame([(1, 0, "table", 0, 0, None, None, None, None), (2, 0, "text", None, None, "furniture", "x", None, None), (2, 1, "picture", 0, 0, "body", "", "", "")], elements.SCHEMA)
+    back = elements.read(tree_json.to_tree(e), json_documents.parse, text_col="json").collect()
+    assert sorted((r.doc_id, r.ord, r.label, r.layer, r.text) for r in back) == [(2, 0, "picture", "body", ""), (2, 1, "text", "furniture", "x")]
+    assert tree_json.to_tree(e.limit(0)).count() == 0
