@@ -115,6 +115,12 @@ def test_quality_rules(spark):
     assert out[0].host_rejected and not out[0].kept and not out[0].base_failed
     assert out[1001].kept and not out[1000].kept and out[2000].kept and not out[2001].kept
     assert {r.doc_id for r in quality_rules.keep_good(docs).collect()} == {i for i, r in out.items() if r.kept}
+    lines = "\n".join(["same line"] * 3 + [good])
+    for text in (good + " ####", lines):
+        rows = [(k, text if k % 9 else good, "odd") for k in range(200)] + [(1000 + k, f"{good} {k}", f"h{k % 4}") for k in range(200)] + [(2000, text, None)]
+        out = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+        assert out[0].host_rejected and not out[0].kept and not out[1].base_failed and out[1001].kept and out[2000].kept
+        assert (out[1].symbols_failed, out[1].dup_lines_failed, out[0].symbols_failed) == (text != lines, text == lines, False)
     assert quality_rules.judge(hard(spark)).count() == len(HARD)
     assert quality_rules.judge(hard(spark).limit(0)).count() == 0
     assert quality_rules.keep_good(hard(spark)).columns == hard(spark).columns

@@ -53,20 +53,23 @@ def brute_quality(rows):
         words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
         windows = [tuple(words[k : k + 5]) for k in range(len(words) - 4)]
         covered = {k + j for k, w in enumerate(windows) if windows.count(w) > 1 for j in range(5)}
-        return len(words) < 10 or 100 * len(covered) > 20 * len(words)
-
-    hosts = {}
-    for _, text, host in rows:
-        if host:
-            n, k = hosts.get(host, (0, 0))
-            hosts[host] = n + 1, k + fails(text)
-    total, failed = sum(n for n, _ in hosts.values()), sum(k for _, k in hosts.values())
-    m = failed / total
-    between = max((sum(k * k / n for n, k in hosts.values()) - total * m * m - (len(hosts) - 1) * m * (1 - m)) / total, 0)
-    strength = min(max(m * (1 - m) / between - 1 if between > 0 else 1e6, 1), 1e6)
-    bad = {h for h, (n, k) in hosts.items() if (k + m * strength) / (n + strength) > 0.8}
-    assert bad
-    return [r for r in rows if not fails(r[1]) and r[2] not in bad]
+        lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        return len(words) < 10, 100 * len(covered) > 20 * len(words), 10 * len(re.findall(r"[#*$%&|<>]", text or "")) > len(words), 10 * (len(lines) - len(set(lines))) > 3 * len(lines)
+
+    bad = set()
+    for rule in range(4):
+        hosts = {}
+        for _, text, host in rows:
+            if host:
+                n, k = hosts.get(host, (0, 0))
+                hosts[host] = n + 1, k + fails(text)[rule]
+        total, failed = sum(n for n, _ in hosts.values()), sum(k for _, k in hosts.values())
+        m = failed / total
+        between = max((sum(k * k / n for n, k in hosts.values()) - total * m * m - (len(hosts) - 1) * m * (1 - m)) / total, 0)
+        strength = min(max(m * (1 - m) / between - 1 if between > 0 else 1e6, 1), 1e6)
+        bad |= {h for h, (n, k) in hosts.items() if (k + m * strength) / (n + strength) > 0.8}
+    assert {"junk", "signs"} <= bad
+    return [r for r in rows if not any(fails(r[1])[:2]) and r[2] not in bad]
 
 
 def test_pipeline_equals_plain_python(spark, tmp_path):
@@ -74,6 +77,7 @@ def test_pipeline_equals_plain_python(spark, tmp_path):
     rows = [(k, say(k, 30), f"h{k % 3}") for k in range(20)] + [(100 + k, say(k, 30) + " more", "h1") for k in range(0, 20, 2)]
     rows += [(200, f"before {item} after", "h0"), (201, say("x", 12) + " " + item.replace(item[50], "_", 1).upper(), None), (202, say("y", 20) + " password='Abcdefgh12345'", "h1"), (203, say("z", 30) * 2, "h2")]
     rows += [(300 + k, "too short", "junk") for k in range(60)] + [(400, say("good", 40), "junk"), (5, say("other", 25), "h0"), (5, say("other", 25), "h0"), (None, say("null", 25), ""), (None, say(3, 30), None)]
+    rows += [(500 + k, say(f"sign{k}", 12) + " $$", "signs") for k in range(40)] + [(600, say("plain", 40), "signs")]
     rows += [(i, t, None) for i, t in HARD]
     spark.createDataFrame([(*r, 1, "c", "x") for r in rows], "doc_id long, text string, source string, n_chars long, _chosen string, lang string").coalesce(3).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, item), (2, None), (3, " ")], "item_id long, text string").coalesce(1).write.parquet(str(tmp_path / "benchmark.parquet"))
@@ -93,7 +97,7 @@ def test_pipeline_equals_plain_python(spark, tmp_path):
         want.append((str(i), len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
     got = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted((str(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got.collect()) == sorted(want)
-    assert {"200", "201", "400", "300", "203"}.isdisjoint(w[0] for w in want) and len(want) > 20
+    assert {"200", "201", "400", "300", "203", "500", "600"}.isdisjoint(w[0] for w in want) and len(want) > 20
 
 
 def test_stages_keep_columns_and_take_empty_tables(spark):
