@@ -5,16 +5,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import map_arrow, texts
+from folioflow.llm.common import durable, map_arrow, texts
 
 #: Edits allowed for each hundred characters of an item.
 ERROR_PERCENT = 5
-#: Characters of benchmark items that one pass over the documents searches; more items take more passes.
+#: Characters of benchmark items that one automaton holds; more items take more automata, one after the other.
 BLOCK_CHARS = 4_000_000
+#: Characters of a piece's beginning by which one pass picks the documents that several blocks search; shorter pieces count whole.
+HEAD = 16
 
 
 def normal(text: str) -> str:
@@ -125,6 +128,46 @@ def blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[
         yield block
 
 
+def window_hashes(text: str, width: int) -> np.ndarray:
+    """A 64-bit hash of each window of width characters."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    v = c[: max(len(c) - width + 1, 0)]
+    for k in range(1, width):
+        v = v * np.uint64(0x9E3779B97F4A7C15) + c[k : k + len(v)]
+    return v
+
+
+def heads(found: Iterator[list[tuple[int, str]]], percent: int = ERROR_PERCENT) -> tuple[int, dict[int, np.ndarray]]:
+    """(number of blocks, sorted hashes of the beginnings of all pieces by their length): eight bytes a piece."""
+    n, parts = 0, {}
+    for n, block in enumerate(found, 1):
+        own: dict[int, set[str]] = {}
+        for _, item in block:
+            for _, piece in pieces(item, percent)[1]:
+                own.setdefault(min(len(piece), HEAD), set()).add(piece[:HEAD])
+        for width, said in own.items():
+            parts.setdefault(width, []).append(window_hashes("".join(sorted(said)), width)[::width])
+    return n, {width: np.unique(np.concatenate(p)) for width, p in parts.items()}
+
+
+def likely(text: str | None, known: dict[int, np.ndarray]) -> bool:
+    """Whether a piece's beginning may stand in text; never false where one does."""
+    seen = normal(text or "")
+    for width, hashes in known.items():
+        v = window_hashes(seen, width)
+        if len(v) and (hashes[np.minimum(np.searchsorted(hashes, v), len(hashes) - 1)] == v).any():
+            return True
+    return False
+
+
+def _likely(known, text_col: str, want: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([likely(t, known.value) is want for t in texts(batch, text_col)], pa.bool_()))
+
+    return run
+
+
 def _search(items, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = automaton(items.value, percent)
@@ -150,19 +193,31 @@ def search(docs: DataFrame, benchmark: DataFrame, percent: int = ERROR_PERCENT,
     Texts are compared in lower case with white space as single spaces; distances and budgets count the characters
     of that form, start and end the code points of the text itself. Null and blank texts and items match nothing,
     items below 100 / percent characters match exactly, equal rows give equal rows, an empty benchmark gives none.
-    Documents are not shuffled; items reach the executors in blocks of bounded size.
+    Documents are not shuffled. Items reach the executors in blocks of bounded size: one block searches all
+    documents, several search those that one pass finds to hold the beginning of any piece.
     """
+    spark = docs.sparkSession
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = "doc_id long, item_id long, distance long, start long, end long"
-    out = docs.sparkSession.createDataFrame([], schema)
+    n, known = heads(blocks(benchmark, item_col, item_text_col), percent)
+    if n > 1:
+        slim = durable(map_arrow(slim, _likely(spark.sparkContext.broadcast(known), "text", True), slim.schema))
+    out = spark.createDataFrame([], schema)
     for block in blocks(benchmark, item_col, item_text_col):
-        out = out.unionByName(map_arrow(slim, _search(docs.sparkSession.sparkContext.broadcast(block), percent), schema))
+        out = out.unionByName(map_arrow(slim, _search(spark.sparkContext.broadcast(block), percent), schema))
     return out
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, percent: int = ERROR_PERCENT, text_col: str = "text") -> DataFrame:
-    """docs, in its own columns, without the rows that hold an item."""
+    """docs, in its own columns, without the rows that hold an item. Null and blank texts stay, and all rows if there are no items."""
     spark: SparkSession = docs.sparkSession
+    n, known = heads(blocks(benchmark, "item_id", "text"), percent)
+    rest = None
+    if n > 1:
+        shared = spark.sparkContext.broadcast(known)
+        rest = map_arrow(docs, _likely(shared, text_col, False), docs.schema)
+        docs = map_arrow(docs, _likely(shared, text_col, True), docs.schema)
     for block in blocks(benchmark, "item_id", "text"):
         docs = map_arrow(docs, _clean(spark.sparkContext.broadcast(block), percent, text_col), docs.schema)
-    return docs
+        docs = durable(docs) if n > 1 else docs  # or a task would hold the automata of all blocks at once
+    return docs if rest is None else docs.unionByName(rest)

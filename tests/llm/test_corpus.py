@@ -4,8 +4,9 @@ import base64
 import contextlib
 import datetime
 import hashlib
+import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import public_tokenizers
 import pyarrow.parquet as pq
@@ -237,6 +238,49 @@ def test_decontamination(spark):
     assert decontaminate.search(docs, bench.limit(0)).count() == 0
 
 
+def test_many_blocks_of_items_equal_one(spark, monkeypatch):
+    words = [f"{a}{b}{c}" for a in ("ka", "lo", "mi") for b in ("ren", "tus", "vol") for c in ("da", "pe", "qi")]
+    items = [(k, " ".join(words[(k * j) % 27] for j in range(1, 3 + k % 9))) for k in range(1, 26)] + [(26, "ab"), (27, None), (28, " ")]
+    rows = [(k, f"x{k} {items[k][1].upper()} tail" if k % 2 else f"clean {k}") for k in range(25)] + [(90, None), (91, ""), (92, "a b"), (93, "ZAB"), (94, items[11][1].replace("k", "c", 1)), (94, items[11][1])]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = lambda: (sorted(map(tuple, decontaminate.search(docs, bench).collect())), sorted(map(str, decontaminate.keep_clean(docs, bench).collect())))
+    one = found()
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 300)
+    assert len(list(decontaminate.blocks(bench, "item_id", "text"))) > 3
+    assert found() == one and len(one[0]) > 12 and len(one[1]) > 12
+    known = decontaminate.heads(decontaminate.blocks(bench, "item_id", "text"))[1]
+    assert decontaminate.likely("ZAB", known) and not decontaminate.likely(None, known) and not decontaminate.likely("a b", known)
+    assert decontaminate.search(docs.limit(0), bench).count() == decontaminate.keep_clean(docs.limit(0), bench).count() == 0
+
+
+def brute_ratio(run, pairs, totals):
+    """Mean log-likelihood ratio of a run after the counts of the samples, add-half."""
+    p = lambda label, a, b: (pairs[label, a, b] + 0.5) / (totals[label, a] + 0.5 * len(secrets.ALPHABET))
+    return sum(math.log(p(1, a, b) / p(0, a, b)) for a, b in zip(run, run[1:], strict=False)) / (len(run) - 1)
+
+
+def test_added_spans_equal_brute_force(spark):
+    pairs, totals = Counter(), Counter()
+    for label, text in secrets.samples(spark).collect():
+        pairs.update((label, a, b) for a, b in zip(text, text[1:], strict=False))
+        totals.update((label, a) for a in text[:-1])
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    odd = [base64.b64encode(hashlib.sha256(bytes([k])).digest()).decode()[:30] for k in range(8)]
+    texts = [(r.doc_id, r.text or "") for r in docs] + [(10_000 + k, f"é {odd[k]} token={odd[k - 1]} {odd[k - 2]}Name getCustomerAddressValue{k}") for k in range(8)] + [(20_000, "a" * 20), (20_001, "A1" * 2000)]
+    model = secrets.train(secrets.samples(spark))
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in secrets.scan(spark.createDataFrame(texts, "doc_id long, text string"), model).collect()}
+    close = 0
+    for i, text in texts:
+        base, added = brute_base(text), []
+        for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text):
+            score = brute_ratio(m[0], pairs, totals)
+            close += abs(score - secrets.MARGIN) < 1e-4
+            if score > secrets.MARGIN and not any(a < m.end() and m.start() < b for a, _, b in base):
+                added.append((m.start(), 3, m.end()))
+        assert got[i] == sorted(base + added)
+    assert not close and sum(s[1] == 3 for spans in got.values() for s in spans) >= 8
+
+
 def test_token_counts(spark):
     from tokenizers import Tokenizer, models
 
