@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from folioflow.functions.text import data_uri, mime_type
 from folioflow.operators.document import to_markdown
-from folioflow.sources import asciidoc, csv_tables, html_pages, json_documents, mail, markdown, office_files, vector_files
+from folioflow.sources import asciidoc, csv_tables, drawings, html_pages, json_documents, legacy, mail, markdown, office_files, pdf, vector_files
 from folioflow.sources.elements import _TYPES, SCHEMA, Element, batched, gfm
 
 #: An archive's pages together, unpacked; a longer one is an error of that file.
@@ -85,6 +85,7 @@ READERS: dict[str, Callable[[bytes], list[Element]]] = {
     ".asciidoc": _text(asciidoc.parse), ".csv": _text(table), ".eml": _text(mail.parse), ".epub": book, ".png": image, ".jpg": image, ".jpeg": image, ".bmp": image, ".webp": image,
     ".xlsx": office_files.workbook, ".docx": office_files.document, ".pptx": office_files.slides,
     ".json": _text(json_documents.parse), ".svg": vector_files.vector_image, ".glb": vector_files.model_file,
+    ".doc": legacy.document, ".xls": legacy.workbook, ".dxf": drawings.drawing, ".dwg": drawings.drawing,
 }
 
 
@@ -95,7 +96,7 @@ def _rows(doc: dict) -> list[tuple]:
         return [(doc["doc_id"], *[None] * 8, path, "unknown format")]
     try:
         return [(doc["doc_id"], k, e.label, e.level, e.depth, e.layer, e.text, e.marker, e.language, path, None) for k, e in enumerate(reader(doc["content"] or b""))]
-    except (ValueError, KeyError, IndexError, AttributeError, StopIteration, RecursionError, zipfile.BadZipFile, zlib.error, ElementTree.ParseError) as e:
+    except (ValueError, LookupError, AttributeError, struct.error, StopIteration, RecursionError, zipfile.BadZipFile, zlib.error, ElementTree.ParseError) as e:
         return [(doc["doc_id"], *[None] * 8, path, f"{type(e).__name__}: {e}")]
 
 
@@ -115,6 +116,13 @@ def read(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return out.where("error is null").drop("path", "error"), out.where("error is not null").select("doc_id", "path", "error")
 
 
+def read_all(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """read, and PDF files by their own reader, which runs a job at once."""
+    is_pdf = F.coalesce(F.lower("path").endswith(".pdf"), F.lit(False))
+    elements, faults = read(files.where(~is_pdf))
+    return elements.unionByName(pdf.read(files.where(is_pdf).select(F.col("doc_id").cast("long").alias("doc_id"), "content"))), faults
+
+
 def markdown_of(files: DataFrame) -> DataFrame:
     """(doc_id, markdown) of files: read and exported."""
     return to_markdown(read(files)[0])

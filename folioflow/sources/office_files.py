@@ -9,6 +9,7 @@ import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
+from folioflow.sources import charts
 from folioflow.sources.elements import Element, gfm
 
 #: Bytes of a part, unpacked; a longer one is an error of that file.
@@ -160,6 +161,21 @@ def workbook(data: bytes) -> list[Element]:
         out.append(Element("section_header", sheet.get("name", ""), level=1, layer=layer))
         root = package.xml(parts.get(_get(sheet, "id", "")))
         out += [e._replace(layer=layer) for e in (_sheet(root, shared) if root is not None else [])]
+        for drawing in package.related(parts[_get(sheet, "id", "")], "/drawing").values() if root is not None else ():
+            out += [e._replace(layer=layer) for e in _charts(package, drawing, package.xml(drawing))]
+    return out
+
+
+def _charts(package: Package, path: str, node) -> list[Element]:
+    """The charts that a part's node shows, in its order; a broken chart is left out."""
+    frames, out = list(_all(node, "chart")), []
+    parts = package.related(path, "/chart") if frames else {}
+    for frame in frames:
+        part = parts.get(_get(frame, "id", ""))
+        try:
+            out += charts.elements(package.zip.read(part)) if part in package.names and package.zip.getinfo(part).file_size <= MAX_PART else []
+        except (ElementTree.ParseError, ValueError):
+            continue
     return out
 
 
@@ -175,6 +191,7 @@ class _Word:
         self.ordered = lambda num, level: formats.get((base.get(num), level), "bullet") not in ("bullet", "none")
         self.counts: dict[tuple[str, int], int] = {}
         self.deleted: list[str] = []
+        self.package, self.part = package, main
 
     def kind(self, style: str) -> tuple[str, int]:
         """(label, level) of a style: headings by its own or its base's name or outline, the title, code along its bases."""
@@ -224,7 +241,7 @@ class _Word:
             out.append(Element("list_item", text, depth=depth, marker=f"{n}." if self.ordered(num, str(depth)) else ""))
         elif text:
             out.append(Element(label, text, level=level))
-        out += [Element("text", said, layer="notes") for said in self.deleted]
+        out += [Element("text", said, layer="notes") for said in self.deleted] + _charts(self.package, self.part, p)
         self.deleted = []
         return out
 
@@ -273,11 +290,14 @@ def document(data: bytes) -> list[Element]:
     word, out = _Word(package, main), []
     for kind, label in (("/header", "page_header"), ("/footer", "page_footer")):
         for path in sorted(set(package.related(main, kind).values())):
+            word.part = path
             said = " ".join(e.text for e in word.body(package.xml(path)) if e.layer == "body")
             out += [Element(label, said, layer="furniture")] if said else []
+    word.part = main
     out += _merged_code(word.body(_find(package.xml(main), "body")))
     for kind, part in (("/footnotes", "footnote"), ("/endnotes", "endnote"), ("/comments", "comment")):
         for path in package.related(main, kind).values():
+            word.part = path
             for note in _all(package.xml(path), part):
                 said = "\n".join(e.text for e in word.body(note))
                 if said and _get(note, "type") not in ("separator", "continuationSeparator"):
@@ -351,7 +371,7 @@ def slides(data: bytes) -> list[Element]:
         root = package.xml(parts.get(path))
         if root is None:
             continue
-        out += in_rows(_shapes(_find(root, "cSld", "spTree")))
+        out += in_rows(_shapes(_find(root, "cSld", "spTree"))) + _charts(package, parts[path], root)
         for notes in package.related(parts[path], "/notesSlide").values():
             out += [e._replace(layer="notes", label="text") for e in in_rows(_shapes(_find(package.xml(notes), "cSld", "spTree"))) if e.layer == "body" and e.text]
     return out
