@@ -56,6 +56,15 @@ def comment_meta(fields: Mapping[str, Column]) -> Column:
     return F.map_from_entries(F.filter(entries, lambda e: F.coalesce(e["value"], F.lit("")) != ""))
 
 
+def merged_meta(extra: Column, known: Column) -> Column:
+    """Two maps of names to raw JSON as one JSON object by name. The second wins where it says something; its blank and null values are left out. Null for two nulls."""
+    none = F.create_map().cast("map<string,string>")
+    said = F.map_filter(F.coalesce(known, none), lambda _, v: ~F.trim(F.coalesce(v, F.lit(""))).isin("", "null"))
+    kept = F.map_filter(F.coalesce(extra, none), lambda k, v: v.isNotNull() & ~F.array_contains(F.map_keys(said), k))
+    pairs = F.transform(F.array_sort(F.map_entries(F.map_concat(kept, said))), lambda e: F.concat(F.regexp_extract(F.to_json(F.array(e["key"])), r"(?s)^\[(.*)\]$", 1), F.lit(":"), e["value"]))
+    return F.when(extra.isNotNull() | known.isNotNull(), F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}")))
+
+
 def flag(meta: Column, key: str) -> Column:
     """Whether a flag of JSON metadata is set to true, as for headings without a level of their own."""
     return F.coalesce(F.get_json_object(meta, f"$.{key}") == "true", F.lit(False))

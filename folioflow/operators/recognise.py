@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from folioflow.functions.text import clean_recognised, garbage_ratio, is_blank, strip
 from folioflow.operators.pages import recognised_fault
 from folioflow.operators.tables import durable
+from folioflow.operators.visual import CELLS, page_faults
 
 #: Times that a page is asked for.
 ATTEMPTS = 2
@@ -58,3 +59,32 @@ def recognised(pages: DataFrame, hook: Callable[[dict], str], attempts: int = AT
         done = out if done is None else done.unionByName(out)
         asked = said.where(again).withColumn("feedback", F.col("_fault")).withColumn("attempt", F.lit(k + 1)).drop("answer", "_text", "_fault")
     return done
+
+
+#: What a visual model says of a page's items.
+ITEMS = f"array<struct<label:string,text:string,level:int,confidence:double,l:double,t:double,r:double,b:double,rows:long,cols:long,turn:int,cells:{CELLS}>>"
+
+
+def visual_items(pages: DataFrame, hook: Callable[[dict], str], attempts: int = ATTEMPTS) -> tuple[DataFrame, DataFrame]:
+    """(items, faults) of pages (page, width, height, and whatever else the model reads): what a visual model finds on them.
+
+    hook gets a page as for recognised and returns a JSON list of items (label, text, level, confidence, l, t, r, b with the
+    origin at the bottom, and for tables rows, cols, turn, cells). A page whose answer has a fault is asked for again with
+    that fault, attempts times in all. items (page, ord, ...) are those of pages without a fault, faults (page, attempt,
+    fault) the others' last ones. Pages must differ in page; answers are stored as they come.
+    """
+    asked = pages.withColumn("attempt", F.lit(1)).withColumn("feedback", F.lit(None).cast("string"))
+    items = faults = None
+    for k in range(1, attempts + 1):
+        said = _asked(asked, hook).withColumn("_items", F.from_json("answer", ITEMS))
+        said = durable(said)
+        found = said.select("page", F.posexplode("_items").alias("ord", "_i")).select("page", "ord", "_i.*")
+        found = found.withColumn("cells", F.coalesce("cells", F.array().cast(CELLS)))
+        checked = page_faults(found, said.select("page", "width", "height")).withColumnRenamed("fault", "_fault")
+        said = durable(said.join(checked, "page", "left").withColumn("_fault", F.when(F.col("answer").isNull(), "failed").when(F.col("_items").isNull(), "no JSON").otherwise(F.col("_fault"))))
+        good = found.join(said.where("_fault is null").select("page"), "page", "left_semi")
+        bad = said.where("_fault is not null")
+        last = bad.where(F.lit(k == attempts)).select("page", "attempt", F.col("_fault").alias("fault"))
+        items, faults = (good, last) if items is None else (items.unionByName(good), faults.unionByName(last))
+        asked = bad.withColumn("feedback", F.col("_fault")).withColumn("attempt", F.lit(k + 1)).drop("answer", "_items", "_fault")
+    return items, faults

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
+from xml.sax.saxutils import escape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioflow.functions import office
 from folioflow.operators import pages, recognise
 from folioflow.plans import made_files
+from folioflow.plans.file_plans import _archive
 from folioflow.sources import charts, files
 
 
@@ -80,7 +84,49 @@ def grid_places(spark, sf_dir):
     return pages.grid_places(cells, sizes, ["t"]).withColumn("idx", F.coalesce("idx", F.lit(-1)))
 
 
-QUERIES = {f.__name__: f for f in (legacy_elements, drawing_texts, chart_parts, recognised_pages, grid_places)}
+def _visual(page: dict) -> str:
+    key = page["page"]
+    item = {"label": "text", "text": f"{page['name']} {page['feedback'] or ''}".strip(), "level": 1, "confidence": 0.75, "l": 1.0, "t": 20.0, "r": 30.0, "b": 10.0}
+    if key % 4 == 1 and page["attempt"] == 1:
+        return "[{"
+    if key % 4 == 2:
+        item["confidence"] = 0.25 if page["attempt"] == 1 or key % 8 == 2 else 0.5
+    table = {"label": "table", "confidence": 1, "l": 1, "t": 60, "r": 30, "b": 30, "rows": 1, "cols": 1, "turn": 0, "cells": [{"r0": 0, "r1": 1, "c0": 0, "c1": 1, "text": str(key)}]}
+    return json.dumps([item, table])
+
+
+def visual_results(spark, sf_dir):
+    """A visual model that answers, or answers well at the second time, or never; pages it fails on have one row with the fault."""
+    p = _t(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("page"), F.lit(600.0).alias("width"), F.lit(800.0).alias("height"), F.col("c_name").alias("name"))
+    items, faults = recognise.visual_items(p, _visual)
+    said = items.select("page", F.col("ord").cast("long").alias("ord"), "label", F.coalesce("text", F.element_at("cells", 1)["text"]).alias("text"))
+    return said.unionByName(faults.select("page", F.lit(-1).cast("long").alias("ord"), F.lit("fault").alias("label"), F.col("attempt").cast("string").alias("text")))
+
+
+def _omml(key: int, name: str, segment: str) -> tuple[str, bytes]:
+    run = lambda text: f"<m:r><m:t>{escape(text)}</m:t></m:r>"
+    part = lambda tag, *inner: f"<m:{tag}>{''.join(inner)}</m:{tag}>"
+    fraction = part("f", part("num", run(str(key))), part("den", part("rad", part("deg"), part("e", run("α%")))))
+    total = part("nary", '<m:naryPr><m:chr m:val="∑"/></m:naryPr>', part("sub", run("i")), part("sup"), part("e", part("sSup", part("e", run("x")), part("sup", run("2")))))
+    box = f"<r><AlternateContent><Choice><txbxContent><p><r><t>{escape(segment)}</t></r></p></txbxContent></Choice><Fallback><txbxContent><p><r><t>{escape(segment)}</t></r></p></txbxContent></Fallback></AlternateContent></r>"
+    body = f"<p><m:oMathPara><m:oMath>{fraction}{total}</m:oMath></m:oMathPara></p><p><r><t>{escape(name)}: </t></r><m:oMath>{part('d', part('e', run('a')), part('e', run('b')))}</m:oMath>{box}</p>"
+    return f"{key}.docx", _archive({"word/document.xml": f'<document xmlns:m="m"><body>{body}</body></document>'})
+
+
+def word_formulas(spark, sf_dir):
+    """Word files with a formula of its own, one inside a line, and a text box in two versions."""
+    return files.read(_made(spark, sf_dir, _omml))[0].select("doc_id", "ord", "label", "text")
+
+
+def picture_meta(spark, sf_dir):
+    """What is known of pictures, over what others say of them: equal names, blank and null values."""
+    j = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    extra = F.create_map(F.lit("own:name"), j(F.col("c_name")), F.lit("code"), F.lit('"old"'), F.lit('a"b'), F.lit("[1, 2]"))
+    known = F.create_map(F.lit("code"), F.when(F.col("c_custkey") % 3 == 0, j(F.col("c_mktsegment"))).when(F.col("c_custkey") % 3 == 1, " null "), F.lit("description"), F.when(F.col("c_custkey") % 2 == 0, '{"text":""}'))
+    return _t(spark, sf_dir, "customer").select("c_custkey", office.merged_meta(extra, known).alias("meta"))
+
+
+QUERIES = {f.__name__: f for f in (legacy_elements, drawing_texts, chart_parts, recognised_pages, grid_places, visual_results, word_formulas, picture_meta)}
 
 SQL = {
     "legacy_elements": """WITH c AS (SELECT c_custkey AS k, c_name AS n, c_mktsegment AS s FROM customer)
@@ -97,4 +143,8 @@ SELECT page_no, CASE WHEN fault IS NULL THEN CASE WHEN k = 2 THEN 'again empty'
 p AS (SELECT t, r.i AS r, c.i AS c FROM s, range(7) AS r(i), range(3) AS c(i) WHERE r.i < m)
 SELECT p.t, p.r, p.c, coalesce(max(n), -1) AS idx, CASE WHEN max(n) IS NULL THEN 1 ELSE CAST(2 AS BIGINT) END AS row_span, CAST(coalesce(max(n) % 3 + 1, 1) AS BIGINT) AS col_span, coalesce(max(n)::VARCHAR, '') AS text
 FROM p LEFT JOIN l ON l.t = p.t AND p.r BETWEEN n - 1 AND n AND p.c >= n % 2 AND p.c < n % 2 + 1 + n % 3 GROUP BY p.t, p.r, p.c""",
+    "visual_results": """WITH c AS (SELECT c_custkey AS page, c_name AS n, c_custkey % 8 = 2 AS bad, CASE WHEN c_custkey % 4 = 1 THEN ' no JSON' WHEN c_custkey % 4 = 2 THEN ' confidence' ELSE '' END AS f FROM customer)
+SELECT page, CAST(0 AS BIGINT) AS ord, 'text' AS label, n || f AS text FROM c WHERE NOT bad UNION ALL SELECT page, 1, 'table', page::VARCHAR FROM c WHERE NOT bad UNION ALL SELECT page, -1, 'fault', '2' FROM c WHERE bad""",
+    "word_formulas": r"""SELECT c_custkey AS doc_id, i AS ord, ['formula', 'text', 'text'][i + 1] AS label, ['\frac{' || c_custkey || '}{\sqrt{\alpha \%}}\sum_{i}{{x}^{2}}', c_name || ': \left(a|b\right)', c_mktsegment][i + 1] AS text FROM customer, range(3) AS r(i)""",
+    "picture_meta": r"""SELECT c_custkey, concat('{"a\"b":[1, 2],"code":', CASE WHEN c_custkey % 3 = 0 THEN '"' || c_mktsegment || '"' ELSE '"old"' END, CASE WHEN c_custkey % 2 = 0 THEN ',"description":{"text":""}' ELSE '' END, ',"own:name":"', c_name, '"}') AS meta FROM customer""",
 }

@@ -9,7 +9,7 @@ import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
-from folioflow.sources import charts
+from folioflow.sources import charts, formulas
 from folioflow.sources.elements import Element, gfm
 
 #: Bytes of a part, unpacked; a longer one is an error of that file.
@@ -220,6 +220,8 @@ class _Word:
             kind = _name(child)
             if kind in ("t", "delText"):
                 out.append(child.text or "")
+            elif kind == "oMath":
+                out.append(formulas.latex(child))
             elif kind in ("tab", "br", "cr"):
                 out.append("\t" if kind == "tab" else "\n")
             elif kind in ("del", "moveFrom"):
@@ -231,6 +233,7 @@ class _Word:
 
     def paragraph(self, p) -> list[Element]:
         text = self.text(p).strip()
+        math = "".join(formulas.latex(m) for m in _all(p, "oMath"))
         label, level = self.kind(_get(_find(p, "pPr", "pStyle"), "val", ""))
         number = _find(p, "pPr", "numPr")
         num, depth = _get(_find(number, "numId"), "val", "0") if number is not None else "0", int(_get(_find(number, "ilvl"), "val", "0")) if number is not None else 0
@@ -239,12 +242,27 @@ class _Word:
             self.counts = {k: n for k, n in self.counts.items() if k[0] != num or k[1] <= depth}
             self.counts[num, depth] = n = self.counts.get((num, depth), 0) + 1
             out.append(Element("list_item", text, depth=depth, marker=f"{n}." if self.ordered(num, str(depth)) else ""))
+        elif text and label != "section_header" and "".join(text.split()) == "".join(math.split()):
+            out.append(Element("formula", text))
         elif text:
             out.append(Element(label, text, level=level))
+        for box in self.boxes(p):
+            out += self.body(box)
         out += [Element("text", said, layer="notes") for said in self.deleted] + _charts(self.package, self.part, p)
         self.deleted = []
         return out
 
+    def boxes(self, node) -> Iterator:
+        """The text boxes that hang on a paragraph; of several versions of one the first."""
+        for child in node:
+            kind = _name(child)
+            if kind == "txbxContent":
+                yield child
+            elif kind == "AlternateContent":
+                yield from self.boxes(next(iter(child), ()))
+            else:
+                yield from self.boxes(child)
+
     def table(self, t) -> Element:
         """Cells by their place in the grid: spans repeat their text, cells that go on from above take it from there."""
         rows: list[list[str]] = []

@@ -1,18 +1,21 @@
 """Older Office files, drawings, charts, recognisers and the command line."""
 
+import http.server
 import io
 import json
 import struct
 import sys
+import threading
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from folioflow import cli
+from folioflow.functions import office
 from folioflow.operators import pages, recognise
 from folioflow.plans import legacy_plans, made_files
-from folioflow.sources import charts, drawings, files, legacy, office_files
+from folioflow.sources import charts, drawings, files, formulas, legacy, office_files, remote
 from tests.oracle import assert_same
 
 SF = "/root/testdata/sf0.001"
@@ -134,6 +137,80 @@ def test_pages_are_asked_twice_at_most(spark):
     assert {r.fault for r in recognise.recognised(asked, hook, attempts=1).collect()} == {"empty"}
 
 
+def test_visual_answers(spark):
+    asked = spark.createDataFrame([(k, 0.0, 0.0, "x") for k in range(4)], "page long, width double, height double, label string")
+    good = {"label": "text", "text": "said", "level": 1, "confidence": 1, "l": 1, "t": 9, "r": 5, "b": 2}
+
+    def hook(page):
+        if page["page"] == 0:
+            raise OSError
+        return [None, "[]", "nothing", json.dumps([good, good | {"text": "more", "b": 10, "t": 19}])][page["page"]]
+
+    items, faults = recognise.visual_items(asked, hook)
+    assert sorted((r.page, r.ord, r.text) for r in items.collect()) == [(3, 0, "said"), (3, 1, "more")]
+    got = {r.page: (r.attempt, r.fault) for r in faults.collect()}
+    assert got[0] == (2, "failed") and got[1][0] == got[2][0] == 2 and None not in (got[1][1], got[2][1]) and 3 not in got
+    assert recognise.visual_items(asked.limit(0), hook)[0].count() == 0
+
+
+def test_formulas():
+    from xml.etree import ElementTree
+
+    latex = lambda inner: formulas.latex(ElementTree.fromstring(f'<m:oMath xmlns:m="m">{inner}</m:oMath>'))
+    e = lambda text, tag="e": f"<m:{tag}><m:r><m:rPr>x</m:rPr><m:t>{text}</m:t></m:r></m:{tag}>"
+    assert latex(f'<m:rad><m:radPr><m:degHide m:val="0"/></m:radPr>{e("3", "deg")}{e("x")}</m:rad>') == r"\sqrt[3]{x}"
+    assert latex(f'<m:rad><m:radPr><m:degHide/></m:radPr>{e("3", "deg")}{e("x")}</m:rad>') == r"\sqrt{x}"
+    assert latex(f'<m:d><m:dPr><m:begChr m:val="{{"/><m:endChr m:val="]"/><m:sepChr m:val="%"/></m:dPr>{e("a")}{e("b")}</m:d>') == r"\left\{a\%b\right]"
+    assert latex(f"<m:m><m:mr>{e('1')}{e('2')}</m:mr><m:mr>{e('3')}{e('4')}</m:mr></m:m>") == r"\begin{matrix}1 & 2 \\ 3 & 4\end{matrix}"
+    assert latex(f"<m:eqArr>{e('1')}{e('2')}</m:eqArr><m:func>{e('sin', 'fName')}{e('x')}</m:func>") == r"\begin{aligned}1 \\ 2\end{aligned}\operatorname{sin}{x}"
+    assert latex(f'<m:bar><m:barPr><m:pos m:val="bot"/></m:barPr>{e("x")}</m:bar><m:acc>{e("y")}</m:acc><m:acc><m:accPr><m:chr m:val="→"/></m:accPr>{e("z")}</m:acc>') == r"\underline{x}\hat{y}\vec{z}"
+    assert latex(f'<m:groupChr>{e("x")}</m:groupChr><m:groupChr><m:groupChrPr><m:pos m:val="top"/></m:groupChrPr>{e("y")}</m:groupChr><m:borderBox>{e("b")}</m:borderBox>') == r"\underbrace{x}\overbrace{y}\boxed{b}"
+    assert latex(f"<m:sPre>{e('1', 'sub')}{e('2', 'sup')}{e('X')}</m:sPre><m:nary>{e('0', 'sub')}{e('x')}</m:nary>") == r"{}_{1}^{2}{X}\int_{0}{x}"
+    assert latex("") == "" and latex("<m:e>" * 80 + "<m:t>deep_</m:t>" + "</m:e>" * 80) == "deep_"
+
+
+def test_merged_meta_of_nothing(spark):
+    rows = spark.createDataFrame([(None, None), ({}, None), ({"a": "1"}, {"a": None}), ({"a": None}, {"b": ""}), (None, {"a": "2"})], "x map<string,string>, y map<string,string>")
+    assert [r[0] for r in rows.select(office.merged_meta(F.col("x"), F.col("y"))).collect()] == [None, "{}", '{"a":1}', "{}", '{"a":2}']
+
+
+class Service(http.server.BaseHTTPRequestHandler):
+    calls: dict = {}
+
+    def do_GET(self):
+        self.send_response(200 if self.path == "/health" else 404)
+        self.end_headers()
+
+    def do_POST(self):
+        body = self.rfile.read(int(self.headers["Content-Length"]))
+        name = body.split(b'filename="')[1].split(b'"')[0].decode()
+        n = self.calls[name] = self.calls.get(name, 0) + 1
+        self.send_response(200 if name != "late" or n > 1 else 500)
+        self.end_headers()
+        tree = {"body": {"children": [{"$ref": "#/texts/0"}]}, "texts": [{"label": "text", "text": body.split(b"octet-stream\r\n\r\n")[1].split(b"\r\n--")[0].decode()}]}
+        self.wfile.write(json.dumps({"status": "failure" if name == "bad" else "success", "document": {"json_content": tree}}).encode())
+
+    def log_message(self, *args):
+        pass
+
+
+def test_remote_service(spark):
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}/"
+    rows = [(1, "good", bytearray(b"text of one")), (2, "late", bytearray(b"two")), (3, "bad", bytearray(b"x")), (4, "empty", None), (None, None, bytearray(b"five"))]
+    elements, faults = remote.read(spark.createDataFrame(rows, "doc_id long, path string, content binary"), url, wait=0.01)
+    assert sorted((str(r.doc_id), r.label, r.text) for r in elements.collect()) == [("1", "text", "text of one"), ("2", "text", "two"), ("None", "text", "five")]
+    assert Service.calls["late"] == 2 and Service.calls["bad"] == 3
+    assert {r.doc_id for r in faults.collect()} == {3, 4}
+    assert remote.healthy(url) and not remote.healthy(url + "none")
+    server.shutdown()
+    server.server_close()
+    assert not remote.healthy(url, timeout=1)
+    with pytest.raises(ValueError):
+        remote.convert(url, "x", b"x", retries=1, timeout=1, wait=0)
+
+
 def test_places_beyond_a_table(spark):
     cells = spark.createDataFrame([(1, 0, -1, 9, 0, 9, "a"), (1, 1, 1, 2, 1, 2, None), (2, 0, 5, 6, 5, 6, "out")], "t long, idx long, r0 long, r1 long, c0 long, c1 long, text string")
     sizes = spark.createDataFrame([(1, 2, 2), (2, 1, 1), (3, 0, 5)], "t long, rows long, cols long")
