@@ -27,9 +27,8 @@ def collapse_space(text: Column) -> Column:
 
 
 def fixed_chunks(text: Column, size: int) -> Column:
-    """Array of consecutive pieces of size code points; empty for an empty text."""
-    count = F.ceil(F.length(text) / F.lit(size)).cast("int")
-    return F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substr(text, i * size + 1, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+    """Array of consecutive pieces of size code points, cut in one pass; empty for an empty or null text."""
+    return F.coalesce(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0)), F.array().cast("array<string>"))
 
 
 def garbage_ratio(text: Column) -> Column:

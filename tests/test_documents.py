@@ -1,5 +1,7 @@
 """Readers of markup, and operators over elements."""
 
+from pyspark.sql import functions as F
+
 from folioflow.operators import document, places
 from folioflow.sources import html_pages, mail, markdown
 
@@ -66,3 +68,27 @@ def test_content_chunks(spark):
     out = chunks.content(document.content_items(markdown.read(docs)), size=10, rows=2).orderBy("chunk_no").collect()
     assert [r.content for r in out] == ["aaaa\nbbbb", "cccccccccc", "cc", "H", "d\ne", "| k |\n| --- |\n| 1 |\n| 2 |", "| k |\n| --- |\n| 3 |"]
     assert chunks.content(document.content_items(markdown.read(docs.limit(0)))).count() == 0
+
+
+def test_nearest_equals_brute_force(spark):
+    boxes = [(p, k, x, y, x + 2.0, y + 4.0) for p, n in ((1, 40), (2, 1), (3, 30)) for k in range(n) for x, y in [((k * 37 % 101) * (1.0 if p == 1 else 0.01), (k * 53 % 89) * 1.0)]]
+    boxes += [(1, 900, 1e6, 1e6, 1e6, 1e6), (1, 901, 1.0, 2.0, 3.0, 4.0), (1, 902, 3.0, 4.0, 1.0, 2.0), (3, 903, float("nan"), 0.0, 1.0, 1.0), (4, 904, 0.0, None, 1.0, 1.0)]
+    points = [(p, k, (k * 29 % 97) * 1.3 - 9, (k * 31 % 83) * 1.7 - 20) for p in (1, 2, 3, 4, 5) for k in range(25)] + [(1, 77, 5e5, 5e5), (2, 78, float("inf"), 0.0), (3, 79, None, 0.0), (1, 80, 2.0, 3.0)]
+    frame = lambda rows, names: spark.createDataFrame(rows, ", ".join(f"{n} {'long' if n in ('page', 'ref', 'id') else 'double'}" for n in names.split()))
+    got = {(r.page, r.id): r.ref for r in places.nearest(frame(points, "page id x y"), frame(boxes, "page ref l t r b")).collect()}
+    finite = lambda *v: all(x is not None and abs(x) < float("inf") for x in v)
+    want = {}
+    for p, i, x, y in points:
+        near = [((x - (left + right) / 2) ** 2 + (y - (t + b) / 2) ** 2, ref) for q, ref, left, t, right, b in boxes if p == q and finite(left, t, right, b)] if finite(x, y) else []
+        if near:
+            want[p, i] = min(near)[1]
+    assert got == want and want[1, 80] == 901
+    assert places.nearest(frame(points, "page id x y").limit(0), frame(boxes, "page ref l t r b")).columns == ["page", "id", "ref"]
+
+
+def test_pieces_of_long_texts(spark):
+    from folioflow.functions.text import fixed_chunks
+
+    texts = ["a😀\n" * 1000, "", None, "x" * 900, "y" * 901]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(fixed_chunks(F.col("t"), 900)).collect()]
+    assert got == [[t[k : k + 900] for k in range(0, len(t), 900)] if t else [] for t in texts]
