@@ -18,6 +18,20 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+#: Rows that are worth a task of their own, and rows of one task at most, where each row is much work.
+LEAST_ROWS, MOST_ROWS = 250, 4_000
+
+
+def spread(df: DataFrame, *by: str, least: int = LEAST_ROWS, most: int = MOST_ROWS) -> DataFrame:
+    """df with the rows of a key in one task, in as many tasks as its counted rows ask for: the cores' number, more for more than most rows a task.
+
+    A small table is one or two splits, however many rows it has, and what is made of each row would all be made there.
+    """
+    rows = df.count()
+    cores = min(df.sparkSession.sparkContext.defaultParallelism, -(-rows // least))
+    return df.repartition(max(1, cores, -(-rows // most)), *by)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """The rows in the shared folder: computed once, without lineage, safe when executors go."""
     shared_folder(df.sparkSession)

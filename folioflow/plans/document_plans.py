@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.operators import chunks, document, places
+from folioflow.operators.tables import spread
 from folioflow.sources import html_pages, mail, markdown
 
 
@@ -81,7 +82,7 @@ def html_markdown(spark, sf_dir):
 
 
 def mail_elements(spark, sf_dir):
-    c = _t(spark, sf_dir, "customer")
+    c = spread(_t(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment"), "c_custkey")
     raw = F.concat(F.lit("Subject: Account of "), "c_name", F.lit("\nFrom: a@example.org\nTo: b@example.org\nContent-Type: text/plain; charset=utf-8\n\nSegment "), "c_mktsegment", F.lit("\n\nBye\n"))
     return mail.read(c.select("c_custkey", raw.alias("text")), "c_custkey").select("doc_id", "ord", "label", "text")
 

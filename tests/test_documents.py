@@ -1,5 +1,7 @@
 """Readers of markup, and operators over elements."""
 
+import email.policy
+
 from pyspark.sql import functions as F
 
 from folioflow.operators import document, places
@@ -36,6 +38,15 @@ def test_mail_takes_the_html_form_and_names_attachments():
     assert mail.parse("") == []
 
 
+def test_a_mails_head_lines_are_parsed_once(monkeypatch):
+    seen, default = [], email.policy.EmailPolicy.header_fetch_parse
+    monkeypatch.setattr(email.policy.EmailPolicy, "header_fetch_parse", lambda self, name, value: seen.append(name) or default(self, name, value))
+    mail._head_line.cache_clear()
+    found = mail.parse(f"Subject: {'long ' * 300}\nFrom: A <a@b.c>\nContent-Type: text/plain; charset=utf-8\n\none\n")
+    assert [e.text for e in found] == [("long " * 300).strip(), "From: A <a@b.c>", "one"]
+    assert max(seen.count(name) for name in seen if name != "Subject") == 1
+
+
 def test_markdown_of_markdown(spark):
     text = "# T\n\n- a\n- b\n\npara\n\n```sql\nSELECT 1\n```\n"
     docs = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")
