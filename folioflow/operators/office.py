@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions.office import part_path
@@ -45,13 +45,39 @@ def inherited(styles: DataFrame, fill: Sequence[str], most: int = 10) -> DataFra
     return out.drop("_next")
 
 
+def _half(number: Column, times: Column) -> Column:
+    return F.call_function("shiftright", number.cast("long"), times.cast("int"))
+
+
+def _blocks(low: Column, high: Column) -> Column:
+    """[(size, at)] of the fewest blocks [at * 2**size, (at + 1) * 2**size) that make up the cells from low up to high: at most two of a size."""
+
+    def of(size):
+        first, end = -_half(-low.cast("long"), size), _half(high, size)  # of the blocks of this size that lie inside
+        block = lambda at: F.struct(size.alias("size"), at.alias("at"))
+        return F.array(F.when((first < end) & (first % 2 != 0), block(first)), F.when((first < end) & (end % 2 != 0), block(end - 1)))
+
+    return F.filter(F.flatten(F.transform(F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(high - low, F.lit(1)))).cast("int")), of)), lambda b: b.isNotNull())
+
+
 def pivot_results(pivots: DataFrame, tables: DataFrame) -> DataFrame:
-    """pivots (doc_id, sheet, row, col, ...) with the first table (doc_id, sheet, idx, l, t, r, b: cells, ends left out) of the same sheet over them."""
-    inside = (F.col("_t.l") <= F.col("_p.col")) & (F.col("_p.col") < F.col("_t.r")) & (F.col("_t.t") <= F.col("_p.row")) & (F.col("_p.row") < F.col("_t.b"))
-    p, t = pivots.alias("_p"), tables.alias("_t")
-    met = p.join(t, (F.col("_p.doc_id") == F.col("_t.doc_id")) & (F.col("_p.sheet") == F.col("_t.sheet")) & inside)
-    first = met.groupBy("_p.doc_id", "_p.sheet", "_p.row", "_p.col").agg(F.min("_t.idx").alias("table_idx"))
-    return pivots.join(first, ["doc_id", "sheet", "row", "col"], "left")
+    """pivots (doc_id, sheet, row, col, ...) with the first table (doc_id, sheet, idx, l, t, r, b: cells, ends left out) of the same sheet over them.
+
+    A table is cut into blocks whose sides are powers of two, and a pivot looks up the block around it of each size that
+    its sheet has; so places and blocks meet by equal keys, and the pairs of a sheet are never formed. Sides are shuffled:
+    what a small file's tables and blocks take can't be told from its bytes.
+    """
+    t = tables.groupBy("doc_id", "sheet", "l", "t", "r", "b").agg(F.min("idx").alias("_idx"))
+    t = t.select("doc_id", "sheet", "_idx", "l", "r", F.explode(_blocks(F.col("t"), F.col("b"))).alias("_y"))
+    t = t.select("doc_id", "sheet", "_idx", "_y", F.explode(_blocks(F.col("l"), F.col("r"))).alias("_x"))
+    blocks = t.groupBy("doc_id", "sheet", *(F.col(f"{c}.{f}").alias(f"{c}_{f}") for c in ("_y", "_x") for f in ("size", "at"))).agg(F.min("_idx").alias("_idx"))
+    sizes = blocks.groupBy("doc_id", "sheet").agg(F.collect_set(F.struct("_y_size", "_x_size")).alias("_sizes"))
+    places = pivots.select("doc_id", "sheet", "row", "col").distinct()
+    around = places.join(sizes.hint("merge"), ["doc_id", "sheet"]).select("doc_id", "sheet", "row", "col", F.inline("_sizes"))
+    around = around.withColumns({"_y_at": _half(F.col("row"), F.col("_y_size")), "_x_at": _half(F.col("col"), F.col("_x_size"))})
+    met = around.join(blocks.hint("merge"), ["doc_id", "sheet", "_y_size", "_y_at", "_x_size", "_x_at"])
+    first = met.groupBy("doc_id", "sheet", "row", "col").agg(F.min("_idx").alias("table_idx"))
+    return pivots.join(first.hint("merge"), ["doc_id", "sheet", "row", "col"], "left")
 
 
 def sheet_sizes(boxes: DataFrame) -> DataFrame:

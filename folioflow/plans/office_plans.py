@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioflow.functions import geometry, office as said
 from folioflow.operators import office, pdf_pages, tree
+from folioflow.operators.tables import spread
 from folioflow.plans.document_plans import _orders
 
 
@@ -83,9 +84,9 @@ def inherited_styles(spark, sf_dir):
 
 
 def pivot_results(spark, sf_dir):
-    pivots = _t(spark, sf_dir, "part").select(_num("p_partkey", 3).alias("doc_id"), _num("p_size", 5).alias("sheet"), _num("p_partkey", 101).alias("row"), _num("p_partkey", 31).alias("col"), "p_partkey")
+    pivots = spread(_t(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey", most=50_000).select(_num("p_partkey", 3).alias("doc_id"), _num("p_size", 5).alias("sheet"), _num("p_partkey", 101).alias("row"), _num("p_partkey", 31).alias("col"), "p_partkey")
     left, top = _num("c_nationkey", 25), _num("c_custkey", 89)
-    tables = _t(spark, sf_dir, "customer").select(_num("c_custkey", 3).alias("doc_id"), _num("c_custkey", 5).alias("sheet"), F.col("c_custkey").alias("idx"), left.alias("l"), top.alias("t"), (left + 6).alias("r"), (top + 4).alias("b"))
+    tables = spread(_t(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), "c_custkey", most=50_000).select(_num("c_custkey", 3).alias("doc_id"), _num("c_custkey", 5).alias("sheet"), F.col("c_custkey").alias("idx"), left.alias("l"), top.alias("t"), (left + 6).alias("r"), (top + 4).alias("b"))
     return office.pivot_results(pivots, tables).select("p_partkey", F.coalesce("table_idx", F.lit(-1)).alias("table_idx"))
 
 

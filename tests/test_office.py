@@ -1,11 +1,12 @@
 """Office files made here, page operators against plain Python, and the queries that have no SQL."""
 
 import io
+import random
 import zipfile
 
 from pyspark.sql import functions as F
 
-from folioflow.operators import pdf_pages
+from folioflow.operators import office, pdf_pages
 from folioflow.sources import files, office_files
 
 RELS = '<Relationships xmlns="r">{}</Relationships>'
@@ -132,3 +133,18 @@ def test_page_quality_of_hard_pages(spark):
     assert (got[1].score, list(got[1].reasons)) == (0.0, ["empty_text_layer"])
     assert got[2].score == 0.0 and list(got[2].reasons) == ["unresolved_table", "ambiguous_columns", "mixed_text_image", "coordinate_less_text", "rotated_page"]
     assert pdf_pages.page_quality(spark.createDataFrame(rows, schema).where(F.lit(False))).count() == 0
+
+
+def test_pivots_find_the_first_table_over_them(spark):
+    rng = random.Random(5)
+    big = 1 << 33
+    box = lambda n: (rng.randrange(-n, n), rng.randrange(-n, n))
+    pivots = [(rng.randrange(2), rng.randrange(2), *box(n), k) for k, n in enumerate([6] * 60 + [900] * 60 + [big] * 20)] + [(None, 0, 1, 1, 997), (0, 0, None, 1, 998), (9, 9, 0, 0, 999)]
+    tables = [(d, s, k, left, top, left + rng.randrange(-1, n), top + rng.randrange(-1, n)) for k, n in enumerate([8] * 60 + [1_024] * 60 + [2 * big] * 30) for d, s, (left, top) in [(rng.randrange(2), rng.randrange(2), box(n))]] + [(0, 0, 500, None, 0, 1, 1), (0, None, 501, 0, 0, 1, 1)]
+    over = lambda p, t: None not in (*p[:4], *t) and p[:2] == t[:2] and t[3] <= p[3] < t[5] and t[4] <= p[2] < t[6]
+    want = [(p[4], min((t[2] for t in tables if over(p, t)), default=None)) for p in pivots]
+    frames = spark.createDataFrame(pivots, "doc_id long, sheet long, row long, col long, k long"), spark.createDataFrame(tables, "doc_id long, sheet long, idx long, l long, t long, r long, b long")
+    found = office.pivot_results(*frames)
+    assert sorted((r.k, r.table_idx) for r in found.collect()) == sorted(want) and sum(x is not None for _, x in want) > 40
+    keys = [line for line in found._jdf.queryExecution().toString().splitlines() if "Join" in line and "Inner" in line]
+    assert keys and not any("<" in line for line in keys)  # no pairs of a sheet
