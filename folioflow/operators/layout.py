@@ -18,11 +18,16 @@ def fingerprint(text):
     return F.translate(F.regexp_replace(text, f"[{WHITE}]+", ""), wide, plain)
 
 
-def furniture(lines: DataFrame) -> DataFrame:
+def _hinted(df: DataFrame, hint: str | None) -> DataFrame:
+    return df.hint(hint) if hint else df
+
+
+def furniture(lines: DataFrame, hint: str | None = None) -> DataFrame:
     """lines (doc_id, page_no, y, text, ...) with a label: page_header, page_footer or null.
 
     A line of at most 100 characters in the top or bottom 15 % of its page's extent is furniture if its fingerprint
-    stands in that zone on at least 60 % of a document's three or more pages. The top zone counts first.
+    stands in that zone on at least 60 % of a document's three or more pages. The top zone counts first. hint is that
+    of the join with what repeats in documents: "merge" for very many documents.
     """
     page = Window.partitionBy("doc_id", "page_no")
     spread = lines.withColumn("_top", F.max("y").over(page)).withColumn("_low", F.min("y").over(page)).withColumn("_print", fingerprint(F.col("text")))
@@ -31,18 +36,18 @@ def furniture(lines: DataFrame) -> DataFrame:
     spread = spread.withColumn("_zone", F.when((F.length("text") <= MAX_FURNITURE) & (F.col("_print") != ""), zone))
     pages = lines.groupBy("doc_id").agg(F.countDistinct("page_no").alias("_pages"))
     seen = spread.where("_zone is not null").groupBy("doc_id", "_zone", "_print").agg(F.countDistinct("page_no").alias("_on"))
-    often = seen.join(pages, "doc_id").where((F.col("_pages") >= 3) & (F.col("_on") >= F.ceil(F.col("_pages") * PAGE_SHARE))).select("doc_id", "_zone", "_print", F.col("_zone").alias("label"))
-    return spread.join(often, ["doc_id", "_zone", "_print"], "left").drop("_top", "_low", "_print", "_zone")
+    often = seen.join(_hinted(pages, hint), "doc_id").where((F.col("_pages") >= 3) & (F.col("_on") >= F.ceil(F.col("_pages") * PAGE_SHARE))).select("doc_id", "_zone", "_print", F.col("_zone").alias("label"))
+    return spread.join(_hinted(often, hint), ["doc_id", "_zone", "_print"], "left").drop("_top", "_low", "_print", "_zone")
 
 
-def toc_regions(lines: DataFrame, order: str = "ord") -> DataFrame:
+def toc_regions(lines: DataFrame, order: str = "ord", hint: str | None = None) -> DataFrame:
     """lines (doc_id, order, text, ...) with in_toc: between the first and last of three or more contents lines with single other lines between."""
     doc = Window.partitionBy("doc_id").orderBy(order)
     lines = lines.withColumn("_hit", F.col("text").rlike(TOC_LINE)).withColumn("_n", F.row_number().over(doc))
     hits = lines.where("_hit").withColumn("_new", (F.col("_n") - F.lag("_n", 1, -9).over(doc) > 2).cast("int")).withColumn("_run", F.sum("_new").over(doc))
     runs = hits.groupBy("doc_id", "_run").agg(F.min("_n").alias("_from"), F.max("_n").alias("_to"), F.count("*").alias("_k")).where("_k >= 3").drop("_run", "_k")
     runs = runs.withColumnRenamed("doc_id", "_doc")
-    out = lines.join(runs, (F.col("doc_id") == F.col("_doc")) & F.col("_n").between(F.col("_from"), F.col("_to")), "left")
+    out = lines.join(_hinted(runs, hint), (F.col("doc_id") == F.col("_doc")) & F.col("_n").between(F.col("_from"), F.col("_to")), "left")
     return out.withColumn("in_toc", F.col("_from").isNotNull()).drop("_doc", "_from", "_to", "_hit", "_n")
 
 
