@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from folioflow.functions import office
 from folioflow.operators import pages, recognise
+from folioflow.operators.tables import spread
 from folioflow.plans import made_files
 from folioflow.plans.file_plans import _archive
 from folioflow.sources import charts, files
@@ -31,7 +32,7 @@ def _made(spark, sf_dir, make: Callable[[int, str, str], tuple[str, bytes]]) ->
                 found = [make(*row) for row in zip(*(c.to_pylist() for c in b.columns), strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([p for p, _ in found], pa.string()), pa.array([c for _, c in found], pa.binary())], names=["doc_id", "path", "content"])
 
-    rows = _t(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("c_custkey"), "c_name", "c_mktsegment")
+    rows = spread(_t(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("c_custkey"), "c_name", "c_mktsegment"), "c_custkey")
     return rows.mapInArrow(run, "doc_id long, path string, content binary")
 
 
