@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: The code points with the Unicode property White_Space, as a regex class body.
 WHITE = r"\x09-\x0D\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+WHITE_CHARS = "".join(map(chr, (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
 
 def sanitize(text: Column) -> Column:
@@ -15,7 +20,12 @@ def sanitize(text: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^[{WHITE}]+|[{WHITE}]+$", "")
+    return F.btrim(text, F.lit(WHITE_CHARS))
+
+
+def bound(value: Column, say: Callable[[Column], Column]) -> Column:
+    """say(value) with value computed once; as a bare column it would be computed for each mention."""
+    return F.element_at(F.transform(F.array(value), say), 1)
 
 
 def is_blank(text: Column) -> Column:
@@ -33,8 +43,8 @@ def fixed_chunks(text: Column, size: int) -> Column:
 
 def garbage_ratio(text: Column) -> Column:
     """Replacement, control and private-use characters for each character that is no white space; 0 for a blank text."""
-    solid = F.length(F.regexp_replace(text, f"[{WHITE}]", ""))
-    bad = F.length(F.regexp_replace(text, rf"[^\x{{FFFD}}\p{{Cc}}\p{{Co}}]|[{WHITE}]", ""))
+    solid = F.length(F.translate(text, WHITE_CHARS, ""))
+    bad = F.length(F.regexp_replace(text, rf"[^\x{{FFFD}}\p{{Cc}}\p{{Co}}]++|[{WHITE}]++", ""))  # whole runs go, not characters
     return F.when(solid > 0, bad / solid).otherwise(F.lit(0.0))
 
 
@@ -133,11 +143,7 @@ def clean_recognised(text: Column) -> Column:
 
 
 def refuses(text: Column) -> Column:
-    said = F.lower(text)
-    out = F.lit(False)
-    for phrase in REFUSALS:
-        out = out | F.contains(said, F.lit(phrase))
-    return out
+    return bound(F.lower(text), lambda said: functools.reduce(operator.or_, (F.contains(said, F.lit(phrase)) for phrase in REFUSALS), F.lit(False)))
 
 
 def plausible_heading(text: Column, most: int = 80) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioflow.functions.text import WHITE, garbage_ratio, has_cjk, is_blank, refuses, strip
+from folioflow.functions.text import WHITE, bound, garbage_ratio, has_cjk, is_blank, refuses, strip
 
 #: Pictures a page that a recogniser gets, distance of left edges, and gaps between words of two cells.
 PICTURES, ANCHOR, CELL_GAP, CELL_FONTS = 8, 18.0, 10.0, 1.2
@@ -110,8 +110,12 @@ def _repeats(lines: Column) -> Column:
 
 def recognised_fault(text: Column) -> Column:
     """Why a recogniser's result is not taken: empty, long, garbled, refused or repeated; null for a good one."""
-    body = strip(text)
-    return F.when(is_blank(text), "empty").when(F.length(body) > MAX_RECOGNISED, "long").when(garbage_ratio(body) >= 0.5, "garbled").when(refuses(body), "refused").when(repeats_lines(body), "repeated")
+
+    def of(body):
+        empty = F.coalesce(F.length(body) == 0, F.lit(True))
+        return F.when(empty, "empty").when(F.length(body) > MAX_RECOGNISED, "long").when(garbage_ratio(body) >= 0.5, "garbled").when(refuses(body), "refused").when(repeats_lines(body), "repeated")
+
+    return bound(strip(text), of)
 
 
 def grids(cells: DataFrame, by: list[str]) -> DataFrame:

@@ -177,3 +177,11 @@ def test_cell_grids_of_all_lines(spark):
     got = {r.page: r.grid for r in page_plans.cell_grids(spark, "/root/testdata/sf0.001").collect()}
     assert got == {page: "/".join(rows.get(r, "|") for r in range(max(rows) + 1)) for page, rows in cells.items()}
     assert any(max(rows) > 4 for rows in cells.values())
+
+
+def test_a_recognised_text_is_stripped_and_lowered_once(spark):
+    df = spark.createDataFrame([(1, "　 \x85 fine \xa0"), (2, None), (3, "  \x1c"), (4, "a\x01� b"), (5, " I'M SORRY")], "k long, text string")
+    plan = df.select(pages.recognised_fault(F.col("text")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("text#") == 2 and "contains(lower(" not in plan  # the column itself, and one use of it
+    said = df.select("k", text.strip(F.col("text")).alias("s"), F.round(text.garbage_ratio(F.col("text")), 3).alias("g"), pages.recognised_fault(F.col("text")).alias("f")).orderBy("k").collect()
+    assert [tuple(r) for r in said] == [(1, "fine", 0.0, None), (2, None, 0.0, "empty"), (3, "\x1c", 1.0, "garbled"), (4, "a\x01� b", 0.6, "garbled"), (5, "I'M SORRY", 0.0, "refused")]
