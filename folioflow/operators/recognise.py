@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.functions.text import clean_recognised, garbage_ratio, is_blank, strip
+from folioflow.functions.text import bound, clean_recognised, garbage_ratio, is_blank, strip
 from folioflow.operators.pages import recognised_fault
 from folioflow.operators.tables import durable
 from folioflow.operators.visual import CELLS, page_faults
@@ -36,6 +36,14 @@ def _asked(pages: DataFrame, hook: Callable[[dict], str]) -> DataFrame:
     return pages.mapInArrow(run, pages.withColumn("answer", F.lit(None).cast("string")).schema)
 
 
+def _checked(text: Column) -> Column:
+    """A cleaned answer and its fault. They are stored with the answer: each later step would check it anew."""
+    existing = strip(F.coalesce("existing", F.lit("")))
+    worse = ~is_blank(existing) & (garbage_ratio(text) >= garbage_ratio(existing))
+    fault = F.when(F.col("answer").isNull(), "failed").otherwise(F.coalesce(recognised_fault(text), F.when(worse, "worse")))
+    return F.struct(text.alias("text"), fault.alias("fault"))
+
+
 def recognised(pages: DataFrame, hook: Callable[[dict], str], attempts: int = ATTEMPTS) -> DataFrame:
     """(doc_id, page_no, text, attempt, fault) of pages (doc_id, page_no, existing, and whatever else the recogniser reads).
 
@@ -48,12 +56,8 @@ def recognised(pages: DataFrame, hook: Callable[[dict], str], attempts: int = AT
     asked = pages.withColumn("attempt", F.lit(1)).withColumn("feedback", F.lit(None).cast("string"))
     done = None
     for k in range(1, attempts + 1):
-        clean = clean_recognised(F.col("answer"))
-        said = durable(_asked(asked, hook)).withColumn("_text", clean)
-        existing = strip(F.coalesce("existing", F.lit("")))
-        worse = ~is_blank(existing) & (garbage_ratio(F.col("_text")) >= garbage_ratio(existing))
-        fault = F.when(F.col("answer").isNull(), "failed").otherwise(F.coalesce(recognised_fault(F.col("_text")), F.when(worse, "worse")))
-        said = said.withColumn("_fault", fault)
+        said = durable(_asked(asked, hook).withColumn("_said", bound(clean_recognised(F.col("answer")), _checked)))
+        said = said.withColumns({"_text": F.col("_said.text"), "_fault": F.col("_said.fault")}).drop("_said")
         again = F.col("_fault").isNotNull() & (F.col("_fault") != "worse") & F.lit(k < attempts)
         out = said.where(~again).select("doc_id", "page_no", F.when(F.col("_fault").isNull(), F.col("_text")).alias("text"), "attempt", F.col("_fault").alias("fault"))
         done = out if done is None else done.unionByName(out)

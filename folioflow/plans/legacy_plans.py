@@ -73,7 +73,8 @@ def _recogniser(page: dict) -> str:
 def recognised_pages(spark, sf_dir):
     """A recogniser that answers, answers at the second time, refuses or fails; every third page has a clean text already."""
     existing = F.when(F.col("c_custkey") % 3 == 0, F.lit("known")).when(F.col("c_custkey") % 3 == 1, F.lit("��"))
-    p = _t(spark, sf_dir, "customer").select(F.lit(1).cast("long").alias("doc_id"), F.col("c_custkey").cast("long").alias("page_no"), F.col("c_name").alias("name"), existing.alias("existing"))
+    c = spread(_t(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_custkey")
+    p = c.select(F.lit(1).cast("long").alias("doc_id"), F.col("c_custkey").cast("long").alias("page_no"), F.col("c_name").alias("name"), existing.alias("existing"))
     return recognise.recognised(p, _recogniser).select("page_no", "text", F.col("attempt").cast("long").alias("attempt"), "fault")
 
 
