@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.operators import tree_json
+from folioflow.operators.tables import spread
 from folioflow.sources import files, html_tables, json_documents
 from folioflow.sources import elements as rows
 from folioflow.sources.vector_files import GLB_BINARY, GLB_JSON, GLB_MARK
@@ -20,6 +21,11 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _customers(spark, sf_dir):
+    """Customers in as many tasks as the files made of them ask for."""
+    return spread(_t(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_nationkey"), "c_custkey")
+
+
 def _text(*parts):
     return F.concat(*(F.col(p[1:]).cast("string") if p.startswith("$") else F.lit(p) for p in parts))
 
@@ -30,7 +36,7 @@ def html_cells(spark, sf_dir):
         "<h1>x</h1><table><thead><tr><th>key<th colspan=2>who</tr></thead><tr><th rowspan=2>", "$c_custkey", "<td>", "$c_name", "<br>&amp;<td hidden>", "$c_mktsegment",
         "<tr><td colspan='2 columns'><table><tr><td>", "$c_nationkey", "</table></td></tr><tfoot><tr><td>sum</tfoot></table><table></table>",
     )
-    out = html_tables.cells(_t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("page_id"), page.alias("html")))
+    out = html_tables.cells(_customers(spark, sf_dir).select(F.col("c_custkey").alias("page_id"), page.alias("html")))
     return out.select("doc_id", *(F.col(c).cast("long").alias(c) for c in ("table_no", "row", "col", "row_span", "col_span")), "column_header", "row_header", "text")
 
 
