@@ -26,6 +26,12 @@ def _customers(spark, sf_dir):
     return spread(_t(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_nationkey"), "c_custkey")
 
 
+def _with_faults(found, text, *more):
+    """Elements with that text, and files' faults as rows of their own."""
+    bad = F.col("error").isNotNull()
+    return found.select("doc_id", F.when(bad, -1).otherwise(F.col("ord")).cast("long").alias("ord"), F.when(bad, "fault").otherwise(F.col("label")).alias("label"), *(F.when(bad, 0).otherwise(F.col(c)).cast("long").alias(c) for c in more), F.when(bad, F.col("error")).otherwise(text).alias("text"))
+
+
 def _text(*parts):
     return F.concat(*(F.col(p[1:]).cast("string") if p.startswith("$") else F.lit(p) for p in parts))
 
@@ -69,9 +75,8 @@ def _models(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def model_elements(spark, sf_dir):
     """Models of two nodes, a mesh and a material; in every fifth the nodes are below each other."""
-    found, faults = files.read(_t(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment").mapInArrow(_models, "doc_id long, path string, content binary"))
-    said = found.select("doc_id", "ord", "label", F.col("level").cast("long").alias("level"), "text")
-    return said.unionByName(faults.select("doc_id", F.lit(-1).cast("long").alias("ord"), F.lit("fault").alias("label"), F.lit(0).cast("long").alias("level"), F.col("error").alias("text")))
+    found = files.read_once(_customers(spark, sf_dir).select("c_custkey", "c_name", "c_mktsegment").mapInArrow(_models, "doc_id long, path string, content binary"))
+    return _with_faults(found, F.col("text"), "level")
 
 
 def _mixed(spark, sf_dir):
