@@ -65,7 +65,7 @@ def _made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def office_elements(spark, sf_dir):
-    made = _t(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment").mapInArrow(_made, "doc_id long, path string, content binary")
+    made = spread(_t(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment"), "c_custkey").mapInArrow(_made, "doc_id long, path string, content binary")
     return files.read(made)[0].select("doc_id", "ord", "label", F.col("level").cast("long").alias("level"), "text")
 
 
