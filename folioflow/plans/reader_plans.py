@@ -50,11 +50,10 @@ def vector_elements(spark, sf_dir):
     """Images with a title, texts in groups and parts that must go; every seventh has another root and is a fault."""
     root = F.when(F.col("c_custkey") % 7 == 0, "html").otherwise("svg")
     image = F.concat(F.lit("<"), root, _text(' onload="f()"><g><title> ', "$c_name", " </title><text>", "$c_mktsegment", "<tspan> of ", "$c_nationkey", '</tspan></text></g><script>x</script><text/><text href="u">', "$c_custkey", "</text></"), root, F.lit(">"))
-    made = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.lit("a.SVG").alias("path"), F.encode(image, "utf-8").alias("content"))
-    found, faults = files.read(made)
+    made = _customers(spark, sf_dir).select(F.col("c_custkey").alias("doc_id"), F.lit("a.SVG").alias("path"), F.encode(image, "utf-8").alias("content"))
     picture = F.decode(F.unbase64(F.substring_index("text", ",", -1)), "utf-8")
     said = F.when(F.col("label") == "picture", F.concat(F.when(picture.rlike("script|onload|href"), "unsafe ").otherwise("safe "), F.length(picture).cast("string"))).otherwise(F.col("text"))
-    return found.select("doc_id", "ord", "label", said.alias("text")).unionByName(faults.select("doc_id", F.lit(-1).cast("long").alias("ord"), F.lit("fault").alias("label"), F.col("error").alias("text")))
+    return _with_faults(files.read_once(made), said)
 
 
 def _model(key: int, name: str, segment: str) -> bytes:

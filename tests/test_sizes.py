@@ -16,7 +16,7 @@ def one_file(spark, tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["mail_elements", "pdf_lines", "word_formulas", "chart_parts", "legacy_elements", "recognised_pages", "html_cells", "model_elements", "office_elements"])
+@pytest.mark.parametrize("name", ["mail_elements", "pdf_lines", "word_formulas", "chart_parts", "legacy_elements", "recognised_pages", "html_cells", "model_elements", "office_elements", "vector_elements"])
 def test_files_are_made_and_read_in_many_tasks(spark, one_file, name):
     found = __spark_entry__.queries()[name](spark, one_file).rdd.glom().map(len).collect()
     assert sum(n > 0 for n in found) >= 8
