@@ -22,14 +22,23 @@ def shared_folder(spark: SparkSession) -> str:
 LEAST_ROWS, MOST_ROWS = 250, 4_000
 
 
+#: The same of lines, of which each is little work.
+LEAST_LINES, MOST_LINES = 25_000, 250_000
+
+
+def tasks(df: DataFrame, least: int = LEAST_LINES, most: int = MOST_LINES) -> int:
+    """Tasks for df's rows, which are counted: as many as cores, fewer for less than least rows each, more for more than most."""
+    rows = df.count()
+    cores = min(df.sparkSession.sparkContext.defaultParallelism, -(-rows // least))
+    return max(1, cores, -(-rows // most))
+
+
 def spread(df: DataFrame, *by: str, least: int = LEAST_ROWS, most: int = MOST_ROWS) -> DataFrame:
     """df with the rows of a key in one task, in as many tasks as its counted rows ask for: the cores' number, more for more than most rows a task.
 
     A small table is one or two splits, however many rows it has, and what is made of each row would all be made there.
     """
-    rows = df.count()
-    cores = min(df.sparkSession.sparkContext.defaultParallelism, -(-rows // least))
-    return df.repartition(max(1, cores, -(-rows // most)), *by)
+    return df.repartition(tasks(df, least, most), *by)
 
 
 def durable(df: DataFrame) -> DataFrame:

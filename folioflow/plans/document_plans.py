@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.operators import chunks, document, places
-from folioflow.operators.tables import spread
+from folioflow.operators.tables import LEAST_LINES, MOST_LINES, spread
 from folioflow.sources import html_pages, mail, markdown
 
 
@@ -16,7 +16,7 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _orders(spark, sf_dir):
     """Lines of orders as elements: quantities give labels and levels. Lines with one number count as one."""
-    lines = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_quantity").cast("int").alias("q"), F.min("l_partkey").alias("l_partkey"))
+    lines = spread(_t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_partkey"), "l_orderkey", least=LEAST_LINES, most=MOST_LINES).groupBy("l_orderkey", "l_linenumber").agg(F.min("l_quantity").cast("int").alias("q"), F.min("l_partkey").alias("l_partkey"))
     q = F.col("q")
     label = F.when(q % 5 == 0, "section_header").when(q % 17 == 0, "title").when(q % 5 == 1, "list_item").when(q % 5 == 2, "code").otherwise("text")
     level = F.when(q % 5 == 0, F.pmod(q, F.lit(3)) + 1).otherwise(0)

@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__
+from folioflow.operators import tables
 
 ROWS = 2_000
 
@@ -20,3 +21,13 @@ def one_file(spark, tmp_path_factory):
 def test_files_are_made_and_read_in_many_tasks(spark, one_file, name):
     found = __spark_entry__.queries()[name](spark, one_file).rdd.glom().map(len).collect()
     assert sum(n > 0 for n in found) >= 8
+
+
+def test_tasks_grow_with_rows(spark):
+    assert [tables.tasks(spark.range(n)) for n in (0, 1, 60_000, 1_000_000, 9_000_000)] == [1, 1, 3, 8, 36]
+
+
+@pytest.mark.parametrize("name", ["budgeted_chunks"])
+def test_lines_are_spread_by_their_number(spark, name):
+    plan = __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan
