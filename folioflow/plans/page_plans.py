@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioflow.functions import geometry, table, text
 from folioflow.operators import chunks, document, exports, pages
+from folioflow.operators.tables import LEAST_LINES, MOST_LINES, spread
 from folioflow.plans.document_plans import _orders
 from folioflow.sources import asciidoc, files, html_pages
 
@@ -29,7 +30,7 @@ def recognised_faults(spark, sf_dir):
 
 def _lines(spark, sf_dir):
     """Order lines as lines on a page: an order is a page."""
-    x = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"), F.min("l_quantity").alias("q"))
+    x = spread(_t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity"), "l_orderkey", least=LEAST_LINES, most=MOST_LINES).groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"), F.min("l_quantity").alias("q"))
     left, top = (F.col("p") % 40).cast("double"), (F.col("q") * 2).cast("double")
     return x.select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").cast("long").alias("ord"), left.alias("l"), (left + 10).alias("r"), top.alias("t"), (top - 6).alias("b"))
 
