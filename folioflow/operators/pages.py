@@ -127,16 +127,19 @@ def grids(cells: DataFrame, by: list[str]) -> DataFrame:
     return all_.select(*by, F.transform(F.sequence(F.lit(0).cast("long"), F.col("_r").cast("long")), at).alias("rows"))
 
 
-def grid_places(cells: DataFrame, sizes: DataFrame, by: list[str]) -> DataFrame:
+def grid_places(cells: DataFrame, sizes: DataFrame, by: list[str], tasks: int | None = None) -> DataFrame:
     """(*by, r, c, idx, row_span, col_span, text): each place of tables (rows, cols) and the cell (idx, r0, r1, c0, c1, text) that covers it.
 
     Later cells win; cells beyond the size are cut; a place without a cell has a null idx, spans of one and an empty text.
+    Places are looked up in so many tasks, if they are given: it should grow with the cells.
     """
     spread = cells.join(sizes, by).where("c0 < c1").withColumn("r", F.explode(F.when(F.least("r1", "rows") > F.greatest("r0", F.lit(0)), F.sequence(F.greatest("r0", F.lit(0)), F.least("r1", "rows") - 1)).otherwise(F.array().cast("array<bigint>"))))
     spread = spread.withColumn("c", F.explode(F.when(F.least("c1", "cols") > F.greatest("c0", F.lit(0)), F.sequence(F.greatest("c0", F.lit(0)), F.least("c1", "cols") - 1)).otherwise(F.array().cast("array<bigint>"))))
     cell = F.struct("idx", (F.col("r1") - F.col("r0")).alias("row_span"), (F.col("c1") - F.col("c0")).alias("col_span"), F.coalesce("text", F.lit("")).alias("text"))
     covered = spread.groupBy(*by, "r", "c").agg(F.max_by(cell, "idx").alias("_cell"))
     places = sizes.where("rows > 0 and cols > 0").withColumn("r", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1))).withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cols") - 1)))
+    if tasks:
+        places, covered = (df.repartition(tasks, *by, "r", "c") for df in (places, covered))
     one = F.lit(1).cast("long")
     return places.join(covered, [*by, "r", "c"], "left").select(*by, "r", "c", F.col("_cell.idx").alias("idx"), F.coalesce("_cell.row_span", one).alias("row_span"), F.coalesce("_cell.col_span", one).alias("col_span"), F.coalesce("_cell.text", F.lit("")).alias("text"))
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from folioflow.functions import office
 from folioflow.operators import pages, recognise
-from folioflow.operators.tables import spread
+from folioflow.operators.tables import spread, tasks
 from folioflow.plans import made_files
 from folioflow.plans.file_plans import _archive
 from folioflow.sources import charts, files
@@ -80,10 +80,12 @@ def recognised_pages(spark, sf_dir):
 
 def grid_places(spark, sf_dir):
     """Tables of orders: each line's cell spans two rows and begins in the column of its number, some beyond the table."""
-    lines = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("t"), F.col("l_linenumber").cast("long").alias("n")).distinct()
+    lines = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("t"), F.col("l_linenumber").cast("long").alias("n"))
+    k = tasks(lines)
+    lines = lines.repartition(k, "t").distinct()
     cells = lines.select("t", F.col("n").alias("idx"), (F.col("n") - 1).alias("r0"), (F.col("n") + 1).alias("r1"), (F.col("n") % 2).alias("c0"), (F.col("n") % 2 + 1 + F.col("n") % 3).alias("c1"), F.col("n").cast("string").alias("text"))
     sizes = lines.groupBy("t").agg(F.max("n").alias("rows")).withColumn("cols", F.lit(3).cast("long"))
-    return pages.grid_places(cells, sizes, ["t"]).withColumn("idx", F.coalesce("idx", F.lit(-1)))
+    return pages.grid_places(cells, sizes, ["t"], 2 * k).withColumn("idx", F.coalesce("idx", F.lit(-1)))
 
 
 def _visual(page: dict) -> str:
