@@ -63,8 +63,10 @@ def table_runs(rows: DataFrame, by: list[str], least_rows: int = 2, least_cols:
     return r.where((F.col("_n") >= least_rows) & (F.size("lefts") >= least_cols)).select(*by, "run", "ord")
 
 
-def other_lines(lines: DataFrame, used: DataFrame, by: list[str]) -> DataFrame:
-    """Lines (ord, ...) that no table has taken."""
+def other_lines(lines: DataFrame, used: DataFrame, by: list[str], tasks: int | None = None) -> DataFrame:
+    """Lines (ord, ...) that no table has taken, looked up in so many tasks if they are given: it should grow with the lines."""
+    if tasks:
+        lines, used = (df.repartition(tasks, *by, "ord") for df in (lines, used))
     return lines.join(used.select(*by, "ord"), [*by, "ord"], "left_anti")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folioflow.functions import geometry, office as said
 from folioflow.operators import office, pdf_pages, tree
-from folioflow.operators.tables import spread
+from folioflow.operators.tables import spread, tasks
 from folioflow.plans.document_plans import _orders
 
 
@@ -150,10 +150,12 @@ def missing_levels(spark, sf_dir):
 
 def table_runs(spark, sf_dir):
     left = (F.col("l_partkey") % 20).cast("double")
-    rows = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"))
+    rows = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    k = tasks(rows)
+    rows = rows.repartition(k, "l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"))
     rows = rows.select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").cast("long").alias("ord"), F.array(left, left + 30).alias("lefts"), F.lit(10.0).alias("font"), (-30.0 * F.col("l_linenumber")).alias("min_y"), (-30.0 * F.col("l_linenumber") + 9).alias("max_y"))
     runs = pdf_pages.table_runs(rows, ["page"])
-    rest = pdf_pages.other_lines(rows, runs, ["page"]).select("page", F.lit(-1).cast("long").alias("run"), "ord")
+    rest = pdf_pages.other_lines(rows, runs, ["page"], k).select("page", F.lit(-1).cast("long").alias("run"), "ord")
     return runs.unionByName(rest)
 
 
