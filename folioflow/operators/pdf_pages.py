@@ -141,9 +141,11 @@ def safe_images(placements: DataFrame) -> DataFrame:
     p = placements.withColumn("_k", F.row_number().over(first)).where(F.col("_k") <= PLACEMENTS).drop("_k")
     size = F.col("width").cast("long") * F.col("height")
     bad = ~F.col("width").between(1, SIDE_PIXELS) | ~F.col("height").between(1, SIDE_PIXELS)
-    each = p.groupBy("doc_id", "page_no", "name").agg(F.min_by(size, "ord").alias("n"), F.max(F.coalesce(bad, F.lit(True))).alias("bad"))
-    fine = each.groupBy("doc_id", "page_no").agg(F.sum("n").alias("n"), F.max("bad").alias("bad")).where((F.col("n") <= PAGE_PIXELS) & ~F.col("bad")).select("doc_id", "page_no")
-    return p.join(fine, ["doc_id", "page_no"], "left_semi")
+    one = F.row_number().over(Window.partitionBy("doc_id", "page_no", "name").orderBy(F.asc_nulls_last("ord")))
+    page = Window.partitionBy("doc_id", "page_no")
+    p = p.withColumn("_own", F.when((one == 1) & F.col("ord").isNotNull(), size)).withColumn("_bad", F.coalesce(bad, F.lit(True)))
+    p = p.withColumn("_n", F.sum("_own").over(page)).withColumn("_bad", F.max("_bad").over(page))
+    return p.where("doc_id is not null and page_no is not null").where((F.col("_n") <= PAGE_PIXELS) & ~F.col("_bad")).drop("_own", "_n", "_bad")
 
 
 def matched_images(placements: DataFrame, resources: DataFrame) -> DataFrame:

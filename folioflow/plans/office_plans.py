@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folioflow.functions import geometry, office as said
 from folioflow.operators import office, pdf_pages, tree
-from folioflow.operators.tables import spread, tasks
+from folioflow.operators.tables import LEAST_LINES, MOST_LINES, spread, tasks
 from folioflow.plans.document_plans import _orders
 
 
@@ -178,7 +178,7 @@ def heading_parents(spark, sf_dir):
 
 
 def _images(spark, sf_dir):
-    x = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"), F.min("l_quantity").cast("long").alias("q"))
+    x = spread(_t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity"), "l_orderkey", least=LEAST_LINES, most=MOST_LINES).groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"), F.min("l_quantity").cast("long").alias("q"))
     return x.select((F.col("l_orderkey") % 9).alias("doc_id"), F.col("l_orderkey").alias("page_no"), F.col("l_linenumber").cast("long").alias("ord"), F.concat(F.lit("i"), (F.col("p") % 2).cast("string")).alias("name"), (F.col("q") * 500 - 500).alias("width"), (F.col("q") * 200).alias("height"))
 
 
@@ -207,7 +207,7 @@ def tree_nodes(spark, sf_dir):
 
 
 def merged_trees(spark, sf_dir):
-    x = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"))
+    x = spread(_t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity"), "l_orderkey", least=LEAST_LINES, most=MOST_LINES).groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"))
     x = x.select((F.col("l_orderkey") % 40).alias("doc_id"), F.col("l_orderkey").alias("part"), F.col("l_linenumber").cast("long").alias("ord"), F.when(F.col("p") % 2 == 0, "texts").otherwise("tables").alias("kind"))
     x = x.withColumn("idx", (F.row_number().over(Window.partitionBy("part", "kind").orderBy("ord")) - 1).cast("long")).withColumn("parent_kind", F.when(F.col("idx") > 0, F.col("kind")).otherwise("body")).withColumn("parent_idx", F.when(F.col("idx") > 0, F.col("idx") - 1))
     return tree.merged(x).select("part", "ord", "kind", "idx", F.coalesce("parent_idx", F.lit(-1)).alias("parent_idx"))
