@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from folioflow.functions.office import reference
 
 
-def nodes(elements: DataFrame) -> DataFrame:
-    """(doc_id, kind, idx, ref, parent, place, ord, label, text) of elements: each kind is numbered by itself, children stand in the order of the elements.
+def nodes(elements: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, kind, idx, ref, parent, place, ord, label, text, *more) of elements: each kind is numbered by itself, children stand in the order of the elements.
 
     A heading stands in its layer's root, what follows it under the last heading; list items, captions and cells are texts.
     """
@@ -23,7 +23,7 @@ def nodes(elements: DataFrame) -> DataFrame:
     parent = F.when(furniture, F.lit("#/furniture")).when(is_head, F.lit("#/body")).otherwise(F.coalesce(under, F.lit("#/body")))
     n = n.withColumn("parent", parent)
     place = F.row_number().over(Window.partitionBy("doc_id", "parent").orderBy("ord")) - 1
-    return n.select("doc_id", "kind", "idx", "ref", "parent", place.cast("long").alias("place"), "ord", "label", "text")
+    return n.select("doc_id", "kind", "idx", "ref", "parent", place.cast("long").alias("place"), "ord", "label", "text", *more)
 
 
 def merged(parts: DataFrame) -> DataFrame:

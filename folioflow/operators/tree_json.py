@@ -36,7 +36,7 @@ def to_tree(elements: DataFrame, schema_name: str = "document", version: str = "
 
     Children are collected per parent and items per document: a document's JSON is one value, so it has to fit in one row.
     """
-    n = tree.nodes(elements).join(elements.select("doc_id", "ord", "level", "depth", "layer", "marker", "language"), ["doc_id", "ord"])
+    n = tree.nodes(elements, "level", "depth", "layer", "marker", "language")
     below = n.groupBy("doc_id", F.col("parent").alias("ref")).agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "ref"))), lambda x: _ref(x["ref"])).alias("children"))
     none = F.array().cast("array<struct<`$ref`:string>>")
     n = n.join(below, ["doc_id", "ref"], "left").withColumn("children", F.coalesce("children", none))

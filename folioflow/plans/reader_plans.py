@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.operators import tree_json
-from folioflow.operators.tables import spread
+from folioflow.operators.tables import LEAST_LINES, MOST_LINES, spread
 from folioflow.sources import files, html_tables, json_documents
 from folioflow.sources import elements as rows
 from folioflow.sources.vector_files import GLB_BINARY, GLB_JSON, GLB_MARK
@@ -80,7 +80,7 @@ def model_elements(spark, sf_dir):
 
 def _mixed(spark, sf_dir):
     """Lines of orders as elements of all kinds, the second of each order as furniture. Lines with one number count as one."""
-    li = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"))
+    li = spread(_t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), "l_orderkey", least=LEAST_LINES, most=MOST_LINES).groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"))
     k = F.col("p") % 6
     label = F.element_at(F.array(*map(F.lit, ("text", "section_header", "list_item", "code", "table", "picture"))), (k + 1).cast("int"))
     own = F.when(k == 4, _text("| k | v |\n| --- | --- |\n| ", "$p", " | a\\|b |")).otherwise(_text("p ", "$p", ' "q"'))

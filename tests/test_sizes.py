@@ -27,7 +27,7 @@ def test_tasks_grow_with_rows(spark):
     assert [tables.tasks(spark.range(n)) for n in (0, 1, 60_000, 1_000_000, 9_000_000)] == [1, 1, 3, 8, 36]
 
 
-@pytest.mark.parametrize("name", ["budgeted_chunks", "safe_images", "table_runs", "grid_places", "cell_grids"])
+@pytest.mark.parametrize("name", ["budgeted_chunks", "tree_references", "tree_round_trip", "safe_images", "table_runs", "grid_places", "cell_grids"])
 def test_lines_are_spread_by_their_number(spark, name):
     plan = __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression" in plan
