@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioflow.functions import latex
 from folioflow.operators import columns, ranges, statistics, visual
+from folioflow.operators.tables import spread
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,7 +16,7 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def column_order(spark, sf_dir):
     """Three lines a column, given row by row; every third page has a line over both columns, and every third no gutter."""
-    c = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("page"), (F.col("c_custkey") % 3).alias("k"))
+    c = spread(_t(spark, sf_dir, "customer").select("c_custkey"), "c_custkey").select(F.col("c_custkey").alias("page"), (F.col("c_custkey") % 3).alias("k"))
     ords = F.sequence(F.lit(0), F.when(F.col("k") == 1, 6).otherwise(5))
     x = c.select("page", "k", F.explode(ords).alias("ord"))
     over, right = F.col("ord") == 6, F.col("ord") % 2 == 1
