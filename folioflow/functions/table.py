@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from folioflow.functions.text import bound
+
 
 def render_gfm(rows: Column) -> Column:
     """Pipe table lines; cells are trimmed, pipes escaped and line breaks made spaces."""
@@ -61,11 +63,23 @@ def size_estimate(text: Column) -> Column:
 def blank_repeats(rows: Column) -> Column:
     """Rows without cells that equal the one above as it stands after this step; rows that are blank or a separator blank nothing."""
     bare = lambda r: F.forall(r, lambda c: F.trim(c).isin("", "---"))
-    start = F.array().cast("array<array<string>>")
+    last = lambda done: F.get(done, F.size(done) - 1)
+    none = F.array().cast("array<string>")
 
     def step(done, row):
-        above = F.coalesce(F.get(done, F.size(done) - 1), F.array().cast("array<string>"))
+        above = F.coalesce(last(done), none)
         same = lambda c, k: ~bare(above) & (F.trim(c) != "") & F.coalesce(F.trim(c) == F.trim(F.get(above, k)), F.lit(False))
         return F.concat(done, F.array(F.transform(row, lambda c, k: F.when(same(c, k), F.lit("")).otherwise(c))))
 
-    return F.aggregate(rows, start, step)
+    def of(rows):
+        # each step copies what is done, so it is done in blocks of the root's length
+        size = F.greatest(F.ceil(F.sqrt(F.size(rows))).cast("int"), F.lit(1))
+
+        def block(done, at):
+            cut = F.aggregate(F.slice(rows, at, size), F.array(F.coalesce(last(last(done)), none)), step)
+            return F.concat(done, F.array(F.slice(cut, F.lit(2), F.size(cut))))
+
+        starts = F.when(F.size(rows) > 0, F.sequence(F.lit(1), F.size(rows), size)).otherwise(F.array().cast("array<int>"))
+        return F.when(rows.isNotNull(), F.flatten(F.aggregate(starts, F.array().cast("array<array<array<string>>>"), block)))
+
+    return bound(rows, of)

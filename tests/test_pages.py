@@ -1,6 +1,7 @@
 """Page operators, budgeted chunks, exports and the readers of files, on small rows."""
 
 import io
+import random
 import struct
 import zipfile
 
@@ -185,3 +186,20 @@ def test_a_recognised_text_is_stripped_and_lowered_once(spark):
     assert plan.count("text#") == 2 and "contains(lower(" not in plan  # the column itself, and one use of it
     said = df.select("k", text.strip(F.col("text")).alias("s"), F.round(text.garbage_ratio(F.col("text")), 3).alias("g"), pages.recognised_fault(F.col("text")).alias("f")).orderBy("k").collect()
     assert [tuple(r) for r in said] == [(1, "fine", 0.0, None), (2, None, 0.0, "empty"), (3, "\x1c", 1.0, "garbled"), (4, "a\x01� b", 0.6, "garbled"), (5, "I'M SORRY", 0.0, "refused")]
+
+
+def test_repeats_of_long_tables_are_blanked_in_blocks(spark):
+    bare = lambda r: all(c.strip(" ") in ("", "---") for c in r)
+
+    def plain(rows):
+        done = []
+        for row in rows:
+            above = done[-1] if done else []
+            done.append(["" if not bare(above) and c.strip(" ") and k < len(above) and c.strip(" ") == above[k].strip(" ") else c for k, c in enumerate(row)])
+        return done
+
+    rng = random.Random(2)
+    made = [[[rng.choice(["a", " a", "b", "", "---"]) for _ in range(rng.randrange(4))] for _ in range(n)] for n in (0, 1, 2, 3, 4, 50, 101)]
+    df = spark.createDataFrame([(k, rows) for k, rows in enumerate([*made, None])], "k long, rows array<array<string>>").withColumn("out", table.blank_repeats(F.col("rows")))
+    assert [r.out for r in df.orderBy("k").collect()] == [*map(plain, made), None]
+    assert "sqrt" in df._jdf.queryExecution().optimizedPlan().toString().lower()  # blocks of the root's length
